@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: What a "word character" is: letters and digits of any script, and the underscore.
 WORD = r"[\p{L}\p{N}_]"
 
+#: A run of anything but white space, white space of all scripts included.
+NON_SPACE = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]+"
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -16,7 +19,7 @@ def _col(c: str | Column) -> Column:
 def split_words(text: str | Column) -> Column:
     """Whitespace tokens; a single space where the text is missing."""
     text = _col(text)
-    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(NON_SPACE), F.lit(0))
     return F.when(text.isNull(), F.array(F.lit(" "))).otherwise(words)
 
 

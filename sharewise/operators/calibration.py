@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, NumericType
+from pyspark.sql import types as T
 
 from sharewise.functions.scores import two_class_proba
 from sharewise.operators.density import CELLS, density_lookup, sliding_bin
@@ -23,7 +23,7 @@ STEPS = 40
 
 def require_columns(df: DataFrame, y: str | None = "y", p: str = "p") -> DataFrame:
     """Reject, while planning, a frame that cannot be calibrated."""
-    for name, kinds in ((p, (DoubleType, FloatType)), (y, (NumericType,))):
+    for name, kinds in ((p, (T.DoubleType, T.FloatType)), (y, (T.NumericType,))):
         if name is None:
             continue
         if name not in df.columns:
@@ -106,42 +106,76 @@ def prevalence_grid(cells: DataFrame, keys: Sequence[str] = (), samples: int = 1
 
 
 def prevalence_points(
-    points: DataFrame, keys: Sequence[str] = (), passes: int = 5, ways: int = 32
+    points: DataFrame, keys: Sequence[str] = (), tolerance: float = 1e-10, passes: int = 100
 ) -> DataFrame:
     """``prevalence_ml`` for densities without cells: any number of rows (keys, c, dt, df).
 
-    Each pass is one aggregation that takes the slope at ``ways - 1`` inner points of the
-    current interval and keeps the part where the slope changes sign, so five passes find
-    the share to 32^-5.  ``points`` should be materialised; the state is one row per key.
+    Newton's method on the concave log-likelihood, kept inside a shrinking interval.  A pass
+    is one aggregation of two sums over all rows; the driver sees one row per key.
+    ``points`` should be materialised.
     """
-    state = materialize(points.groupBy(*keys).agg(F.sum("c").alias("n"), F.lit(0.0).alias("_lo"), F.lit(1.0).alias("_step")))
-    for _ in range(passes):
-        here = attach(points, state, keys, ["_lo", "_step"])
-        at = [F.col("_lo") + F.col("_step") * F.lit(j / ways) for j in range(1, ways)]
-        slopes = [
-            F.coalesce(
-                F.sum(F.try_divide(F.col("c") * (F.col("dt") - F.col("df")), F.col("dt") * x + F.col("df") * (F.lit(1.0) - x))),
-                F.lit(0.0),
-            ).alias(f"_s{j}")
-            for j, x in enumerate(at, 1)
-        ]
-        found = here.groupBy(*keys).agg(
-            F.first("_lo").alias("_lo"), F.first("_step").alias("_step"), F.sum("c").alias("n"), *slopes
-        )
-        rising = sum((F.when(F.col(f"_s{j}") > 0, 1).otherwise(0) for j in range(1, ways)), F.lit(0))
-        state = materialize(
-            found.select(
-                *keys, "n",
-                (F.col("_lo") + F.col("_step") * rising / F.lit(float(ways))).alias("_lo"),
-                (F.col("_step") / F.lit(float(ways))).alias("_step"),
-            )
-        )
-    pi = (
-        F.when(F.col("_lo") == 0.0, F.lit(0.0))
-        .when(F.col("_lo") + F.col("_step") >= 1.0, F.lit(1.0))
-        .otherwise(F.col("_lo") + F.col("_step") / 2)
+    keys = list(keys)
+    c, dt, df = (F.col(x).cast("double") for x in ("c", "dt", "df"))
+    gap = dt - df
+
+    def slope(x: Column) -> Column:
+        return F.coalesce(F.sum(F.try_divide(c * gap, dt * x + df * (F.lit(1.0) - x))), F.lit(0.0))
+
+    def curve(x: Column) -> Column:
+        ratio = F.try_divide(gap, dt * x + df * (F.lit(1.0) - x))
+        return F.coalesce(F.sum(c * ratio * ratio), F.lit(0.0))
+
+    half = F.lit(0.5)
+    start = points.groupBy(*keys).agg(
+        F.sum("c").alias("n"),
+        # A row that an end of the interval rules out pushes the share inwards.
+        F.coalesce(F.bool_or((df <= 0) & (dt > 0)), F.lit(False)).alias("not0"),
+        F.coalesce(F.bool_or((dt <= 0) & (df > 0)), F.lit(False)).alias("not1"),
+        slope(F.lit(0.0)).alias("g0"),
+        slope(F.lit(1.0)).alias("g1"),
+        slope(half).alias("g"),
+        curve(half).alias("h"),
+    ).collect()
+    found: dict[tuple, list] = {}
+    open_: dict[tuple, list[float]] = {}
+    slopes: dict[tuple, tuple[float, float]] = {}
+    for row in start:
+        key = tuple(row[k] for k in keys)
+        found[key] = [0.5, row["n"]]
+        if not row["not0"] and row["g0"] <= 0:
+            found[key][0] = 0.0
+        elif not row["not1"] and row["g1"] >= 0:
+            found[key][0] = 1.0
+        else:
+            open_[key] = [0.0, 1.0, 0.5]
+            slopes[key] = (row["g"], row["h"])
+    schema = T.StructType([*[points.schema[k] for k in keys], T.StructField("_x", T.DoubleType())])
+    for step in range(passes):
+        for key, (g, h) in slopes.items():
+            lo, hi, x = open_[key]
+            lo, hi = (x, hi) if g > 0 else (lo, x)
+            nxt = x + g / h if h > 0 else (lo + hi) / 2
+            if not lo < nxt < hi or step % 4 == 3:
+                nxt = (lo + hi) / 2
+            found[key][0] = nxt
+            if abs(nxt - x) < tolerance or g == 0:
+                found[key][0] = x if g == 0 else nxt
+                del open_[key]
+            else:
+                open_[key] = [lo, hi, nxt]
+        if not open_:
+            break
+        if keys:
+            at = points.sparkSession.createDataFrame([(*k, v[2]) for k, v in open_.items()], schema)
+            here, x = lookup(points, at, keys, bound=len(open_)), F.col("_x")
+        else:
+            here, x = points, F.lit(open_[()][2])
+        rows = here.groupBy(*keys).agg(slope(x).alias("g"), curve(x).alias("h")).collect()
+        slopes = {tuple(r[k] for k in keys): (r["g"], r["h"]) for r in rows}
+    out = T.StructType(
+        [*[points.schema[k] for k in keys], T.StructField("pi", T.DoubleType()), T.StructField("n", T.LongType())]
     )
-    return state.select(*keys, pi.alias("pi"), "n")
+    return points.sparkSession.createDataFrame([(*k, *v) for k, v in found.items()], out)
 
 
 def calibrated_threshold(

@@ -18,7 +18,7 @@ def fill_null_text(df: DataFrame) -> DataFrame:
 
 def filter_min_tokens(df: DataFrame, text: str = "text", tokens: int = 10) -> DataFrame:
     """Keep rows with at least ``tokens`` whitespace-separated tokens."""
-    return df.where(F.regexp_count(F.col(text), F.lit(r"\S+")) >= tokens)
+    return df.where(F.regexp_count(F.col(text), F.lit(tx.NON_SPACE)) >= tokens)
 
 
 def keep_word_tokens(df: DataFrame, text: str = "text", chars: int = 3) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharewise.plans import attach, lookup, materialize
-from sharewise.plans.ordering import range_pieces
+from sharewise.plans.ordering import lookup_piece, range_pieces
 
 #: Cells of the sliding density.
 CELLS = 1000
@@ -140,18 +140,16 @@ def nearest_rank(
     )
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(1, Window.unboundedFollowing)
-    carried = materialize(
-        ends.select(
-            *keys,
-            "_piece",
-            F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"),
-            F.last("_last", ignorenulls=True).over(earlier).alias("_carry_low"),
-            F.first("_first", ignorenulls=True).over(later).alias("_carry_high"),
-        )
+    carried = ends.select(
+        *keys,
+        "_piece",
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"),
+        F.last("_last", ignorenulls=True).over(earlier).alias("_carry_low"),
+        F.first("_first", ignorenulls=True).over(later).alias("_carry_high"),
     )
     upto = Window.partitionBy(*keys, "_piece").orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*keys, "_piece").orderBy("v", "kind").rowsBetween(0, Window.unboundedFollowing)
-    filled = lookup(pieces, carried, [*keys, "_piece"]).select(
+    filled = lookup_piece(pieces, carried, keys).select(
         *keys,
         "v",
         "kind",

@@ -20,6 +20,16 @@ def range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
 
 
+def lookup_piece(pieces: DataFrame, ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join what is known per (keys, piece) back to the rows of the pieces.
+
+    Without keys there is one row per partition; with keys they are counted first.
+    """
+    if keys:
+        return lookup(pieces, materialize(ends), [*keys, "_piece"])
+    return lookup(pieces, ends, ["_piece"], bound=pieces.rdd.getNumPartitions())
+
+
 def running_before(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column]
 ) -> DataFrame:
@@ -36,17 +46,15 @@ def running_before(
     pieces = materialize(range_pieces(measured, keys, order))
     totals = pieces.groupBy(*keys, "_piece").agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in names])
     across = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialize(
-        totals.select(
-            *keys,
-            "_piece",
-            *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_o_{n}") for n in names],
-        )
+    offsets = totals.select(
+        *keys,
+        "_piece",
+        *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_o_{n}") for n in names],
     )
     inside = (
         Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return lookup(pieces, offsets, [*keys, "_piece"]).select(
+    return lookup_piece(pieces, offsets, keys).select(
         *df.columns,
         *[
             (F.col(f"_o_{n}") + F.coalesce(F.sum(f"_m_{n}").over(inside), F.lit(0))).alias(n)
