@@ -57,8 +57,8 @@ def fit_logistic(
         regParam=1.0 / (C * total),
         elasticNetParam=0.0,
         standardization=False,
-        maxIter=200,
-        tol=1e-9,
+        maxIter=100,
+        tol=1e-8,
     )
     if weight:
         lr = lr.setWeightCol(weight)
@@ -93,8 +93,9 @@ def in_parallel(work: Callable[[Any], Any], items: Sequence[Any]) -> list[Any]:
     """Submit several Spark jobs together; each fit is itself distributed."""
     if len(items) <= 1:
         return [work(i) for i in items]
+    spark = SparkSession.active()
     with ThreadPool(min(PARALLEL_FITS, len(items))) as pool:
-        return pool.map(inheritable_thread_target(work), items)
+        return pool.map(inheritable_thread_target(spark)(work), items)
 
 
 # --- vectors at the model edge ----------------------------------------------------------

@@ -33,19 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def r6(df: DataFrame) -> DataFrame:
-    """Round doubles to six places, as the SQL twins do."""
+def r6(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round doubles to six places (or ``digits``), as the SQL twins do."""
     return df.select(
         *[
-            F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )
 
 
-def R(expr: str) -> str:
+def R(expr: str, digits: int = 6) -> str:
     """SQL for :func:`r6`; adding 0.0 turns a negative zero into zero."""
-    return f"(round({expr}, 6) + 0.0)"
+    return f"(round({expr}, {digits}) + 0.0)"
 
 
 # --- scored rows: one score per order line ----------------------------------------------

@@ -105,9 +105,9 @@ def feature_intersection(spark, sf_dir):
     return vt.feature_intersection(doc_terms, member_terms)
 
 
-@query("overlap_weights", f"WITH {_MEMBERS} SELECT doc_id, member_id, {R('w')} AS w FROM overlap")
+@query("overlap_weights", f"WITH {_MEMBERS} SELECT doc_id, member_id, {R('w', 10)} AS w FROM overlap")
 def overlap_weights(spark, sf_dir):
-    return r6(_overlap(spark, sf_dir))
+    return r6(_overlap(spark, sf_dir), 10)
 
 
 _AFTER = f"""{_MEMBERS},
@@ -115,9 +115,9 @@ norm AS (SELECT doc_id, member_id, coalesce(w * accuracy / nullif(sum(w * accura
          FROM overlap JOIN acc USING (member_id))"""
 
 
-@query("normalize_weights", f"WITH {_AFTER} SELECT doc_id, member_id, {R('w')} AS w FROM norm")
+@query("normalize_weights", f"WITH {_AFTER} SELECT doc_id, member_id, {R('w', 10)} AS w FROM norm")
 def normalize_weights(spark, sf_dir):
-    return r6(vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "after"))
+    return r6(vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "after"), 10)
 
 
 _BEFORE = f"""{_MEMBERS},
@@ -125,9 +125,9 @@ norm AS (SELECT doc_id, member_id, coalesce(w / nullif(sum(w) OVER (PARTITION BY
          FROM (SELECT * FROM overlap JOIN acc USING (member_id)) o)"""
 
 
-@query("normalize_weights_before", f"WITH {_BEFORE} SELECT doc_id, member_id, {R('w')} AS w FROM norm")
+@query("normalize_weights_before", f"WITH {_BEFORE} SELECT doc_id, member_id, {R('w', 10)} AS w FROM norm")
 def normalize_weights_before(spark, sf_dir):
-    return r6(vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "before"))
+    return r6(vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "before"), 10)
 
 
 _PRED = unit_sql("member", "doc_id || '|' || member_id")
