@@ -54,14 +54,14 @@ def _sample_by_run(
 
 
 def predictions(
-    tf: DataFrame, docs: DataFrame, rows: DataFrame, fitted: md.FittedRuns, base_lang: str, state: DataFrame | None = None
+    corpus: DataFrame, docs: DataFrame, rows: DataFrame, fitted: md.FittedRuns, base_lang: str, state: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The four predictions of every row (run_id, doc_id, ...), and the calibration state.
 
     The share of positives always comes from these rows; the threshold too, unless ``state``
     brings a stored one.
     """
-    scored = materialize(md.score_runs(tf, docs, rows, fitted, base_lang))
+    scored = materialize(md.score_runs(corpus, docs, rows, fitted, base_lang))
     here = cal.calibrate(scored, fitted.pair, RUN)
     stored = here if state is None else state
     out = cal.predict_raw(scored)
@@ -94,9 +94,9 @@ def bootstrap_benchmark(
     held_out = _labels(sp.stratified_sample(test, KEY, "label", test_frac, f"{seed}-test"))
     rows = held_out.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
     docs = train.select("doc_id", "text", "lang").unionByName(test.select("doc_id", "text", "lang")).dropDuplicates(KEY)
-    tf = md.corpus_terms(docs)
-    fitted = md.fit_runs(tf, docs, training, runs, mindf, base_lang)
-    pred, _ = predictions(tf, docs, rows, fitted, base_lang)
+    corpus = ft.corpus_terms(docs)
+    fitted = md.fit_runs(corpus, docs, training, runs, mindf, base_lang)
+    pred, _ = predictions(corpus, docs, rows, fitted, base_lang)
     votes = materialize(vote_replicates(pred, ["doc_id", "label"]))
     return mt.four_variant_report(votes, (), "label"), votes
 
@@ -133,9 +133,9 @@ def machines_report(
     training = pos.unionByName(neg).withColumn("copies", one)
     rows = _sample_by_run(test, ids, lambda n: F.floor(n * F.lit(test_frac)), f"{seed}-test")
     docs = train.select("doc_id", "text", "lang").unionByName(test.select("doc_id", "text", "lang")).dropDuplicates(KEY)
-    tf = md.corpus_terms(docs)
-    fitted = md.fit_runs(tf, docs, training, runs, mindf, base_lang)
-    pred, state = predictions(tf, docs, rows, fitted, base_lang)
+    corpus = ft.corpus_terms(docs)
+    fitted = md.fit_runs(corpus, docs, training, runs, mindf, base_lang)
+    pred, state = predictions(corpus, docs, rows, fitted, base_lang)
     cut = attach(pred, state, RUN, ["threshold"])
     return mt.four_variant_report(cut, RUN, "label", "threshold")
 
@@ -194,14 +194,14 @@ class Ensemble:
 
 
 def _fit_members(
-    tf: DataFrame, docs: DataFrame, rows: DataFrame, members: Sequence[int], seed: str, mindf: int, base_lang: str
+    corpus: DataFrame, docs: DataFrame, rows: DataFrame, members: Sequence[int], seed: str, mindf: int, base_lang: str
 ) -> Ensemble:
     """``rows`` is (run_id, doc_id, label): what each member may see; it fits on 80% of it."""
     split = materialize(sp.train_val_split(rows, KEY, 0.2, seed, RUN))
     training = split.where("part = 'train'").drop("part").withColumn("copies", F.lit(1).cast("long"))
-    fitted = md.fit_runs(tf, docs, training, list(members), mindf, base_lang)
+    fitted = md.fit_runs(corpus, docs, training, list(members), mindf, base_lang)
     val = split.where("part = 'val'").drop("part")
-    pred, state = predictions(tf, docs, val, fitted, base_lang)
+    pred, state = predictions(corpus, docs, val, fitted, base_lang)
     long = mt.variant_rows(attach(pred, state, RUN, ["threshold"]), ["run_id", "label"], "threshold")
     accuracy = materialize(
         vt.member_accuracy(long, [*RUN, "bayes_cal", "proba"], "label", "pred", F.col("threshold"))
@@ -212,11 +212,11 @@ def _fit_members(
 def ensemble_fit(
     docs: DataFrame, size: int = 3, seed: str = "ensemble", mindf: int = 50, base_lang: str = "dutch"
 ) -> tuple[Ensemble, DataFrame]:
-    """Fit ``size`` members on their own 80/20 splits; also returns the corpus term counts."""
-    tf = md.corpus_terms(docs)
+    """Fit ``size`` members on their own 80/20 splits; also returns the packed corpus."""
+    corpus = ft.corpus_terms(docs)
     members = list(range(size))
     rows = _labels(docs).withColumn("run_id", F.explode(F.array(*[F.lit(m) for m in members])))
-    return _fit_members(tf, docs, rows, members, seed, mindf, base_lang), tf
+    return _fit_members(corpus, docs, rows, members, seed, mindf, base_lang), corpus
 
 
 def ensemble_predict(
@@ -233,16 +233,16 @@ def ensemble_predict(
     Weights are scaled to sum 1 per document first and multiplied by the member's
     validation accuracy then.  Labels are the vote at ``threshold``.
     """
-    tf = md.corpus_terms(docs)
+    corpus = ft.corpus_terms(docs)
     listed = F.explode(F.array(*[F.lit(m) for m in ensemble.members]))
     rows = docs.select("doc_id", listed.alias("run_id"))
     # Calibrated labels use a threshold of the presented documents, as a fresh batch does.
-    pred, _ = predictions(tf, docs, rows, ensemble.fitted, ensemble.base_lang)
+    pred, _ = predictions(corpus, docs, rows, ensemble.fitted, ensemble.base_lang)
     name = {v[:2]: v[2] for v in mt.VARIANTS}[(bayescal, proba)]
     single = pred.select("run_id", "doc_id", F.col(name).cast("double").alias("pred"))
     if not total_preds:
         return single
-    doc_terms = ft.doc_feature_sets(tf, docs, 1, ensemble.base_lang)
+    doc_terms = ft.doc_feature_sets(ft.unfold_terms(corpus), docs, 1, ensemble.base_lang)
     member_terms = materialize(vt.members_by_term(ensemble.fitted.vocab, "run_id"))
     w = vt.overlap_weights(doc_terms, member_terms, rows, KEY, "run_id")
     chosen = ensemble.accuracy.where(
@@ -280,18 +280,18 @@ def ensemble_benchmark(
         )
     )
     docs = train.select("doc_id", "text", "lang").unionByName(test.select("doc_id", "text", "lang")).dropDuplicates(KEY)
-    tf = md.corpus_terms(docs)
+    corpus = ft.corpus_terms(docs)
     per_member = lambda df: df.withColumn("_m", F.explode(F.array(*[F.lit(m) for m in range(size)]))).select(
         (F.col("ensemble_id") * size + F.col("_m")).cast("int").alias("run_id"), "doc_id", "label"
     )
-    ens = _fit_members(tf, docs, per_member(seen), runs, seed, mindf, base_lang)
-    pred, _ = predictions(tf, docs, per_member(held), ens.fitted, base_lang, ens.state)
+    ens = _fit_members(corpus, docs, per_member(seen), runs, seed, mindf, base_lang)
+    pred, _ = predictions(corpus, docs, per_member(held), ens.fitted, base_lang, ens.state)
     of = F.floor(F.col("run_id") / F.lit(size)).cast("int")
     ids = ["ensemble_id", "doc_id"]
     pred = pred.withColumn("ensemble_id", of)
 
     # Each ensemble's test documents under their own vocabulary.
-    test_tf = tf.join(held.select(*ids), "doc_id")
+    test_tf = ft.unfold_terms(corpus, held.select(*ids))
     own = ft.fit_vocabulary(test_tf, mindf, ["ensemble_id"]) if mindf > 1 else None
     active = test_tf.select(*ids, "term")
     if own is not None:

@@ -36,6 +36,27 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cha
     )
 
 
+def corpus_terms(docs: DataFrame, chars: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Term counts of a corpus, one row per document with the array ``terms`` of (term, tf).
+
+    Written once and shared by all runs.  Packed rows keep the later joins on the document
+    id cheap: a document moves as one row, and its terms are unfolded where it lands.
+    """
+    packed = (
+        term_counts(docs, id_col, text, chars)
+        .groupBy(id_col)
+        .agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    )
+    return materialize(packed)
+
+
+def unfold_terms(corpus: DataFrame, rows: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id, term, tf) of a packed corpus; with ``rows`` (..., id), of those documents, per row."""
+    joined = corpus if rows is None else corpus.join(rows, id_col)
+    keep = [c for c in joined.columns if c != "terms"]
+    return joined.select(*keep, F.inline("terms"))
+
+
 def fit_vocabulary(
     tf: DataFrame, mindf: int = 50, keys: Sequence[str] = (), copies: str | None = None
 ) -> DataFrame:
@@ -105,7 +126,7 @@ def count_documents(docs: DataFrame, keys: Sequence[str] = (), copies: str | Non
 
 def fit_vectorizer(tf: DataFrame, docs: DataFrame, mindf: int = 50) -> DataFrame:
     """Vocabulary with idf, materialised: the fitted state of the text pipeline."""
-    return materialize(fit_idf(fit_vocabulary(tf, mindf), materialize(count_documents(docs))))
+    return materialize(fit_idf(fit_vocabulary(tf, mindf), count_documents(docs)))
 
 
 def vectorize(
@@ -122,10 +143,12 @@ def vectorize(
 
     Give a fitted ``vocab`` to transform new documents with it.
     """
-    tf = term_counts(docs, id_col, text, chars)
     if vocab is None:
-        tf = materialize(tf)
-        vocab = fit_vectorizer(tf, docs, mindf)
+        corpus = corpus_terms(docs, chars, id_col, text)
+        vocab = fit_vectorizer(unfold_terms(corpus), docs, mindf)
+        tf = unfold_terms(corpus.repartition(id_col))
+    else:
+        tf = term_counts(docs, id_col, text, chars)
     features = tfidf_transform(tf, vocab, (), id_col)
     return append_language(features, docs, vocab.count(), base_lang, id_col, lang), vocab
 

@@ -58,7 +58,7 @@ def fit_logistic(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=100,
-        tol=1e-8,
+        tol=1e-6,
     )
     if weight:
         lr = lr.setWeightCol(weight)
@@ -213,13 +213,8 @@ class FittedRuns:
     coefs: DataFrame  #: run_id, idx, coef
 
 
-def corpus_terms(docs: DataFrame, chars: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """Term counts of a corpus, written once and shared by all runs."""
-    return materialize(ft.term_counts(docs, id_col, chars=chars))
-
-
 def fit_runs(
-    tf: DataFrame,
+    corpus: DataFrame,
     docs: DataFrame,
     training: DataFrame,
     runs: Mapping[int, float] | Sequence[int],
@@ -230,15 +225,15 @@ def fit_runs(
 ) -> FittedRuns:
     """Vectorise, fit and calibrate every run.
 
-    ``training`` is (run_id, doc_id, label, copies); ``docs`` is (doc_id, lang); ``runs`` lists
+    ``corpus`` comes from :func:`features.corpus_terms`; ``training`` is (run_id, doc_id, label, copies); ``docs`` is (doc_id, lang); ``runs`` lists
     the run ids, with the positive-class weight of each if it is a mapping.  All runs share
     the counting, weighting and scoring jobs; only the optimiser runs once per run.
     """
-    spark = tf.sparkSession
+    spark = corpus.sparkSession
     weights = dict(runs) if isinstance(runs, Mapping) else {r: 1.0 for r in runs}
     training = materialize(training)
     run = ["run_id"]
-    members = tf.join(training, "doc_id")
+    members = ft.unfold_terms(corpus, training)
     n_docs = materialize(ft.count_documents(training, run, "copies"))
     vocab = materialize(ft.fit_idf(ft.fit_vocabulary(members, mindf, run, "copies"), n_docs, run))
 
@@ -295,18 +290,18 @@ def fit_runs(
     )
     fitted = FittedRuns(vocab, model, heads, None, coefs)
     if calibrate:
-        scored = score_runs(tf, docs, training, fitted, base_lang)
+        scored = score_runs(corpus, docs, training, fitted, base_lang)
         density = density_sliding(scored, run, "label", "p", copies="copies")
         fitted.pair = materialize(class_pair(density, run))
     return fitted
 
 
 def score_runs(
-    tf: DataFrame, docs: DataFrame, rows: DataFrame, fitted: FittedRuns, base_lang: str = "dutch"
+    corpus: DataFrame, docs: DataFrame, rows: DataFrame, fitted: FittedRuns, base_lang: str = "dutch"
 ) -> DataFrame:
     """Add ``p`` to ``rows`` (run_id, doc_id, ...): the score of each document by its run's model."""
     flagged = rows.join(
         docs.select("doc_id", tx.language_flag("lang", base_lang).alias("language")), "doc_id"
     )
-    keyed = tf.join(rows.select("run_id", "doc_id"), "doc_id")
+    keyed = ft.unfold_terms(corpus, rows.select("run_id", "doc_id"))
     return score_linear(keyed, flagged, fitted.model, fitted.heads, ["run_id"]).drop("language")

@@ -16,7 +16,8 @@ from sharewise.suite.common import (
 
 
 def corpus_tf(spark, sf_dir):
-    return materialize(ft.term_counts(documents(spark, sf_dir)))
+    """Term counts of all documents, read from the written, packed corpus."""
+    return ft.unfold_terms(ft.corpus_terms(documents(spark, sf_dir)))
 
 
 def corpus_vocab(spark, sf_dir, tf):
@@ -52,8 +53,9 @@ weights AS (SELECT doc_id, idx, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY
 
 @query("tfidf", f"WITH {_WEIGHTS} SELECT doc_id, idx, term, {R('w')} AS w FROM weights")
 def tfidf(spark, sf_dir):
-    tf = corpus_tf(spark, sf_dir)
-    return r6(ft.tfidf_transform(tf, corpus_vocab(spark, sf_dir, tf)))
+    corpus = ft.corpus_terms(documents(spark, sf_dir))
+    vocab = corpus_vocab(spark, sf_dir, ft.unfold_terms(corpus))
+    return r6(ft.tfidf_transform(ft.unfold_terms(corpus.repartition("doc_id")), vocab))
 
 
 @query(
