@@ -31,6 +31,10 @@ from sharewise.plans import attach, lookup, materialize, shared_path
 #: Fits submitted to Spark together.
 PARALLEL_FITS = 4
 
+#: Training rows per task.  The optimiser runs a job per step, so a small training set should
+#: not be cut into many tasks; a large one keeps the splits its files have.
+FIT_ROWS = 20_000
+
 
 # --- the objective and one fit ----------------------------------------------------------
 
@@ -42,15 +46,17 @@ def fit_logistic(
     C: float = 1.0,
     features: str = "features",
     total: float | None = None,
+    rows: int | None = None,
 ):
     """L2 logistic regression minimising C * sum of weighted losses + |coef|^2 / 2.
 
     MLlib averages the loss over the total weight, hence its penalty is 1 / (C * total).
     The intercept is not penalised and the features are not rescaled.
     """
-    if total is None:
-        summed = train.agg(F.sum(F.col(weight) if weight else F.lit(1.0)).cast("double")).head()
-        total = summed[0]
+    if total is None or rows is None:
+        total, rows = train.agg(
+            F.sum(F.col(weight) if weight else F.lit(1.0)).cast("double"), F.count(F.lit(1))
+        ).head()
     lr = LogisticRegression(
         featuresCol=features,
         labelCol=label,
@@ -62,7 +68,7 @@ def fit_logistic(
     )
     if weight:
         lr = lr.setWeightCol(weight)
-    return lr.fit(train)
+    return lr.fit(train.coalesce(max(1, -(-rows // FIT_ROWS))))
 
 
 def class_weight_column(label: str, positive_weight: float | Column, copies: str | None = None) -> Column:
@@ -271,12 +277,15 @@ def fit_runs(
         ),
         run,
     )
-    totals = {r["run_id"]: r["t"] for r in vectors.groupBy("run_id").agg(F.sum("weight").alias("t")).collect()}
+    # One row per run.
+    sums = vectors.groupBy("run_id").agg(F.sum("weight").alias("t"), F.count(F.lit(1)).alias("n"))
+    totals = {r["run_id"]: (r["t"], r["n"]) for r in sums.collect()}
 
     path = shared_path(spark, "coefficients")
 
     def fit(r: int) -> tuple[int, float]:
-        fitted = fit_logistic(vectors.where(F.col("run_id") == r), "label", "weight", C, total=totals[r])
+        total, rows = totals[r]
+        fitted = fit_logistic(vectors.where(F.col("run_id") == r), "label", "weight", C, total=total, rows=rows)
         table = coefficient_rows(spark, fitted.coefficients.toArray()).coalesce(1)
         table.write.parquet(f"{path}/run_id={r}")
         return r, float(fitted.intercept)
