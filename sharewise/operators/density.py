@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sharewise.plans import attach, lookup, materialize
+from sharewise.plans import attach, lookup, materialize, store
 from sharewise.plans.ordering import lookup_piece, range_pieces
 
 #: Cells of the sliding density.
@@ -106,11 +106,10 @@ def density_lookup(
 ) -> DataFrame:
     """Add ``dt`` and ``df`` to every row through its bin.
 
-    ``pair`` is a class pair; without keys it has at most 1,000 rows by construction.
+    ``pair`` is a class pair, materialised.
     """
     on = [*[k for k in keys if k in pair.columns], "bin"]
-    bound = CELLS if len(on) == 1 else None
-    return lookup(rows.withColumn("bin", bin_), pair, on, "left", bound).drop("bin")
+    return lookup(rows.withColumn("bin", bin_), pair, on, "left").drop("bin")
 
 
 # --- nearest-rank density ---------------------------------------------------------------
@@ -131,7 +130,7 @@ def nearest_rank(
         targets.select(*keys, F.col(t).alias("v")).distinct()
         .select(*keys, "v", F.lit(0).cast("long").alias("c"), F.lit(1).alias("kind"))
     )
-    pieces = materialize(range_pieces(points, keys, ["v", "kind"]))
+    pieces = store(range_pieces(points, keys, ["v", "kind"]), "pieces")
     is_score = F.col("kind") == 0
     ends = pieces.groupBy(*keys, "_piece").agg(
         F.sum("c").alias("_total"),
@@ -210,7 +209,7 @@ def density_radius(
     )
     both = queries.select(*keys, "x", F.lit(0).alias("_g")).unionByName(mids.withColumn("_g", F.lit(1)))
     marked = both.groupBy(*keys, "x").agg(F.max("_g").alias("_g"), F.min("_g").alias("_q"))
-    f = materialize(_raw_radius(train, marked, keys, radius).join(marked, [*keys, "x"]))
+    f = store(_raw_radius(train, marked, keys, radius).join(marked, [*keys, "x"]), "density")
     area = materialize(
         f.where(F.col("_g") == 1).groupBy(*keys).agg((F.sum("f") / F.lit(float(grid))).alias("area"))
     )

@@ -14,7 +14,6 @@ from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sharewise.functions import text as tx
 from sharewise.operators import calibration as cal
 from sharewise.operators import features as ft
 from sharewise.operators import metrics as mt
@@ -22,7 +21,7 @@ from sharewise.operators import models as md
 from sharewise.operators import sampling as sp
 from sharewise.operators import votes as vt
 from sharewise.operators.density import class_pair, density_sliding
-from sharewise.plans import attach, materialize
+from sharewise.plans import attach, materialize, store
 
 KEY = ["doc_id"]
 RUN = ["run_id"]
@@ -32,12 +31,10 @@ def _labels(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "label")
 
 
-def _tagged(frames: Mapping[int, DataFrame]) -> DataFrame:
-    parts = [df.withColumn("run_id", F.lit(r)) for r, df in frames.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _pooled_corpus(train: DataFrame, test: DataFrame, base_lang: str) -> DataFrame:
+    """The terms of both pools; a document in both is counted once."""
+    pools = [df.select("doc_id", "text", "lang") for df in (train, test)]
+    return ft.corpus_terms(pools[0].unionByName(pools[1]), base_lang=base_lang, distinct=True)
 
 
 def _sample_by_run(
@@ -54,20 +51,20 @@ def _sample_by_run(
 
 
 def predictions(
-    corpus: DataFrame, docs: DataFrame, rows: DataFrame, fitted: md.FittedRuns, base_lang: str, state: DataFrame | None = None
+    corpus: DataFrame, rows: DataFrame, fitted: md.FittedRuns, state: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The four predictions of every row (run_id, doc_id, ...), and the calibration state.
 
     The share of positives always comes from these rows; the threshold too, unless ``state``
     brings a stored one.
     """
-    scored = materialize(md.score_runs(corpus, docs, rows, fitted, base_lang))
+    scored = store(md.score_runs(corpus, rows, fitted), "scored")
     here = cal.calibrate(scored, fitted.pair, RUN)
     stored = here if state is None else state
     out = cal.predict_raw(scored)
     out = cal.predict_calibrated(out, stored, RUN)
     out = cal.posterior_calibrated(out, fitted.pair, here, RUN)
-    return materialize(out.withColumnRenamed("p", "raw_proba")), stored
+    return store(out.withColumnRenamed("p", "raw_proba"), "predictions"), stored
 
 
 def bootstrap_benchmark(
@@ -93,11 +90,10 @@ def bootstrap_benchmark(
 
     held_out = _labels(sp.stratified_sample(test, KEY, "label", test_frac, f"{seed}-test"))
     rows = held_out.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
-    docs = train.select("doc_id", "text", "lang").unionByName(test.select("doc_id", "text", "lang")).dropDuplicates(KEY)
-    corpus = ft.corpus_terms(docs)
-    fitted = md.fit_runs(corpus, docs, training, runs, mindf, base_lang)
-    pred, _ = predictions(corpus, docs, rows, fitted, base_lang)
-    votes = materialize(vote_replicates(pred, ["doc_id", "label"]))
+    corpus = _pooled_corpus(train, test, base_lang)
+    fitted = md.fit_runs(corpus, training, runs, mindf)
+    pred, _ = predictions(corpus, rows, fitted)
+    votes = store(vote_replicates(pred, ["doc_id", "label"]), "votes")
     return mt.four_variant_report(votes, (), "label"), votes
 
 
@@ -132,10 +128,9 @@ def machines_report(
     neg = _sample_by_run(train.where("label = 0"), ids, negatives, f"{seed}-neg")
     training = pos.unionByName(neg).withColumn("copies", one)
     rows = _sample_by_run(test, ids, lambda n: F.floor(n * F.lit(test_frac)), f"{seed}-test")
-    docs = train.select("doc_id", "text", "lang").unionByName(test.select("doc_id", "text", "lang")).dropDuplicates(KEY)
-    corpus = ft.corpus_terms(docs)
-    fitted = md.fit_runs(corpus, docs, training, runs, mindf, base_lang)
-    pred, state = predictions(corpus, docs, rows, fitted, base_lang)
+    corpus = _pooled_corpus(train, test, base_lang)
+    fitted = md.fit_runs(corpus, training, runs, mindf)
+    pred, state = predictions(corpus, rows, fitted)
     cut = attach(pred, state, RUN, ["threshold"])
     return mt.four_variant_report(cut, RUN, "label", "threshold")
 
@@ -178,6 +173,19 @@ def class_weight_sweep(
     return vt.average_metrics(report.withColumn("class_weight", weight), ["class_weight", "bayes_cal", "proba"])
 
 
+def active_features(
+    corpus: DataFrame, ids: Sequence[str], mindf: int = 1, keys: Sequence[str] = ()
+) -> DataFrame:
+    """(ids, term): active terms under the set's own vocabulary; '' is an active language flag."""
+    terms = ft.unfold_terms(corpus)
+    active = terms.select(*ids, "term")
+    if mindf > 1:
+        own = materialize(ft.fit_vocabulary(terms, mindf, keys).select(*keys, "term"))
+        active = ft.vocab_lookup(active, own, keys)
+    flags = corpus.where(F.col("language") != 0).select(*ids, F.lit("").alias("term"))
+    return active.select(*ids, "term").unionByName(flags)
+
+
 # --- ensembles --------------------------------------------------------------------------
 
 
@@ -194,14 +202,14 @@ class Ensemble:
 
 
 def _fit_members(
-    corpus: DataFrame, docs: DataFrame, rows: DataFrame, members: Sequence[int], seed: str, mindf: int, base_lang: str
+    corpus: DataFrame, rows: DataFrame, members: Sequence[int], seed: str, mindf: int, base_lang: str
 ) -> Ensemble:
     """``rows`` is (run_id, doc_id, label): what each member may see; it fits on 80% of it."""
-    split = materialize(sp.train_val_split(rows, KEY, 0.2, seed, RUN))
+    split = store(sp.train_val_split(rows, KEY, 0.2, seed, RUN), "split")
     training = split.where("part = 'train'").drop("part").withColumn("copies", F.lit(1).cast("long"))
-    fitted = md.fit_runs(corpus, docs, training, list(members), mindf, base_lang)
+    fitted = md.fit_runs(corpus, training, list(members), mindf)
     val = split.where("part = 'val'").drop("part")
-    pred, state = predictions(corpus, docs, val, fitted, base_lang)
+    pred, state = predictions(corpus, val, fitted)
     long = mt.variant_rows(attach(pred, state, RUN, ["threshold"]), ["run_id", "label"], "threshold")
     accuracy = materialize(
         vt.member_accuracy(long, [*RUN, "bayes_cal", "proba"], "label", "pred", F.col("threshold"))
@@ -213,10 +221,10 @@ def ensemble_fit(
     docs: DataFrame, size: int = 3, seed: str = "ensemble", mindf: int = 50, base_lang: str = "dutch"
 ) -> tuple[Ensemble, DataFrame]:
     """Fit ``size`` members on their own 80/20 splits; also returns the packed corpus."""
-    corpus = ft.corpus_terms(docs)
+    corpus = ft.corpus_terms(docs, base_lang=base_lang)
     members = list(range(size))
     rows = _labels(docs).withColumn("run_id", F.explode(F.array(*[F.lit(m) for m in members])))
-    return _fit_members(corpus, docs, rows, members, seed, mindf, base_lang), corpus
+    return _fit_members(corpus, rows, members, seed, mindf, base_lang), corpus
 
 
 def ensemble_predict(
@@ -233,16 +241,16 @@ def ensemble_predict(
     Weights are scaled to sum 1 per document first and multiplied by the member's
     validation accuracy then.  Labels are the vote at ``threshold``.
     """
-    corpus = ft.corpus_terms(docs)
+    corpus = ft.corpus_terms(docs, base_lang=ensemble.base_lang)
     listed = F.explode(F.array(*[F.lit(m) for m in ensemble.members]))
     rows = docs.select("doc_id", listed.alias("run_id"))
     # Calibrated labels use a threshold of the presented documents, as a fresh batch does.
-    pred, _ = predictions(corpus, docs, rows, ensemble.fitted, ensemble.base_lang)
+    pred, _ = predictions(corpus, rows, ensemble.fitted)
     name = {v[:2]: v[2] for v in mt.VARIANTS}[(bayescal, proba)]
     single = pred.select("run_id", "doc_id", F.col(name).cast("double").alias("pred"))
     if not total_preds:
         return single
-    doc_terms = ft.doc_feature_sets(ft.unfold_terms(corpus), docs, 1, ensemble.base_lang)
+    doc_terms = active_features(corpus, KEY)
     member_terms = materialize(vt.members_by_term(ensemble.fitted.vocab, "run_id"))
     w = vt.overlap_weights(doc_terms, member_terms, rows, KEY, "run_id")
     chosen = ensemble.accuracy.where(
@@ -279,25 +287,19 @@ def ensemble_benchmark(
             "run_id", "ensemble_id"
         )
     )
-    docs = train.select("doc_id", "text", "lang").unionByName(test.select("doc_id", "text", "lang")).dropDuplicates(KEY)
-    corpus = ft.corpus_terms(docs)
+    corpus = _pooled_corpus(train, test, base_lang)
     per_member = lambda df: df.withColumn("_m", F.explode(F.array(*[F.lit(m) for m in range(size)]))).select(
         (F.col("ensemble_id") * size + F.col("_m")).cast("int").alias("run_id"), "doc_id", "label"
     )
-    ens = _fit_members(corpus, docs, per_member(seen), runs, seed, mindf, base_lang)
-    pred, _ = predictions(corpus, docs, per_member(held), ens.fitted, base_lang, ens.state)
+    ens = _fit_members(corpus, per_member(seen), runs, seed, mindf, base_lang)
+    pred, _ = predictions(corpus, per_member(held), ens.fitted, ens.state)
     of = F.floor(F.col("run_id") / F.lit(size)).cast("int")
     ids = ["ensemble_id", "doc_id"]
     pred = pred.withColumn("ensemble_id", of)
 
     # Each ensemble's test documents under their own vocabulary.
-    test_tf = ft.unfold_terms(corpus, held.select(*ids))
-    own = ft.fit_vocabulary(test_tf, mindf, ["ensemble_id"]) if mindf > 1 else None
-    active = test_tf.select(*ids, "term")
-    if own is not None:
-        active = ft.vocab_lookup(active, materialize(own.select("ensemble_id", "term")), ["ensemble_id"])
-    flags = held.join(docs.where(tx.language_flag("lang", base_lang) != 0).select("doc_id"), "doc_id")
-    doc_terms = active.unionByName(flags.select(*ids, F.lit("").alias("term")))
+    tested = ft.unfold_runs(ft.assign_runs(corpus, held.select(*ids)))
+    doc_terms = active_features(tested, ids, mindf, ["ensemble_id"])
     member_terms = materialize(
         vt.members_by_term(ens.fitted.vocab.withColumn("ensemble_id", of), "run_id", ["ensemble_id"])
     )
@@ -310,7 +312,7 @@ def ensemble_benchmark(
         *keys,
         F.when(F.col("proba"), F.col("pred")).otherwise((F.col("pred") >= 0.5).cast("double")).alias("pred"),
     ).join(held, ids)
-    report = mt.metric_bundle(materialize(final), ["ensemble_id", "bayes_cal", "proba"], "label", "pred", 0.5)
+    report = mt.metric_bundle(store(final, "final"), ["ensemble_id", "bayes_cal", "proba"], "label", "pred", 0.5)
     return vt.average_metrics(report, ["bayes_cal", "proba"])
 
 
@@ -330,8 +332,8 @@ def cross_validate(
     ``vectors`` is (doc_id, label, features), materialised.  ``estimator`` is any MLlib
     probabilistic classifier; by default the logistic regression of this package.
     """
-    fold_of = materialize(sp.kfold_assign(vectors, KEY, "label", folds, seed))
-    placed = materialize(vectors.join(fold_of.drop("label"), "doc_id"))
+    fold_of = sp.kfold_assign(vectors, KEY, "label", folds, seed)
+    placed = store(vectors.join(fold_of.drop("label"), "doc_id"), "folds")
 
     def fit(df: DataFrame):
         return md.fit_logistic(df) if estimator is None else estimator.fit(df)
@@ -340,7 +342,7 @@ def cross_validate(
         train, val = placed.where(F.col("fold") != f), placed.where(F.col("fold") == f)
         model = fit(train)
         out = _four(model, train, val, bayescal)
-        return materialize(out.withColumn("fold", F.lit(f)))
+        return store(out.withColumn("fold", F.lit(f)), "fold")
 
     parts = md.in_parallel(one, list(range(folds)))
     pred = parts[0]

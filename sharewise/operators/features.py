@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharewise.functions import text as tx
-from sharewise.plans import attach, dense_index, lookup, materialize
+from sharewise.plans import attach, dense_index, lookup, materialize, store
 
 #: Name of the language feature; it sorts after every term, as the last column.
 LANGUAGE = "\U0010ffff language"
@@ -36,25 +36,54 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cha
     )
 
 
-def corpus_terms(docs: DataFrame, chars: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Term counts of a corpus, one row per document with the array ``terms`` of (term, tf).
+def corpus_terms(
+    docs: DataFrame,
+    chars: int = 3,
+    base_lang: str = "dutch",
+    id_col: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    distinct: bool = False,
+) -> DataFrame:
+    """A corpus as one row per document: (id, language, terms), terms being (term, tf) pairs.
+
+    ``distinct`` keeps one row of a document that occurs in several pools.
+
+    Texts are shuffled once, by document; splitting, counting and packing all happen where
+    the document lands.  The table is written and shared by everything that follows, so no
+    text is read twice, and a document later moves as one row.
+    """
+    placed = docs.select(id_col, tx.language_flag(lang, base_lang).alias("language"), text).repartition(id_col)
+    if distinct:
+        placed = placed.dropDuplicates([id_col])
+    counted = (
+        placed.select(id_col, "language", F.explode_outer(tx.terms(text, chars)).alias("term"))
+        .groupBy(id_col, "language", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    known = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    return store(counted.groupBy(id_col, "language").agg(F.collect_list(known).alias("terms")), "corpus")
+
+
+def unfold_terms(corpus: DataFrame) -> DataFrame:
+    """(everything else, term, tf): one row per term of a packed corpus."""
+    return corpus.select(*[c for c in corpus.columns if c != "terms"], F.inline("terms"))
+
+
+def assign_runs(corpus: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Join a corpus once to ``rows`` (run_id, id, ...): adds ``runs``, all rows of a document.
 
-    Written once and shared by all runs.  Packed rows keep the later joins on the document
-    id cheap: a document moves as one row, and its terms are unfolded where it lands.
+    A document that many runs use is stored once, with an array no longer than the runs.
     """
-    packed = (
-        term_counts(docs, id_col, text, chars)
-        .groupBy(id_col)
-        .agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    roster = rows.groupBy(id_col).agg(
+        F.collect_list(F.struct(*[c for c in rows.columns if c != id_col])).alias("runs")
     )
-    return materialize(packed)
+    return store(corpus.join(roster, id_col), "assigned")
 
 
-def unfold_terms(corpus: DataFrame, rows: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, term, tf) of a packed corpus; with ``rows`` (..., id), of those documents, per row."""
-    joined = corpus if rows is None else corpus.join(rows, id_col)
-    keep = [c for c in joined.columns if c != "terms"]
-    return joined.select(*keep, F.inline("terms"))
+def unfold_runs(assigned: DataFrame) -> DataFrame:
+    """One row per document and run, terms still packed."""
+    return assigned.select(*[c for c in assigned.columns if c != "runs"], F.inline("runs"))
 
 
 def fit_vocabulary(
@@ -144,7 +173,7 @@ def vectorize(
     Give a fitted ``vocab`` to transform new documents with it.
     """
     if vocab is None:
-        corpus = corpus_terms(docs, chars, id_col, text)
+        corpus = corpus_terms(docs, chars, base_lang, id_col, text, lang)
         vocab = fit_vectorizer(unfold_terms(corpus), docs, mindf)
         tf = unfold_terms(corpus.repartition(id_col))
     else:

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sharewise.functions import text as tx
 from sharewise.functions.scores import sigmoid
 from sharewise.operators import features as ft
 from sharewise.operators.density import class_pair, density_sliding
@@ -197,12 +196,16 @@ def score_linear(
         .agg(F.sum(x * F.col("coef")).alias("_dot"), F.sum(x * x).alias("_len2"))
     )
     joined = attach(docs.join(dots, [*keys, id_col], "left"), heads, keys, ["intercept", "language_coef"])
-    z = (
+    return joined.withColumn("p", linear_p(flag)).drop("_dot", "_len2", "intercept", "language_coef")
+
+
+def linear_p(flag: str) -> Column:
+    """Probability from dot product, squared length, language flag and the model's head."""
+    return sigmoid(
         F.coalesce(F.try_divide(F.col("_dot"), F.sqrt("_len2")), F.lit(0.0))
         + F.col(flag) * F.col("language_coef")
         + F.col("intercept")
     )
-    return joined.withColumn("p", sigmoid(z)).drop("_dot", "_len2", "intercept", "language_coef")
 
 
 # --- many runs in one job ---------------------------------------------------------------
@@ -221,51 +224,48 @@ class FittedRuns:
 
 def fit_runs(
     corpus: DataFrame,
-    docs: DataFrame,
     training: DataFrame,
     runs: Mapping[int, float] | Sequence[int],
     mindf: int = 50,
-    base_lang: str = "dutch",
     C: float = 1.0,
     calibrate: bool = True,
 ) -> FittedRuns:
     """Vectorise, fit and calibrate every run.
 
-    ``corpus`` comes from :func:`features.corpus_terms`; ``training`` is (run_id, doc_id, label, copies); ``docs`` is (doc_id, lang); ``runs`` lists
-    the run ids, with the positive-class weight of each if it is a mapping.  All runs share
-    the counting, weighting and scoring jobs; only the optimiser runs once per run.
+    ``corpus`` comes from :func:`features.corpus_terms`; ``training`` is (run_id, doc_id, label,
+    copies); ``runs`` lists the run ids, with the positive-class weight of each if it is a
+    mapping.  The corpus is joined to its runs once; all runs share the counting, weighting
+    and scoring jobs, and only the optimiser runs once per run.
     """
     spark = corpus.sparkSession
     weights = dict(runs) if isinstance(runs, Mapping) else {r: 1.0 for r in runs}
-    training = materialize(training)
-    run = ["run_id"]
-    members = ft.unfold_terms(corpus, training)
-    n_docs = materialize(ft.count_documents(training, run, "copies"))
-    vocab = materialize(ft.fit_idf(ft.fit_vocabulary(members, mindf, run, "copies"), n_docs, run))
-
-    raw = lookup(members.select("run_id", "doc_id", "term", "tf"), vocab, ["run_id", "term"])
-    value = (F.lit(1.0) + F.ln("tf")) * F.col("idf")
-    entries = raw.groupBy("run_id", "doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", value.alias("w")))).alias("_e"),
-        F.sqrt(F.sum(value * value)).alias("_len"),
-    )
+    run, doc = ["run_id"], ["run_id", "doc_id", "label", "copies", "language"]
+    assigned = ft.assign_runs(corpus, training)
+    members = ft.unfold_runs(assigned)
+    n_docs = materialize(ft.count_documents(members, run, "copies"))
+    terms = ft.unfold_terms(members)
+    vocab = materialize(ft.fit_idf(ft.fit_vocabulary(terms, mindf, run, "copies"), n_docs, run))
     sizes = materialize(
         n_docs.join(vocab.groupBy("run_id").agg(F.count(F.lit(1)).alias("v")), run, "left")
         .select("run_id", F.coalesce("v", F.lit(0)).alias("v"))
     )
-    flagged = training.join(
-        docs.select("doc_id", tx.language_flag("lang", base_lang).alias("language")), "doc_id"
+
+    value = (F.lit(1.0) + F.ln("tf")) * F.col("idf")
+    known = lookup(_outer_terms(members, doc), vocab.select("run_id", "term", "idx", "idf"), ["run_id", "term"], "left")
+    entries = known.groupBy(*doc).agg(
+        F.array_sort(
+            F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", value.alias("w"))))
+        ).alias("_e"),
+        F.sqrt(F.sum(value * value)).alias("_len"),
     )
-    placed = attach(flagged.join(entries, ["run_id", "doc_id"], "left"), sizes, run, ["v"])
-    empty = F.array().cast("array<struct<idx:int,w:double>>")
+    placed = attach(entries, sizes, run, ["v"])
     scaled = F.transform(
-        F.coalesce("_e", empty),
-        lambda e: F.struct(e["idx"].cast("int").alias("idx"), (e["w"] / F.col("_len")).alias("w")),
+        "_e", lambda e: F.struct(e["idx"].cast("int").alias("idx"), (e["w"] / F.col("_len")).alias("w"))
     )
     lang = F.when(
         F.col("language") != 0,
         F.array(F.struct(F.col("v").cast("int").alias("idx"), F.col("language").alias("w"))),
-    ).otherwise(empty)
+    ).otherwise(F.array().cast("array<struct<idx:int,w:double>>"))
     by_run = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("run_id"))
     vectors = write_vectors(
         placed.select(
@@ -299,18 +299,35 @@ def fit_runs(
     )
     fitted = FittedRuns(vocab, model, heads, None, coefs)
     if calibrate:
-        scored = score_runs(corpus, docs, training, fitted, base_lang)
-        density = density_sliding(scored, run, "label", "p", copies="copies")
+        density = density_sliding(score_assigned(assigned, fitted), run, "label", "p", copies="copies")
         fitted.pair = materialize(class_pair(density, run))
     return fitted
 
 
-def score_runs(
-    corpus: DataFrame, docs: DataFrame, rows: DataFrame, fitted: FittedRuns, base_lang: str = "dutch"
-) -> DataFrame:
-    """Add ``p`` to ``rows`` (run_id, doc_id, ...): the score of each document by its run's model."""
-    flagged = rows.join(
-        docs.select("doc_id", tx.language_flag("lang", base_lang).alias("language")), "doc_id"
+def _outer_terms(members: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep, term, tf); a document without terms keeps one row with nulls."""
+    return members.select(*keep, F.inline_outer("terms"))
+
+
+def score_assigned(assigned: DataFrame, fitted: FittedRuns) -> DataFrame:
+    """Score every document of an assigned corpus by the models of its runs: adds ``p``.
+
+    One aggregation per (run, document), combined before its shuffle, gives the dot product
+    and the length of the TF-IDF row together.
+    """
+    members = ft.unfold_runs(assigned)
+    doc = [c for c in members.columns if c != "terms"]
+    hit = lookup(
+        _outer_terms(members, doc), fitted.model.select("run_id", "term", "idf", "coef"), ["run_id", "term"], "left"
     )
-    keyed = ft.unfold_terms(corpus, rows.select("run_id", "doc_id"))
-    return score_linear(keyed, flagged, fitted.model, fitted.heads, ["run_id"]).drop("language")
+    x = (F.lit(1.0) + F.ln("tf")) * F.col("idf")
+    dots = hit.groupBy(*doc).agg(F.sum(x * F.col("coef")).alias("_dot"), F.sum(x * x).alias("_len2"))
+    joined = attach(dots, fitted.heads, ["run_id"], ["intercept", "language_coef"])
+    return joined.withColumn("p", linear_p("language")).drop(
+        "_dot", "_len2", "intercept", "language_coef", "language"
+    )
+
+
+def score_runs(corpus: DataFrame, rows: DataFrame, fitted: FittedRuns) -> DataFrame:
+    """Add ``p`` to ``rows`` (run_id, doc_id, ...): the score of each document by its run's model."""
+    return score_assigned(ft.assign_runs(corpus, rows), fitted)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sharewise.functions.hashing import hash32, unit_hash
 from sharewise.operators.clean import union_by_name
-from sharewise.plans import attach, dense_index, lookup, materialize
+from sharewise.plans import attach, dense_index, lookup, materialize, store
 
 #: Hash cells per stratum in the first counting pass (the top 16 bits of the hash).
 CELL_BITS = 16
@@ -222,7 +222,7 @@ def bootstrap_resample(
     three times is one row with three copies.
     """
     spark = df.sparkSession
-    numbered = materialize(dense_index(df.select(*key), list(key), (), "_idx"))
+    numbered = store(dense_index(df.select(*key), list(key), (), "_idx"), "numbered")
     n = numbered.count()
     draws = (
         spark.range(n * replicates)

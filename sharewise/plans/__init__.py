@@ -1,7 +1,7 @@
 """How plans are put together: small state tables, checked lookups, global order."""
 
 from sharewise.plans.ordering import dense_index, running_before
-from sharewise.plans.state import attach, lookup, materialize, shared_path
+from sharewise.plans.state import attach, lookup, materialize, shared_path, store
 
 __all__ = [
     "attach",
@@ -10,4 +10,5 @@ __all__ = [
     "materialize",
     "running_before",
     "shared_path",
+    "store",
 ]

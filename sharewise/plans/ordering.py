@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sharewise.plans.state import lookup, materialize
+from sharewise.plans.state import lookup, materialize, store
 
 
 def range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -20,6 +20,13 @@ def range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
 
 
+def range_count(df: DataFrame) -> int:
+    """No range exchange of this session makes more pieces than this."""
+    conf = df.sparkSession.conf
+    shuffles = int(conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffles, int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or 0))
+
+
 def lookup_piece(pieces: DataFrame, ends: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join what is known per (keys, piece) back to the rows of the pieces.
 
@@ -27,7 +34,7 @@ def lookup_piece(pieces: DataFrame, ends: DataFrame, keys: Sequence[str]) -> Dat
     """
     if keys:
         return lookup(pieces, materialize(ends), [*keys, "_piece"])
-    return lookup(pieces, ends, ["_piece"], bound=pieces.rdd.getNumPartitions())
+    return lookup(pieces, ends, ["_piece"], bound=range_count(pieces))
 
 
 def running_before(
@@ -36,14 +43,14 @@ def running_before(
     """For each ``name: column`` add ``name``, the sum of the column over earlier rows.
 
     "Earlier" is by ``order`` within ``keys``; the order must be unique within the keys.
-    The pieces are materialised first, because offsets and rows must see the same split.
+    The pieces are written first, because offsets and rows must see the same split.
     """
     keys, order = list(keys), list(order)
     names = list(sums)
     measured = df.select("*", *[F.lit(1).alias(f"_m_{n}") if c == 1 else
                                 (F.col(c) if isinstance(c, str) else c).alias(f"_m_{n}")
                                 for n, c in sums.items()])
-    pieces = materialize(range_pieces(measured, keys, order))
+    pieces = store(range_pieces(measured, keys, order), "pieces")
     totals = pieces.groupBy(*keys, "_piece").agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in names])
     across = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

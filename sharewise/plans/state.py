@@ -12,11 +12,15 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: State tables with at most this many rows are broadcast.
-BROADCAST_ROWS = 500_000
+#: A table is broadcast when it has at most this many rows ...
+BROADCAST_ROWS = 2_000_000
+
+#: ... and its values take at most this many bytes.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 #: A salted join spreads every key over this many shuffle partitions.
 SALTS = 32
@@ -52,6 +56,40 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a result that grows with the data as a columnar table in the shared folder.
+
+    Later reads prune columns and survive lost executors; small states use
+    :func:`materialize`.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.StructType, T.ArrayType)):
+            inner = F.aggregate(
+                value, F.lit(0).cast("long"), lambda acc, x: acc + _width(x, kind.elementType).cast("long")
+            )
+            return F.coalesce(inner, F.lit(0)) + 16
+        return F.greatest(F.size(value), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def measure(table: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a materialised table, in one aggregation."""
+    width = sum((_width(F.col(f.name), f.dataType) for f in table.schema.fields), F.lit(0))
+    rows, size = table.agg(F.count(F.lit(1)), F.sum(width.cast("long"))).head()
+    return rows, size or 0
+
+
 def attach(rows: DataFrame, state: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Add ``cols`` of a one-row-per-key ``state`` table to every row.
 
@@ -73,14 +111,18 @@ def lookup(
 ) -> DataFrame:
     """Equi-join ``rows`` to ``table``, broadcasting the table only behind a size check.
 
-    ``bound`` is a row count that holds by construction (say 1,000 bins).  Without one the
-    table, which the caller has materialised, is counted.  Beyond ``broadcast_rows`` both
-    sides shuffle on ``on`` plus a salt: the rows get a salt from a hash of their content
-    (the same on every retry), the table is repeated once per salt.
+    ``bound`` is a row count that holds by construction (say one row per range piece).
+    Without one the table, which the caller has materialised, is measured in rows and bytes.
+    Beyond the limits both sides shuffle on ``on`` plus a salt: the rows get a salt from a
+    hash of their content (the same on every retry), the table is repeated once per salt.
     """
     on = list(on)
-    size = table.count() if bound is None else bound
-    if size <= broadcast_rows:
+    if bound is not None:
+        small = bound <= broadcast_rows
+    else:
+        size, width = measure(table)
+        small = size <= broadcast_rows and width <= BROADCAST_BYTES
+    if small:
         return rows.join(F.broadcast(table), on, how)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
     salted_table = table.withColumn(

@@ -14,7 +14,7 @@ from sharewise.operators import features as ft
 from sharewise.operators import models as md
 from sharewise.operators import sampling as sp
 from sharewise.operators.density import density_sliding
-from sharewise.plans import materialize
+from sharewise.plans import materialize, store
 from sharewise.suite.common import BASE_LANG, MINDF, documents, labelled, query, r6, table
 
 KEY = ["doc_id"]
@@ -73,10 +73,10 @@ def prevalence_of_new_documents(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("label"))
     training = labels.select(F.lit(0).alias("run_id"), "doc_id", "label", F.lit(1).cast("long").alias("copies"))
-    corpus = ft.corpus_terms(docs)
-    fitted = md.fit_runs(corpus, docs, training, [0], MINDF, BASE_LANG)
+    corpus = ft.corpus_terms(docs, base_lang=BASE_LANG)
+    fitted = md.fit_runs(corpus, training, [0], MINDF)
     fresh = docs.join(labels, "doc_id", "left_anti").select(F.lit(0).alias("run_id"), "doc_id")
-    scored = materialize(md.score_runs(corpus, docs, fresh, fitted, BASE_LANG))
+    scored = store(md.score_runs(corpus, fresh, fitted), "scored")
     state = cal.calibrate(scored, fitted.pair, ["run_id"])
     raw = scored.groupBy("run_id").agg(F.avg("p").alias("mean_score"), F.avg((F.col("p") > 0.5).cast("double")).alias("raw_share"))
     return r6(state.join(raw, "run_id"))

@@ -66,8 +66,8 @@ def test_runs_score_like_the_vector_model(spark, tiny_corpus):
     training = docs.select(
         F.explode(F.array(F.lit(0), F.lit(1))).alias("run_id"), "doc_id", "label"
     ).withColumn("copies", F.when((F.col("run_id") == 1) & (F.col("doc_id") % 4 == 0), 3).otherwise(1).cast("long"))
-    fitted = md.fit_runs(corpus, docs, training, {0: 1.0, 1: 5.0}, mindf=2)
-    scored = md.score_runs(corpus, docs, training, fitted)
+    fitted = md.fit_runs(corpus, training, {0: 1.0, 1: 5.0}, mindf=2)
+    scored = md.score_runs(corpus, training, fitted)
     got = {(r["run_id"], r["doc_id"]): r["p"] for r in scored.collect()}
     assert len(got) == 120
 
