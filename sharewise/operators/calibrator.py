@@ -13,7 +13,7 @@ from sharewise.operators import calibration as cal
 from sharewise.operators import density as dn
 from sharewise.operators import drift
 from sharewise.operators.models import positive_score
-from sharewise.plans import attach, materialize
+from sharewise.plans import attach, materialize, store
 
 
 class CustomDensity(Protocol):
@@ -70,7 +70,7 @@ class Calibrator:
         elif self.density == "sliding":
             self.pair = materialize(dn.class_pair(dn.density_sliding(scored, radius=self.radius)))
         elif self.density == "radius":
-            self.train = materialize(scored)
+            self.train = store(scored, "train")
         elif isinstance(self.density, tuple):
             positive, negative = self.density
             positive.init(scored.where("y = 1").select("p"))
@@ -116,7 +116,7 @@ class Calibrator:
         if self.pair is not None:
             return materialize(cal.prevalence_ml(cal.likelihood_cells(scored, self.pair, bin_=self._bin())))
         counts = scored.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
-        return cal.prevalence_points(materialize(self._with_densities(counts).select("c", "dt", "df")))
+        return cal.prevalence_points(store(self._with_densities(counts).select("c", "dt", "df"), "points"))
 
     def determine_threshold(self, batch: DataFrame) -> DataFrame:
         """One row (pi, n, threshold), also kept as the stored state."""

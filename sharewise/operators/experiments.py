@@ -118,7 +118,7 @@ def machines_report(
     base_lang: str,
     test_frac: float,
 ) -> DataFrame:
-    """(run_id, bayes_cal, proba, metrics): every machine samples, fits and tests for itself.
+    """(run_id, calibrated, proba, metrics): every machine samples, fits and tests for itself.
 
     Calibrated probabilities are cut at the machine's calibrated threshold.
     """
@@ -149,7 +149,7 @@ def balanced_benchmark(
     report = machines_report(
         train, test, {r: 1.0 for r in range(machines)}, lambda _: F.lit(n_pos), seed, mindf, base_lang, test_frac
     )
-    return vt.average_metrics(report, ["bayes_cal", "proba"])
+    return vt.average_metrics(report, ["calibrated", "proba"])
 
 
 def class_weight_sweep(
@@ -170,7 +170,7 @@ def class_weight_sweep(
         train, test, runs, lambda n: F.floor(n * F.lit(neg_frac)), seed, mindf, base_lang, test_frac
     )
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in runs.items() for x in kv]), F.col("run_id"))
-    return vt.average_metrics(report.withColumn("class_weight", weight), ["class_weight", "bayes_cal", "proba"])
+    return vt.average_metrics(report.withColumn("class_weight", weight), ["class_weight", "calibrated", "proba"])
 
 
 def active_features(
@@ -195,7 +195,7 @@ class Ensemble:
 
     fitted: md.FittedRuns
     members: list[int]
-    accuracy: DataFrame  #: run_id, bayes_cal, proba, accuracy
+    accuracy: DataFrame  #: run_id, calibrated, proba, accuracy
     state: DataFrame  #: run_id, pi, n, threshold on the validation rows
     base_lang: str
     mindf: int
@@ -212,7 +212,7 @@ def _fit_members(
     pred, state = predictions(corpus, val, fitted)
     long = mt.variant_rows(attach(pred, state, RUN, ["threshold"]), ["run_id", "label"], "threshold")
     accuracy = materialize(
-        vt.member_accuracy(long, [*RUN, "bayes_cal", "proba"], "label", "pred", F.col("threshold"))
+        vt.member_accuracy(long, [*RUN, "calibrated", "proba"], "label", "pred", F.col("threshold"))
     )
     return Ensemble(fitted, list(members), accuracy, state, base_lang, mindf)
 
@@ -230,7 +230,7 @@ def ensemble_fit(
 def ensemble_predict(
     ensemble: Ensemble,
     docs: DataFrame,
-    bayescal: bool = False,
+    calibrated: bool = False,
     proba: bool = False,
     threshold: float = 0.5,
     indiv_preds: bool = False,
@@ -246,7 +246,7 @@ def ensemble_predict(
     rows = docs.select("doc_id", listed.alias("run_id"))
     # Calibrated labels use a threshold of the presented documents, as a fresh batch does.
     pred, _ = predictions(corpus, rows, ensemble.fitted)
-    name = {v[:2]: v[2] for v in mt.VARIANTS}[(bayescal, proba)]
+    name = {v[:2]: v[2] for v in mt.VARIANTS}[(calibrated, proba)]
     single = pred.select("run_id", "doc_id", F.col(name).cast("double").alias("pred"))
     if not total_preds:
         return single
@@ -254,7 +254,7 @@ def ensemble_predict(
     member_terms = materialize(vt.members_by_term(ensemble.fitted.vocab, "run_id"))
     w = vt.overlap_weights(doc_terms, member_terms, rows, KEY, "run_id")
     chosen = ensemble.accuracy.where(
-        (F.col("bayes_cal") == bayescal) & (F.col("proba") == F.lit(False))
+        (F.col("calibrated") == calibrated) & (F.col("proba") == F.lit(False))
     ).select("run_id", "accuracy")
     w = vt.normalize_weights(w, chosen, "before", KEY, "run_id")
     total = vt.weighted_vote(w, single, KEY, "run_id", "pred", None if proba else threshold)
@@ -272,7 +272,7 @@ def ensemble_benchmark(
     neg_frac: float = 0.1,
     test_frac: float = 0.1,
 ) -> DataFrame:
-    """(bayes_cal, proba, metrics): several ensembles, each with its own data, averaged.
+    """(calibrated, proba, metrics): several ensembles, each with its own data, averaged.
 
     A member's weight on a document is feature overlap times validation accuracy, scaled to
     sum 1; calibrated labels use the threshold of the member's validation rows.
@@ -304,16 +304,16 @@ def ensemble_benchmark(
         vt.members_by_term(ens.fitted.vocab.withColumn("ensemble_id", of), "run_id", ["ensemble_id"])
     )
     w = vt.overlap_weights(doc_terms, member_terms, pred, ids, "run_id", ["ensemble_id"])
-    w = vt.normalize_weights(w, ens.accuracy, "after", ids, "run_id", ["bayes_cal", "proba"])
+    w = vt.normalize_weights(w, ens.accuracy, "after", ids, "run_id", ["calibrated", "proba"])
     long = mt.variant_rows(pred, ["run_id", *ids])
-    keys = [*ids, "bayes_cal", "proba"]
+    keys = [*ids, "calibrated", "proba"]
     vote = vt.weighted_vote(w, long, keys, "run_id")
     final = vote.select(
         *keys,
         F.when(F.col("proba"), F.col("pred")).otherwise((F.col("pred") >= 0.5).cast("double")).alias("pred"),
     ).join(held, ids)
-    report = mt.metric_bundle(store(final, "final"), ["ensemble_id", "bayes_cal", "proba"], "label", "pred", 0.5)
-    return vt.average_metrics(report, ["bayes_cal", "proba"])
+    report = mt.metric_bundle(store(final, "final"), ["ensemble_id", "calibrated", "proba"], "label", "pred", 0.5)
+    return vt.average_metrics(report, ["calibrated", "proba"])
 
 
 # --- cross-validation -------------------------------------------------------------------
@@ -323,7 +323,7 @@ def cross_validate(
     vectors: DataFrame,
     folds: int = 10,
     estimator=None,
-    bayescal: bool = False,
+    calibrated: bool = False,
     seed: str = "folds",
     test: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -341,20 +341,20 @@ def cross_validate(
     def one(f: int) -> DataFrame:
         train, val = placed.where(F.col("fold") != f), placed.where(F.col("fold") == f)
         model = fit(train)
-        out = _four(model, train, val, bayescal)
+        out = _four(model, train, val, calibrated)
         return store(out.withColumn("fold", F.lit(f)), "fold")
 
     parts = md.in_parallel(one, list(range(folds)))
     pred = parts[0]
     for part in parts[1:]:
         pred = pred.unionByName(part)
-    long = _report_rows(pred, bayescal)
-    per_fold = mt.metric_bundle(long, ["fold", "bayes_cal", "proba"], "label", "pred", 0.5)
-    scores = vt.average_metrics(per_fold, ["bayes_cal", "proba"])
+    long = _report_rows(pred, calibrated)
+    per_fold = mt.metric_bundle(long, ["fold", "calibrated", "proba"], "label", "pred", 0.5)
+    scores = vt.average_metrics(per_fold, ["calibrated", "proba"])
     final = None
     if test is not None:
-        final = _four(fit(vectors), vectors, test, bayescal)
-        label, score = ("cal_label", "cal_proba") if bayescal else ("raw_label", "raw_proba")
+        final = _four(fit(vectors), vectors, test, calibrated)
+        label, score = ("cal_label", "cal_proba") if calibrated else ("raw_label", "raw_proba")
         final = final.select(
             "doc_id",
             F.col("label").alias("y_test"),
@@ -364,11 +364,11 @@ def cross_validate(
     return scores, final
 
 
-def _four(model, train: DataFrame, rows: DataFrame, bayescal: bool) -> DataFrame:
+def _four(model, train: DataFrame, rows: DataFrame, calibrated: bool) -> DataFrame:
     scored = md.positive_score(model, rows, ["doc_id", "label"])
-    if not bayescal:
+    if not calibrated:
         return cal.predict_raw(scored).withColumnRenamed("p", "raw_proba")
-    scored = materialize(scored)
+    scored = store(scored, "scored")
     fitted = md.positive_score(model, train, ["label"])
     pair = materialize(class_pair(density_sliding(fitted, (), "label", "p")))
     state = cal.calibrate(scored, pair)
@@ -376,11 +376,11 @@ def _four(model, train: DataFrame, rows: DataFrame, bayescal: bool) -> DataFrame
     return cal.posterior_calibrated(out, pair, state).withColumnRenamed("p", "raw_proba")
 
 
-def _report_rows(pred: DataFrame, bayescal: bool) -> DataFrame:
-    if bayescal:
-        return mt.variant_rows(pred, ["fold", "label"]).where("bayes_cal")
+def _report_rows(pred: DataFrame, calibrated: bool) -> DataFrame:
+    if calibrated:
+        return mt.variant_rows(pred, ["fold", "label"]).where("calibrated")
     blank = pred.withColumn("cal_label", F.lit(None).cast("boolean")).withColumn("cal_proba", F.lit(None).cast("double"))
-    return mt.variant_rows(blank, ["fold", "label"]).where("NOT bayes_cal")
+    return mt.variant_rows(blank, ["fold", "label"]).where("NOT calibrated")
 
 
 def default_models() -> dict[str, object]:
@@ -393,15 +393,15 @@ def default_models() -> dict[str, object]:
 
 
 def benchmark_models(
-    vectors: DataFrame, models: Mapping[str, object] | None = None, folds: int = 10, bayescal: bool = True
+    vectors: DataFrame, models: Mapping[str, object] | None = None, folds: int = 10, calibrated: bool = True
 ) -> DataFrame:
-    """Leaderboard: (clf, bayes_cal, proba, metrics) by cross-validation."""
+    """Leaderboard: (clf, calibrated, proba, metrics) by cross-validation."""
     boards = []
     for alias, estimator in (default_models() if models is None else models).items():
-        for calibrated in (False, True) if bayescal else (False,):
-            scores, _ = cross_validate(vectors, folds, estimator, calibrated)
+        for use_calibration in (False, True) if calibrated else (False,):
+            scores, _ = cross_validate(vectors, folds, estimator, use_calibration)
             boards.append(scores.withColumn("clf", F.lit(alias)))
     out = boards[0]
     for board in boards[1:]:
         out = out.unionByName(board)
-    return out.select("clf", "bayes_cal", "proba", *vt.METRICS)
+    return out.select("clf", "calibrated", "proba", *vt.METRICS)

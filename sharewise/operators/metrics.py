@@ -379,7 +379,7 @@ VARIANTS = (
 
 
 def variant_rows(df: DataFrame, keep: Sequence[str], threshold: str | None = None) -> DataFrame:
-    """Four columns to four rows: (keep, bayes_cal, proba, pred, threshold).
+    """Four columns to four rows: (keep, calibrated, proba, pred, threshold).
 
     ``threshold`` names a column to use for calibrated probabilities; all else is cut at 0.5.
     """
@@ -388,7 +388,7 @@ def variant_rows(df: DataFrame, keep: Sequence[str], threshold: str | None = Non
         cut = F.col(threshold) if threshold and cal and proba else F.lit(0.5)
         items.append(
             F.struct(
-                F.lit(cal).alias("bayes_cal"),
+                F.lit(cal).alias("calibrated"),
                 F.lit(proba).alias("proba"),
                 F.col(name).cast(_DOUBLE).alias("pred"),
                 cut.cast(_DOUBLE).alias("threshold"),
@@ -402,4 +402,4 @@ def four_variant_report(
 ) -> DataFrame:
     """The metric row of each variant {raw, calibrated} x {label, probability}."""
     long = variant_rows(df, [*keys, y], threshold)
-    return metric_bundle(long, [*keys, "bayes_cal", "proba"], y, "pred", F.col("threshold"))
+    return metric_bundle(long, [*keys, "calibrated", "proba"], y, "pred", F.col("threshold"))

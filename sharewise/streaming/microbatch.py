@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sharewise.operators.calibration import calibrate
-from sharewise.plans import materialize
+from sharewise.plans import store
 
 
 def calibrate_stream(scores: DataFrame, pair: DataFrame, path: str, checkpoint: str):
@@ -17,7 +17,7 @@ def calibrate_stream(scores: DataFrame, pair: DataFrame, path: str, checkpoint:
     """
 
     def present(batch: DataFrame, batch_id: int) -> None:
-        rows = materialize(batch.select("p"))
+        rows = store(batch.select("p"), "batch")
         if rows.isEmpty():
             return
         calibrate(rows, pair).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

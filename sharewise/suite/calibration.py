@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sharewise.operators import calibration as cal
 from sharewise.operators import density as dn
 from sharewise.operators import drift
-from sharewise.plans import materialize
+from sharewise.plans import materialize, store
 from sharewise.suite.common import (
     CELLS_SQL, DENSITY_SQL, HIST_ONLY_SQL, HIST_SQL, R, ROW_KEY, ROW_KEY_SQL, SCORED_SQL, SHARE_SQL, STATE_SQL,
     bisect_sql, query, r6, scored, test_rows, train_rows,
@@ -153,7 +153,7 @@ SELECT {R('pi')} AS pi, (SELECT CAST(sum(c) AS BIGINT) FROM cells) AS n FROM sha
 def prevalence_points(spark, sf_dir):
     points = test_rows(spark, sf_dir).groupBy("p").agg(F.count(F.lit(1)).alias("c"))
     dense = dn.density_lookup(points, fitted_pair(spark, sf_dir), dn.sliding_bin("p"))
-    return r6(cal.prevalence_points(materialize(dense.select("c", "dt", "df"))))
+    return r6(cal.prevalence_points(store(dense.select("c", "dt", "df"), "points")))
 
 
 @query("calibrated_threshold", f"WITH RECURSIVE {STATE_SQL} SELECT {R('threshold')} AS threshold FROM state")

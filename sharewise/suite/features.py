@@ -89,9 +89,9 @@ _LANG_ROWS = f"SELECT doc_id, (SELECT CAST(count(*) AS INTEGER) FROM vocab) AS i
 def append_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     tf = corpus_tf(spark, sf_dir)
-    size = corpus_vocab(spark, sf_dir, tf).count()
-    none = ft.tfidf_transform(tf, corpus_vocab(spark, sf_dir, tf)).where(F.lit(False))
-    return ft.append_language(none, docs, size, BASE_LANG).select("doc_id", "idx", "w")
+    vocab = corpus_vocab(spark, sf_dir, tf)
+    every = ft.append_language(ft.tfidf_transform(tf, vocab), docs, vocab.count(), BASE_LANG)
+    return every.where(F.col("term") == ft.LANGUAGE).select("doc_id", "idx", "w")
 
 
 @query("vectorize_pipeline", f"WITH {_WEIGHTS} SELECT doc_id, idx, {R('w')} AS w FROM weights UNION ALL {_LANG_ROWS}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sharewise.operators import calibration as cal
 from sharewise.operators import metrics as mt
 from sharewise.operators import multiclass as mc
-from sharewise.plans import attach, materialize
+from sharewise.plans import attach, store
 from sharewise.suite.calibration import fitted_pair
 from sharewise.suite.common import (
     FOUR_SQL, R, SCORED_SQL, query, r6, scored, table, test_rows,
@@ -244,7 +244,7 @@ def metric_bundle(spark, sf_dir):
 
 
 FOUR_LONG_SQL = f"""{FOUR_SQL},
-lv AS (SELECT y, l_linestatus, FALSE AS bayes_cal, FALSE AS proba, CAST(raw_label AS DOUBLE) AS pred FROM four
+lv AS (SELECT y, l_linestatus, FALSE AS calibrated, FALSE AS proba, CAST(raw_label AS DOUBLE) AS pred FROM four
        UNION ALL SELECT y, l_linestatus, FALSE, TRUE, raw_proba FROM four
        UNION ALL SELECT y, l_linestatus, TRUE, FALSE, CAST(cal_label AS DOUBLE) FROM four
        UNION ALL SELECT y, l_linestatus, TRUE, TRUE, cal_proba FROM four)"""
@@ -262,7 +262,7 @@ def four(spark, sf_dir):
 
 @query(
     "four_variant_report",
-    f"WITH RECURSIVE {FOUR_LONG_SQL}, {bundle_sql('lv', 'bayes_cal, proba', 'pred', '0.5')} SELECT bayes_cal, proba, {BUNDLE_OUT} FROM bundle",
+    f"WITH RECURSIVE {FOUR_LONG_SQL}, {bundle_sql('lv', 'calibrated, proba', 'pred', '0.5')} SELECT calibrated, proba, {BUNDLE_OUT} FROM bundle",
 )
 def four_variant_report(spark, sf_dir):
-    return bundle_out(mt.four_variant_report(materialize(four(spark, sf_dir).drop("threshold"))))
+    return bundle_out(mt.four_variant_report(store(four(spark, sf_dir).drop("threshold"), "four")))

@@ -14,7 +14,7 @@ from sharewise.operators import features as ft
 from sharewise.operators import models as md
 from sharewise.operators import sampling as sp
 from sharewise.operators.density import density_sliding
-from sharewise.plans import materialize, store
+from sharewise.plans import store
 from sharewise.suite.common import BASE_LANG, MINDF, documents, labelled, query, r6, table
 
 KEY = ["doc_id"]
@@ -31,7 +31,7 @@ def training_vectors(spark, sf_dir):
 
 def train_test(spark, sf_dir):
     """Half of each class of the labelled documents to train, half as the test pool."""
-    parts = materialize(sp.strat_split(labelled(spark, sf_dir), KEY, "label", 0.5, "pools"))
+    parts = store(sp.strat_split(labelled(spark, sf_dir), KEY, "label", 0.5, "pools"), "pools")
     return parts.where("part = 'train'").drop("part"), parts.where("part = 'test'").drop("part")
 
 

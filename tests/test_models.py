@@ -110,7 +110,7 @@ def test_ensemble(spark, tiny_corpus):
 def test_bootstrap_report(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
     report, votes = ex.bootstrap_benchmark(train, test, 2, mindf=5, base_lang="en", test_frac=0.5)
-    rows = {(r["bayes_cal"], r["proba"]): r for r in report.collect()}
+    rows = {(r["calibrated"], r["proba"]): r for r in report.collect()}
     assert len(rows) == 4
     n = votes.count()
     actual = votes.agg(F.sum("label")).head()[0]
@@ -129,10 +129,10 @@ def test_cross_validation_with_and_without_calibration(spark, tiny_corpus):
         )
     )
     scores, final = ex.cross_validate(vectors, folds=2, test=vectors)
-    assert {(r["bayes_cal"], r["proba"]) for r in scores.collect()} == {(False, False), (False, True)}
+    assert {(r["calibrated"], r["proba"]) for r in scores.collect()} == {(False, False), (False, True)}
     assert final.columns == ["doc_id", "y_test", "y_pred", "y_predP"] and final.count() == 60
     board = ex.benchmark_models(vectors, {"logistic": None}, folds=2)
-    assert {(r["clf"], r["bayes_cal"]) for r in board.collect()} == {("logistic", False), ("logistic", True)}
+    assert {(r["clf"], r["calibrated"]) for r in board.collect()} == {("logistic", False), ("logistic", True)}
     with pytest.raises(ValueError):
         md.positive_score(LinearSVC().fit(vectors), vectors, ["doc_id"])
 
