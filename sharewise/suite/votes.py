@@ -10,7 +10,7 @@ from sharewise.operators import metrics as mt
 from sharewise.operators import votes as vt
 from sharewise.plans import materialize
 from sharewise.suite.common import (
-    BASE_LANG, MINDF, R, SCORED_SQL, TOKENS_SQL, documents, query, r6, scored, table, unit_sql,
+    BASE_LANG, MINDF, NUDGE, R, SCORED_SQL, TOKENS_SQL, documents, query, r6, scored, table, unit_sql,
 )
 from sharewise.suite.features import corpus_tf
 from sharewise.suite.metrics import bundle_sql
@@ -105,9 +105,9 @@ def feature_intersection(spark, sf_dir):
     return vt.feature_intersection(doc_terms, member_terms)
 
 
-@query("overlap_weights", f"WITH {_MEMBERS} SELECT doc_id, member_id, {R('w', 12)} AS w FROM overlap")
+@query("overlap_weights", f"WITH {_MEMBERS} SELECT doc_id, member_id, {R('w', NUDGE)} AS w FROM overlap")
 def overlap_weights(spark, sf_dir):
-    return r6(_overlap(spark, sf_dir), 12)
+    return r6(_overlap(spark, sf_dir), NUDGE)
 
 
 _AFTER = f"""{_MEMBERS},
@@ -115,9 +115,9 @@ norm AS (SELECT doc_id, member_id, coalesce(w * accuracy / nullif(sum(w * accura
          FROM overlap JOIN acc USING (member_id))"""
 
 
-@query("normalize_weights", f"WITH {_AFTER} SELECT doc_id, member_id, {R('w', 12)} AS w FROM norm")
+@query("normalize_weights", f"WITH {_AFTER} SELECT doc_id, member_id, {R('w', NUDGE)} AS w FROM norm")
 def normalize_weights(spark, sf_dir):
-    return r6(vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "after"), 12)
+    return r6(vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "after"), NUDGE)
 
 
 _BEFORE = f"""{_MEMBERS},
@@ -125,9 +125,9 @@ norm AS (SELECT doc_id, member_id, coalesce(w / nullif(sum(w) OVER (PARTITION BY
          FROM (SELECT * FROM overlap JOIN acc USING (member_id)) o)"""
 
 
-@query("normalize_weights_before", f"WITH {_BEFORE} SELECT doc_id, member_id, {R('w', 12)} AS w FROM norm")
+@query("normalize_weights_before", f"WITH {_BEFORE} SELECT doc_id, member_id, {R('w', NUDGE)} AS w FROM norm")
 def normalize_weights_before(spark, sf_dir):
-    return r6(vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "before"), 12)
+    return r6(vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "before"), NUDGE)
 
 
 _PRED = unit_sql("member", "doc_id || '|' || member_id")
