@@ -1,9 +1,9 @@
 """Byte-level BPE by merge replay over the words of a whole batch.
 
 A text is split by the tokenizer's pattern.  All words of an Arrow batch that the task has not met
-yet form one corpus: an inverted index goes from a merge's rank to the places of its pair, and
-merges are replayed in the order of rank, each touching only the two neighbours of the places
-it joins.  A word's ids don't depend on the other words, so batches and tasks agree.
+yet form one corpus: an inverted index goes from a pair, by its rank, to its places in the words, and
+merges are replayed in the order of rank over the whole index, each touching only the two
+neighbours of the places it joins.  A word's ids don't depend on the other words, so batches and tasks agree.
 
 Defined cases: a null text counts as empty and has no ids; long runs without a break are
 words like any other; repeated rows are encoded each; ids decode to the same bytes.
@@ -16,8 +16,8 @@ import hashlib
 import heapq
 from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -32,74 +32,111 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def replay(words: Sequence[bytes], ranks: Mapping[bytes, int]) -> list[list[int]]:
-    """The ids of each word, from one replay of the merges over all of them.
-
-    The pair of the lowest rank anywhere is joined next, from left to right.  When a join makes
-    a pair of a still lower rank, that word waits until the lower rank has been replayed,
-    so each word sees its merges in the order it would alone.
+@lru_cache(maxsize=2)
+def load_pairs(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, rank) in order of pair: every way to make a token from two tokens; left << 16 | right."""
+    return pairs_of(load_ranks(path))
+
+
+def pairs_of(ranks: Mapping[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    found = [
+        (ranks[raw[:i]] << 16 | ranks[raw[i:]], rank)
+        for raw, rank in ranks.items()
+        for i in range(1, len(raw))
+        if raw[:i] in ranks and raw[i:] in ranks
+    ]
+    out = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return out[:, 0].copy(), out[:, 1].copy()
+
+
+class _Index:
+    """Places of pairs by rank: slabs of 256 ranks, each a list of (rank, place, pair) arrays."""
+
+    def __init__(self, pairs: np.ndarray, ranks: np.ndarray) -> None:
+        self.pairs, self.ranks = pairs, ranks
+        self.slabs: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        self.order: list[int] = []
+
+    def put(self, slab: int, entries: tuple[np.ndarray, ...]) -> None:
+        if slab not in self.slabs:
+            self.slabs[slab] = []
+            heapq.heappush(self.order, slab)
+        self.slabs[slab].append(entries)
+
+    def add(self, places: np.ndarray, pairs: np.ndarray) -> None:
+        """Post the places whose pair makes a token."""
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        hit = self.pairs[at] == pairs
+        places, pairs, ranks = places[hit], pairs[hit], self.ranks[at[hit]]
+        slab = ranks >> 8
+        by = np.argsort(slab.astype(np.uint16), kind="stable")
+        heads = np.flatnonzero(np.r_[True, np.diff(slab[by]) != 0]) if len(by) else []
+        for a, b in zip(heads, [*heads[1:], len(by)], strict=False):
+            some = by[a:b]
+            self.put(int(slab[some[0]]), (ranks[some], places[some], pairs[some]))
+
+    def lowest(self) -> tuple[int, tuple[np.ndarray, ...]]:
+        slab = heapq.heappop(self.order)
+        return slab, tuple(np.concatenate(x) for x in zip(*self.slabs.pop(slab), strict=True))
+
+
+def replay(words: Sequence[bytes], ranks: Mapping[bytes, int], pairs: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """The ids of each word, packed as 32-bit integers, from one replay of the merges over all words.
+
+    The lowest slab of ranks that has places is taken; in it each word applies its lowest rank,
+    leftmost place first, and the pairs of the two touched neighbours are posted anew.  What else
+    the slab holds goes back, so a pair of a still lower rank comes first and every word sees
+    its merges in the order of rank.
     """
-    token = [b""] * (max(ranks.values()) + 1)
-    for raw, rank in ranks.items():
-        token[rank] = raw
-    symbol: list[int] = []
-    word: list[int] = []
-    right: list[int] = []
-    left: list[int] = []
     whole = [ranks.get(w) for w in words]
-    for i, w in enumerate(words):
-        if whole[i] is None and w:
-            at = len(symbol)
-            symbol += [ranks[w[j : j + 1]] for j in range(len(w))]
-            word += [i] * len(w)
-            right += [*range(at + 1, at + len(w)), -1]
-            left += [-1, *range(at, at + len(w) - 1)]
-    known: dict[tuple[int, int], int | None] = {}
-
-    def rank_at(p: int) -> int | None:
-        pair = (symbol[p], symbol[right[p]])
-        if pair not in known:
-            known[pair] = ranks.get(token[pair[0]] + token[pair[1]])
-        return known[pair]
-
-    places: dict[int, list[int]] = {}
-    for p in range(len(symbol)):
-        if right[p] >= 0 and (r := rank_at(p)) is not None:
-            places.setdefault(r, []).append(p)
-    order = list(places)
-    heapq.heapify(order)
-
-    def index(p: int, r: int) -> None:
-        if r in places:
-            places[r].append(p)
-        else:
-            places[r] = [p]
-            heapq.heappush(order, r)
-
-    while order:
-        r = heapq.heappop(order)
-        waiting: set[int] = set()
-        for p in sorted(places.pop(r)):
-            if symbol[p] < 0 or right[p] < 0 or rank_at(p) != r:
-                continue
-            if word[p] in waiting:
-                index(p, r)
-                continue
-            q = right[p]
-            symbol[p], symbol[q] = r, -1
-            right[p] = right[q]
-            if right[q] >= 0:
-                left[right[q]] = p
-            for touched in (left[p], p):
-                if touched >= 0 and right[touched] >= 0 and (new := rank_at(touched)) is not None:
-                    index(touched, new)
-                    if new < r:
-                        waiting.add(word[p])
-    ids: list[list[int]] = [[] if w is None else [w] for w in whole]
-    for s, w in zip(symbol, word, strict=True):
-        if s >= 0:
-            ids[w].append(s)
-    return ids
+    split = [i for i, r in enumerate(whole) if r is None and words[i]]
+    out = [b"" if r is None else r.to_bytes(4, "little") for r in whole]
+    if not split:
+        return out
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    symbol = single[np.frombuffer(b"".join(words[i] for i in split), np.uint8)]
+    sizes = np.array([len(words[i]) for i in split])
+    word = np.repeat(np.arange(len(split)), sizes)
+    size = len(symbol)
+    right, left = np.arange(1, size + 1), np.arange(-1, size - 1)
+    last = np.cumsum(sizes) - 1
+    right[last] = -1
+    left[last - sizes + 1] = -1
+
+    def pair(places: np.ndarray) -> np.ndarray:
+        """The pair at each place, -1 where there is none."""
+        after = right[places]
+        return np.where((after >= 0) & (symbol[places] >= 0), symbol[places] << 16 | symbol[after], -1)
+
+    index = _Index(*pairs)
+    index.add(np.arange(size), pair(np.arange(size)))
+    while index.order:
+        slab, (rank, place, key) = index.lowest()
+        valid = pair(place) == key
+        rank, place, key = rank[valid], place[valid], key[valid]
+        if len(place) == 0:
+            continue
+        order = np.lexsort((place, rank, word[place]))
+        first = np.r_[True, np.diff(word[place[order]]) != 0]
+        rest = order[~first]
+        if len(rest):
+            index.put(slab, (rank[rest], place[rest], key[rest]))
+        p, merged = place[order[first]], rank[order[first]]
+        q = right[p]
+        symbol[p], symbol[q] = merged, -1
+        after = right[q]
+        right[p] = after
+        left[after[after >= 0]] = p[after >= 0]
+        before = left[p]
+        touched = np.concatenate([before[before >= 0], p])
+        index.add(touched, pair(touched))
+    ends = np.cumsum(np.bincount(word[symbol >= 0], minlength=len(split))) * 4
+    packed = symbol[symbol >= 0].astype("<i4").tobytes()
+    at = 0
+    for i, end in zip(split, ends.tolist(), strict=True):
+        out[i] = packed[at:end]
+        at = end
+    return out
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -113,19 +150,21 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         import regex
 
         split = regex.compile(pattern).findall
-        ranks = load_ranks(vocabulary)
-        known: dict[str, list[int]] = {}
+        ranks, pairs = load_ranks(vocabulary), load_pairs(vocabulary)
+        known: dict[str, bytes] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 texts = [split(t or "") for t in part.column("text").to_pylist()]
                 if len(known) > KEPT_WORDS:
                     known.clear()
-                new = sorted({w for words in texts for w in words if w not in known})
-                known.update(zip(new, replay([w.encode() for w in new], ranks), strict=True))
-                ids = [list(chain.from_iterable(map(known.__getitem__, words))) for words in texts]
+                new = list(set().union(*texts).difference(known))
+                known.update(zip(new, replay([w.encode() for w in new], ranks, pairs), strict=True))
+                ids = [b"".join(map(known.__getitem__, words)) for words in texts]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
+                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"]
                 )
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, ids array<int>")
@@ -140,19 +179,19 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         token = {rank: raw for raw, rank in ranks.items()}
         digits = {rank: str(rank) for rank in token}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows = part.column("ids").to_pylist()
-                joined = [" ".join(map(digits.__getitem__, ids or ())) for ids in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(ids or ()) for ids in rows], pa.int64()),
-                        pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined]),
-                        pa.array([b"".join(map(token.__getitem__, ids or ())) for ids in rows], pa.binary()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "text"],
-                )
+            ids = batch.column("ids")
+            values = ids.flatten().to_numpy(zero_copy_only=False)
+            sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            counts, digests, bodies = [], [], []
+            for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                own = values[end - n : end].tolist()
+                counts.append(n)
+                digests.append(hashlib.sha256(" ".join(map(digits.__getitem__, own)).encode()).hexdigest())
+                bodies.append(b"".join(map(token.__getitem__, own)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(bodies, pa.binary())],
+                ["doc_id", "n_tokens", "ids_sha256", "text"],
+            )
 
     return encoded.select("doc_id", "ids").mapInArrow(
         work, f"doc_id {kind}, n_tokens long, ids_sha256 string, text binary"
