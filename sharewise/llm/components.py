@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars, all in Spark.
 
 Each round rewrites the links: large stars point every larger neighbour of a node at the
-smallest one, small stars do so for the smaller neighbours.  Rounds are written to the shared
-checkpoint folder, and only a count and a checksum of the links reach the driver.
+smallest one, small stars do so for the smaller neighbours.  The smallest neighbours are a table
+of their own, so that Spark can split the links of a node that has very many.  Rounds are written to
+the shared checkpoint folder, and only a count and a checksum of the links reach the driver.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ def _checksum(links: DataFrame) -> tuple:
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = store(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = links.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 

@@ -188,7 +188,8 @@ def repeats(
     """key (of a text) and removed (array of byte ranges, end exclusive) of texts that lose bytes."""
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", _key(F.col("text")))
     every = store(_segments(rows, length, gram), "segments")
-    twice = every.groupBy("run").count().where("count > 1").select("run")
+    # A table of its own, so that Spark can split the rows of a run that very many texts share.
+    twice = store(every.groupBy("run").count().where("count > 1").select("run"), "twice")
     found = every.join(twice, "run").groupBy("key").agg(F.collect_set(F.struct("start", "n", "run")).alias("found"))
     distinct = rows.groupBy(F.col("_key").alias("key")).agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     cut = store(_cut_out(distinct.join(found, "key"), length), "cut")
