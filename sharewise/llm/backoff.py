@@ -10,7 +10,8 @@ sums the logarithms of the scores of its words per document.
 
 A document is scored against the rest of the corpus: its own occurrences are taken off every
 count.  S(w | h) = c(hw) / c(h) where hw occurs elsewhere, else ``alpha`` * S(w | shorter h); a
-word that occurs nowhere else has ``alpha`` / (N + 1), N being the words elsewhere.
+word that occurs nowhere else has ``alpha`` / (N + 1), N being the words elsewhere.  At the head of
+a text h is as long as the text allows, without a factor.
 
 Defined cases: null and empty texts have no words and score 0 (mean null); repeated rows and copies are
 documents of their own and count for each other; an empty table gives no rows; other columns are
@@ -111,7 +112,8 @@ def score_batch(data, offsets, order: int, alpha: float, known: np.ndarray, tota
     for n in range(1, order):
         context = np.concatenate([np.zeros(1, np.int64), elsewhere[n - 1][:-1]])[:size]
         hit = elsewhere[n] > 0
-        score = np.where(hit, elsewhere[n] / np.maximum(context, 1), alpha * score)
+        shorter = np.where(_whole(counts, n + 1), alpha * score, score)
+        score = np.where(hit, elsewhere[n] / np.maximum(context, 1), shorter)
     return counts, np.bincount(owner, np.log(score), minlength=len(counts))
 
 

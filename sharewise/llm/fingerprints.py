@@ -180,7 +180,7 @@ def near_links(spark: SparkSession, docs: DataFrame, bands: int = 32, least: flo
         F.col("name").alias("b"), F.array(F.first("name").over(inside), F.lag("name").over(inside)).alias("a")
     )
     pairs = pairs.select(F.explode("a").alias("a"), "b").where("a is not null and a < b").distinct()
-    body = docs.join(classes, "doc_id").select(F.col("fingerprint").alias("name"), "text").dropDuplicates(["name"])
+    body = docs.select("doc_id", "text").join(classes, "doc_id").select(F.col("fingerprint").alias("name"), "text").dropDuplicates(["name"])
 
     @F.udf("double")
     def jaccard(one, two):

@@ -191,13 +191,13 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mix_rows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    hashed = docs.withColumn("_hash", F.xxhash64("doc_id", "source", "text"))
-    copies = mix(docs, block).groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_copies")
-    met = hashed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    single = met.where(F.size("_copies") == 1).withColumn("_n", F.col("_copies")[0])
-    window = Window.partitionBy("_id", "_h").orderBy(F.lit(1))
-    many = met.where(F.size("_copies") > 1).withColumn("_n", F.element_at("_copies", F.row_number().over(window)))
-    both = single.unionByName(many).where("_n > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    hashed = docs.withColumn("__sw_hash", F.xxhash64("doc_id", "source", "text"))
+    copies = mix(docs, block).groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_list("copies")).alias("__sw_copies"))
+    copies = copies.select(F.col("doc_id").alias("__sw_id"), F.col("_hash").alias("__sw_h"), "__sw_copies")
+    met = hashed.join(copies, F.col("doc_id").eqNullSafe(F.col("__sw_id")) & (F.col("__sw_hash") == F.col("__sw_h")))
+    single = met.where(F.size("__sw_copies") == 1).withColumn("__sw_n", F.col("__sw_copies")[0])
+    window = Window.partitionBy("__sw_id", "__sw_h").orderBy(F.lit(1))
+    many = met.where(F.size("__sw_copies") > 1).withColumn("__sw_n", F.element_at("__sw_copies", F.row_number().over(window)))
+    both = single.unionByName(many).where("__sw_n > 0")
+    return both.withColumn("__sw_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__sw_n")))).select(*docs.columns)
 

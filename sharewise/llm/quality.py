@@ -137,7 +137,7 @@ def _sums(part: pa.RecordBatch, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _weigh(part: pa.RecordBatch, ratio: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(log weight, log weight plus noise) of the rows of a batch."""
     weight = np.zeros(part.num_rows) if ratio is None else _sums(part, ratio)[0]
-    draw = part.column("_draw").to_numpy(zero_copy_only=False).view(np.uint64)
+    draw = part.column("__sw_draw").to_numpy(zero_copy_only=False).view(np.uint64)
     uniform = ((draw >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
     return weight, weight - np.log(-np.log(uniform))
 
@@ -149,7 +149,7 @@ def _sortable(x: np.ndarray) -> np.ndarray:
 
 
 def _with_draw(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_draw", F.xxhash64("doc_id", F.lit(SEED)))
+    return docs.withColumn("__sw_draw", F.xxhash64("doc_id", F.lit(SEED)))
 
 
 def scores(docs: DataFrame, ratio: np.ndarray | None) -> DataFrame:

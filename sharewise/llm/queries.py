@@ -106,15 +106,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return corpus_pipeline.run(spark, sf_dir)
 
-# Exact integer products, each query against every other vector.
+# Whole numbers below 2**53, so the sums of doubles are exact.
 ORACLES["op4_exact_topk"] = """
 WITH usable AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+    SELECT vec_id, [floor(CAST(x AS DOUBLE) * 256) FOR x IN embedding] AS v
     FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-           CAST(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) AS BIGINT) AS score
+           CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
     FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
     WHERE q.vec_id % 50 = 0
 ), ranked AS (

@@ -94,9 +94,9 @@ def postings(prints: DataFrame) -> DataFrame:
 
 def _alike(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Tally the shared positional bytes, then verify the bits."""
-    differ = np.bitwise_xor(one, two)
-    tally = (np.ascontiguousarray(differ).view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=-1)
-    return (tally >= LEAST_BYTES) & (np.bitwise_count(differ) <= MOST_BITS)
+    differ = np.ascontiguousarray(np.bitwise_xor(one, two))
+    tally = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=-1)
+    return (tally >= LEAST_BYTES) & (np.bitwise_count(differ.view(np.uint64)) <= MOST_BITS)
 
 
 def _forest(members: np.ndarray) -> list[tuple[int, int]]:
@@ -175,11 +175,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows with that doc_id one stays (that with the smallest text); rows of a
     component without any doc_id all stay.
     """
-    kept = components_of(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept"))
-    kept = store(kept.agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
-    single = named.where("_rows = 1").drop("_rows")
+    kept = components_of(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__sw_kept"))
+    kept = store(kept.agg(F.count(F.lit(1)).alias("__sw_rows")), "kept")
+    named = docs.join(kept, F.col("doc_id") == F.col("__sw_kept")).drop("__sw_kept")
+    single = named.where("__sw_rows = 1").drop("__sw_rows")
     tie = F.struct(F.col("text").isNull(), "text")
-    row = F.min_by(F.struct(*docs.columns), tie).alias("_row")
-    again = named.where("_rows > 1").groupBy(F.col("doc_id").alias("_again")).agg(row).select("_row.*")
+    row = F.min_by(F.struct(*docs.columns), tie).alias("__sw_row")
+    again = named.where("__sw_rows > 1").groupBy(F.col("doc_id").alias("__sw_again")).agg(row).select("__sw_row.*")
     return single.unionByName(again).unionByName(docs.where("doc_id is null"))

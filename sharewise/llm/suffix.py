@@ -232,9 +232,9 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_ranges(docs: DataFrame, **options: int) -> DataFrame:
-    found = repeats(docs, **options).select(F.col("key").alias("_found"), F.col("removed").alias("_removed"))
-    keyed = docs.withColumn("_key", _key(F.coalesce("text", F.lit(""))))
-    return keyed.join(found, F.col("_key") == F.col("_found"), "left").drop("_found", "_key")
+    found = repeats(docs, **options).select(F.col("key").alias("__sw_found"), F.col("removed").alias("__sw_removed"))
+    keyed = docs.withColumn("__sw_key", _key(F.coalesce("text", F.lit(""))))
+    return keyed.join(found, F.col("__sw_key") == F.col("__sw_found"), "left").drop("__sw_found", "__sw_key")
 
 
 def remove(docs: DataFrame, **options: int) -> DataFrame:
@@ -244,7 +244,7 @@ def remove(docs: DataFrame, **options: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, digests = [], [], [], []
-            for raw, ranges in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("_removed").to_pylist(), strict=True):
+            for raw, ranges in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("__sw_removed").to_pylist(), strict=True):
                 raw, whole = raw or b"", merged(ranges)
                 sizes.append(len(raw))
                 removed.append(sum(b - a for a, b in whole))
@@ -271,7 +271,7 @@ def remove_rows(docs: DataFrame, **options: int) -> DataFrame:
         for batch in batches:
             out = [
                 raw if raw is None or not ranges else _kept(raw, merged(ranges)).decode(errors="ignore").encode()
-                for raw, ranges in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("_removed").to_pylist(), strict=True)
+                for raw, ranges in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("__sw_removed").to_pylist(), strict=True)
             ]
             columns = {n: batch.column(n) for n in names}
             columns["text"] = pa.array(out, pa.large_binary()).cast(batch.schema.field("text").type)
