@@ -75,23 +75,47 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
 
 
 def _segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """key (of the text), start, n (strings) and run of every segment of every row."""
+    """key (of the text), run, and starts and sizes (in strings) of the segments of that run in a text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("_key")
             for first, data, offsets in texts.pieces(*texts.flat(batch.column("text"))):
                 owner, start, n, run = segments_of(data, offsets, length, gram)
+                order = np.lexsort((start, run, owner))
+                owner, start, n, run = owner[order], start[order], n[order], run[order]
+                heads = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])][: len(run)])
+                bounds = pa.array(np.r_[heads, len(run)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(owner + first)), pa.array(start), pa.array(n), pa.array(run)],
-                    ["key", "start", "n", "run"],
+                    [
+                        keys.take(pa.array(owner[heads] + first)), pa.array(run[heads]),
+                        pa.ListArray.from_arrays(bounds, pa.array(start)), pa.ListArray.from_arrays(bounds, pa.array(n)),
+                    ],
+                    ["key", "run", "starts", "sizes"],
                 )
 
-    return rows.select("_key", "text").mapInArrow(work, "key binary, start long, n long, run long")
+    return rows.select("_key", "text").mapInArrow(work, "key binary, run long, starts array<long>, sizes array<long>")
 
 
 def _cut_out(candidates: DataFrame, length: int) -> DataFrame:
-    """The bytes of candidate segments, with a digest; candidates have key, copies, text and found."""
+    """The different segments of every candidate text, with their starts in it, digest and bytes.
+
+    Candidates have key, copies (rows of the text), text and found (its segments by run).
+    """
+
+    def segments(raw: bytes, found: list[dict]) -> Iterator[tuple]:
+        for one in found:
+            same: dict[bytes, tuple[list[int], int, bytes]] = {}
+            for start, n in zip(one["starts"], one["sizes"], strict=True):
+                body = raw[start : start + n + length - 1]
+                same.setdefault(hashlib.blake2b(body, digest_size=16).digest(), ([], n, body))[0].append(start)
+            for digest, (starts, n, body) in same.items():
+                yield starts, digest, n, one["run"], body
+
+    def record(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["key", "starts", "digest", "n", "run", "copies", "body"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,22 +123,17 @@ def _cut_out(candidates: DataFrame, length: int) -> DataFrame:
             rows, size = [], 0
             columns = [batch.column(n).to_pylist() for n in ("key", "copies", "found")]
             for i, (key, copies, found) in enumerate(zip(*columns, strict=True)):
-                for one in found:
-                    at = int(offsets[i]) + one["start"]
-                    body = data[at : at + one["n"] + length - 1].tobytes()
-                    digest = hashlib.blake2b(body, digest_size=16).digest()
-                    rows.append((key, one["start"], digest, one["n"], one["run"], copies, body))
+                for starts, digest, n, run, body in segments(data[offsets[i] : offsets[i + 1]].tobytes(), found):
+                    rows.append((key, starts, digest, n, run, copies * len(starts), body))
                     size += len(body)
-                if rows and (size > 4 << 20 or i == len(offsets) - 2):
-                    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                        ["key", "start", "digest", "n", "run", "copies", "body"],
-                    )
+                if size > 4 << 20:
+                    yield record(rows)
                     rows, size = [], 0
+            if rows:
+                yield record(rows)
 
     return candidates.select("key", "copies", "text", "found").mapInArrow(
-        work, "key binary, start long, digest binary, n long, run long, copies long, body binary"
+        work, "key binary, starts array<long>, digest binary, n long, run long, copies long, body binary"
     )
 
 
@@ -185,12 +204,13 @@ def _count_strings(hot: DataFrame, length: int) -> DataFrame:
 def repeats(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_segments: int = HOT_SEGMENTS
 ) -> DataFrame:
-    """key (of a text) and removed (array of byte ranges, end exclusive) of texts that lose bytes."""
+    """key (of a text) and removed of texts that lose bytes: from each of ``starts`` on, the bytes
+    from ``low`` to ``high`` (exclusive)."""
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", _key(F.col("text")))
     every = store(_segments(rows, length, gram), "segments")
     # A table of its own, so that Spark can split the rows of a run that very many texts share.
-    twice = store(every.groupBy("run").count().where("count > 1").select("run"), "twice")
-    found = every.join(twice, "run").groupBy("key").agg(F.collect_set(F.struct("start", "n", "run")).alias("found"))
+    twice = store(every.groupBy("run").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("run"), "twice")
+    found = every.join(twice, "run").groupBy("key").agg(F.collect_set(F.struct("run", "starts", "sizes")).alias("found"))
     distinct = rows.groupBy(F.col("_key").alias("key")).agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     cut = store(_cut_out(distinct.join(found, "key"), length), "cut")
     unique = store(
@@ -206,20 +226,20 @@ def repeats(
         calm = unique.join(hot, "run", "left_anti")
         ranges = ranges.unionByName(_count_strings(unique.join(hot, "run", "left_semi"), length))
     ranges = ranges.unionByName(_sort_shards(calm, length, shard_bytes))
-    placed = cut.select("key", "start", "digest").join(store(ranges, "ranges"), "digest").select(
-        "key", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") + length).alias("high")).alias("r")
+    placed = cut.select("key", "starts", "digest").join(store(ranges, "ranges"), "digest").select(
+        "key", F.struct("starts", "low", (F.col("high") + length).alias("high")).alias("r")
     )
-    return placed.groupBy("key").agg(F.array_sort(F.collect_set("r")).alias("removed"))
+    return placed.groupBy("key").agg(F.collect_set("r").alias("removed"))
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
-    """Sorted ranges, those that touch or overlap joined."""
+    """The removed byte ranges of a text in order, those that touch or overlap joined."""
     out: list[list[int]] = []
-    for r in ranges or ():
-        if out and r["low"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], r["high"])
+    for low, high in sorted((s + r["low"], s + r["high"]) for r in ranges or () for s in r["starts"]):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
         else:
-            out.append([r["low"], r["high"]])
+            out.append([low, high])
     return [(a, b) for a, b in out]
 
 
