@@ -54,3 +54,11 @@ def chi2_cdf(x: str | Column, dof: int, terms: int = 3000) -> Column:
     )
     front = F.exp(F.lit(a) * F.ln(h) - h - F.lit(math.lgamma(a + 1)))
     return F.when(h <= 0, F.lit(0.0)).when(h > 700, F.lit(1.0)).otherwise(F.least(front * series, F.lit(1.0)))
+
+
+def present(df, *columns: str):
+    """The one rule for missing values: rows with a null (or NaN) score or label take no part."""
+    kept = df
+    for c in columns:
+        kept = kept.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    return kept

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sharewise.functions.scores import two_class_proba
+from sharewise.functions.scores import present, two_class_proba
 from sharewise.operators.density import CELLS, density_lookup, sliding_bin
 from sharewise.plans import attach, lookup, materialize, running_before
 
@@ -38,7 +38,7 @@ def likelihood_cells(
 ) -> DataFrame:
     """Sufficient statistic: (keys, bin, c, dt, df), rows counted per density cell."""
     bin_ = sliding_bin(p) if bin_ is None else bin_
-    counts = batch.groupBy(*keys, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    counts = present(batch, p).groupBy(*keys, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     return density_lookup(counts.withColumnRenamed("bin", "_b"), pair, F.col("_b"), keys).withColumnRenamed("_b", "bin")
 
 
@@ -186,8 +186,8 @@ def calibrated_threshold(
     Counts on 1,000 cells find the cell that holds the index; only its rows are ordered.
     """
     keys = list(keys)
-    cell = F.least(F.floor(F.col(p) * CELLS), F.lit(CELLS - 1)).cast("int")
-    placed = batch.select(*keys, F.col(p).alias("_p"), cell.alias("_cell"))
+    cell = F.greatest(F.lit(0), F.least(F.floor(F.col(p) * CELLS), F.lit(CELLS - 1))).cast("int")
+    placed = present(batch, p).select(*keys, F.col(p).alias("_p"), cell.alias("_cell"))
     counts = attach(placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c")), shares, keys, ["pi", "n"])
     goal = F.least(F.floor((F.lit(1.0) - F.col("pi")) * F.col("n")), F.col("n") - 1)
     hit = materialize(

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sharewise.functions.scores import present
 from sharewise.plans import attach, lookup, materialize, store
 from sharewise.plans.ordering import lookup_piece, range_pieces
 
@@ -50,11 +51,12 @@ def density_sliding(
     """Moving-average density on 1,000 cells.
 
     Cell i sums the histogram over (i - R, i + R], clipped to the unit interval, divides by
-    the width in cells, gets a tiny floor, and is scaled to sum 1 per class.
+    the width in cells, gets a tiny floor, and is scaled to sum 1 per class.  Scores outside
+    [0, 1] count in the cell at that end; rows without score or label take no part.
     """
     reach = int(radius * CELLS)
-    cell = F.least(F.floor(F.col(p) * CELLS) + 1, F.lit(CELLS)).cast("int")
-    grid = _with_empty_cells(class_counts(scored, cell, keys, y, copies), keys, 1, CELLS)
+    cell = F.greatest(F.lit(1), F.least(F.floor(F.col(p) * CELLS) + 1, F.lit(CELLS))).cast("int")
+    grid = _with_empty_cells(class_counts(present(scored, y, p), cell, keys, y, copies), keys, 1, CELLS)
     around = Window.partitionBy(*keys, "cls").orderBy("cell").rowsBetween(-reach, reach - 1)
     whole = Window.partitionBy(*keys, "cls")
     i = F.col("cell") - 1
@@ -67,8 +69,14 @@ def density_sliding(
 
 
 def sliding_bin(p: str | Column) -> Column:
-    """The lookup cell of the sliding density, ``int(p * 999)``."""
-    return F.floor((F.col(p) if isinstance(p, str) else p) * (CELLS - 1)).cast("int")
+    """The lookup cell of the sliding density, ``int(p * 999)``; null for a null score."""
+    return _clamped(p, CELLS - 1, CELLS - 1)
+
+
+def _clamped(p: str | Column, cells: int, last: int) -> Column:
+    p = F.col(p) if isinstance(p, str) else p
+    cell = F.greatest(F.lit(0), F.least(F.floor(p * cells), F.lit(last))).cast("int")
+    return F.when(p.isNotNull(), cell)
 
 
 def density_hist(
@@ -81,7 +89,7 @@ def density_hist(
 ) -> DataFrame:
     """Share of each class in each of ``bins`` equal cells."""
     counts = _with_empty_cells(
-        class_counts(scored, hist_bin(p, bins), keys, y, copies), keys, 0, bins - 1
+        class_counts(present(scored, y, p), hist_bin(p, bins), keys, y, copies), keys, 0, bins - 1
     )
     whole = Window.partitionBy(*keys, "cls")
     return counts.select(
@@ -90,7 +98,8 @@ def density_hist(
 
 
 def hist_bin(p: str | Column, bins: int = 3) -> Column:
-    return F.least(F.floor((F.col(p) if isinstance(p, str) else p) * bins), F.lit(bins - 1)).cast("int")
+    """The cell of a histogram; scores outside [0, 1] fall in the cell at that end, null in none."""
+    return _clamped(p, bins, bins - 1)
 
 
 def class_pair(density: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sharewise.functions.scores import chi2_cdf
+from sharewise.functions.scores import chi2_cdf, present
 from sharewise.operators.density import hist_bin
 from sharewise.plans import attach
 
@@ -20,7 +20,7 @@ def mixture_histogram(
     ``hist_pair`` is the class pair of the histogram density of the training scores.
     """
     keys = list(keys)
-    counts = batch.groupBy(*keys, hist_bin(p, bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    counts = present(batch, p).groupBy(*keys, hist_bin(p, bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     every = counts.select(*keys).distinct() if keys else counts.agg(F.count(F.lit(1)).alias("_a"))
     grid = every.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).cast("long").alias("c"))
     full = counts.unionByName(grid).groupBy(*keys, "bin").agg(F.sum("c").alias("c"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sharewise.functions.scores import logit as logit_of
+from sharewise.functions.scores import logit as logit_of, present
 from sharewise.plans import attach, materialize, running_before
 from sharewise.plans.ordering import range_pieces
 
@@ -49,7 +49,7 @@ def confusion_hard(
     df: DataFrame, keys: Sequence[str] = (), y: str = "y", pred: str = "p", threshold: float | Column = 0.5
 ) -> DataFrame:
     """(keys, tn, fp, fn, tp), a row counted positive when ``pred >= threshold``."""
-    return df.groupBy(*keys).agg(*_hard_aggs(y, pred, threshold))
+    return present(df, y, pred).groupBy(*keys).agg(*_hard_aggs(y, pred, threshold))
 
 
 def confusion_soft(
@@ -72,12 +72,12 @@ def confusion_soft(
     for name, value in cells.items():
         value = value / F.count(F.lit(1)) if normalize else value
         out.append((F.round(value, decimals) if decimals is not None else value).alias(name))
-    return df.groupBy(*keys).agg(*out)
+    return present(df, y, pred).groupBy(*keys).agg(*out)
 
 
 def positive_estimate(df: DataFrame, keys: Sequence[str] = (), y: str = "y", pred: str = "p") -> DataFrame:
     """Actual positives ``tp`` and the predicted count ``pos_est``."""
-    return df.groupBy(*keys).agg(
+    return present(df, y, pred).groupBy(*keys).agg(
         F.sum(F.col(y).cast("long")).alias("tp"), F.sum(F.col(pred).cast(_DOUBLE)).alias("pos_est")
     )
 
@@ -90,7 +90,7 @@ def count_bias(
     fp, fn = _soft(~pos, p), _soft(pos, 1 - p)
     if decimals is not None:
         fp, fn = F.round(fp, decimals), F.round(fn, decimals)
-    return df.groupBy(*keys).agg(((fp - fn) / F.count(F.lit(1))).alias("bias"))
+    return present(df, y, pred).groupBy(*keys).agg(((fp - fn) / F.count(F.lit(1))).alias("bias"))
 
 
 def _rate(hits: str, misses: str) -> Column:
@@ -141,7 +141,7 @@ def mcc(df, keys=(), y="y", pred="p", threshold=0.5) -> DataFrame:
 
 def score_counts(df: DataFrame, keys: Sequence[str] = (), y: str = "y", pred: str = "p") -> DataFrame:
     """(keys, score, pos, neg): rows per distinct score, combined before the shuffle."""
-    return df.groupBy(*keys, F.col(pred).cast(_DOUBLE).alias("score")).agg(
+    return present(df, y, pred).groupBy(*keys, F.col(pred).cast(_DOUBLE).alias("score")).agg(
         _count(_positive(y)).alias("pos"), _count(~_positive(y)).alias("neg")
     )
 
@@ -214,6 +214,7 @@ def point_biserial(
     With ``logit`` the scores are taken on the log-odds scale, unless they are hard labels.
     """
     value = F.col(pred).cast(_DOUBLE)
+    df = present(df, y, pred)
     if not logit:
         return df.groupBy(*keys).agg(*_rho_aggs(y, value)).select(*keys, rho_of().alias("rho"))
     # Whether the scores are hard labels is one more count; both answers come from one pass.
@@ -257,7 +258,7 @@ def threshold_sweep(
     )
     # The last threshold is exactly 1, whatever (steps - 1) * step rounds to.
     passed = F.when(p > 1, F.lit(steps)).otherwise(F.least(passed, F.lit(steps - 1)))
-    counted = df.groupBy(*keys, passed.alias("_b")).agg(
+    counted = present(df, y, pred).groupBy(*keys, passed.alias("_b")).agg(
         _count(pos).alias("_pos"),
         _count(~pos).alias("_neg"),
         _soft(pos, p).alias("_stp"),
@@ -315,6 +316,7 @@ def score_histogram(df: DataFrame, keys: Sequence[str] = (), pred: str = "p", bi
     """(keys, bin, low, high, n): equal bins between the least and the largest score."""
     keys = list(keys)
     p = F.col(pred).cast(_DOUBLE)
+    df = present(df, pred)
     # One row per key: the range and the counts both come from collapsed data.
     ends = materialize(df.groupBy(*keys).agg(F.min(p).alias("_lo"), F.max(p).alias("_hi")))
     # A constant score sits in the middle of a unit-wide range.
@@ -348,6 +350,7 @@ def metric_bundle(
     """
     keys = list(keys)
     value, pos = F.col(pred).cast(_DOUBLE), _positive(y)
+    df = present(df, y, pred)
     one = df.groupBy(*keys).agg(
         *_hard_aggs(y, pred, threshold),
         *_rho_aggs(y, value),

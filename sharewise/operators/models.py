@@ -30,9 +30,8 @@ from sharewise.plans import attach, lookup, materialize, shared_path
 #: Fits submitted to Spark together.
 PARALLEL_FITS = 4
 
-#: Training rows per task.  The optimiser runs a job per step, so a small training set should
-#: not be cut into many tasks; a large one keeps the splits its files have.
-FIT_ROWS = 20_000
+#: Steps after which a fit that has not converged is an error.
+MOST_STEPS = 1000
 
 
 # --- the objective and one fit ----------------------------------------------------------
@@ -45,29 +44,30 @@ def fit_logistic(
     C: float = 1.0,
     features: str = "features",
     total: float | None = None,
-    rows: int | None = None,
 ):
     """L2 logistic regression minimising C * sum of weighted losses + |coef|^2 / 2.
 
     MLlib averages the loss over the total weight, hence its penalty is 1 / (C * total).
-    The intercept is not penalised and the features are not rescaled.
+    The intercept is not penalised and the features are not rescaled.  The partitions are those
+    of ``train``.  Raises when the optimiser stops at the step limit.
     """
-    if total is None or rows is None:
-        total, rows = train.agg(
-            F.sum(F.col(weight) if weight else F.lit(1.0)).cast("double"), F.count(F.lit(1))
-        ).head()
+    if total is None:
+        total = train.agg(F.sum(F.col(weight) if weight else F.lit(1.0)).cast("double")).head()[0]
     lr = LogisticRegression(
         featuresCol=features,
         labelCol=label,
         regParam=1.0 / (C * total),
         elasticNetParam=0.0,
         standardization=False,
-        maxIter=100,
+        maxIter=MOST_STEPS,
         tol=1e-6,
     )
     if weight:
         lr = lr.setWeightCol(weight)
-    return lr.fit(train.coalesce(max(1, -(-rows // FIT_ROWS))))
+    model = lr.fit(train)
+    if model.summary.totalIterations >= MOST_STEPS:
+        raise RuntimeError(f"the fit did not converge in {MOST_STEPS} steps")
+    return model
 
 
 def class_weight_column(label: str, positive_weight: float | Column, copies: str | None = None) -> Column:
@@ -278,14 +278,13 @@ def fit_runs(
         run,
     )
     # One row per run.
-    sums = vectors.groupBy("run_id").agg(F.sum("weight").alias("t"), F.count(F.lit(1)).alias("n"))
-    totals = {r["run_id"]: (r["t"], r["n"]) for r in sums.collect()}
+    sums = vectors.groupBy("run_id").agg(F.sum("weight").alias("t"))
+    totals = {r["run_id"]: r["t"] for r in sums.collect()}
 
     path = shared_path(spark, "coefficients")
 
     def fit(r: int) -> tuple[int, float]:
-        total, rows = totals[r]
-        fitted = fit_logistic(vectors.where(F.col("run_id") == r), "label", "weight", C, total=total, rows=rows)
+        fitted = fit_logistic(vectors.where(F.col("run_id") == r), "label", "weight", C, total=totals[r])
         table = coefficient_rows(spark, fitted.coefficients.toArray()).coalesce(1)
         table.write.parquet(f"{path}/run_id={r}")
         return r, float(fitted.intercept)

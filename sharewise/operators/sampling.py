@@ -58,11 +58,19 @@ def cutoffs(
             | ((F.col("_goal") > F.col("_n")) & (F.col("_upto") == F.col("_n")))
         )
     )
+    if not strata and hits.isEmpty():
+        asked = df.sparkSession.range(1).select(take(F.lit(0)).cast("long")).head()[0]
+        if asked:
+            raise ValueError(f"cannot take {asked} rows without replacement from 0")
     short = hits.where(F.col("_goal") > F.col("_n")).select("_goal", "_n").head()
     if short is not None:
         raise ValueError(f"cannot take {short[0]} rows without replacement from {short[1]}")
     # Pass 2: only the cell that holds the cut, about 1/2^16 of a stratum, is ranked.
-    inside = lookup(hashed, hits.select(*strata, "_cell", "_before", "_goal"), [*strata, "_cell"])
+    # A struct of the strata also matches where a stratum is null.
+    stratum = F.struct(*strata) if strata else F.lit(0)
+    inside = lookup(
+        hashed.withColumn("_s", stratum), hits.select(stratum.alias("_s"), "_cell", "_before", "_goal"), ["_s", "_cell"]
+    )
     in_order = Window.partitionBy(*strata).orderBy("_h", "_k")
     cut = inside.withColumn("_r", F.row_number().over(in_order) + F.col("_before"))
     return materialize(
@@ -84,7 +92,11 @@ def flag_sample(
     cut = cutoffs(df, key, take, seed, strata)
     h, k = hash32(seed, *key), F.struct(*key)
     joined = (
-        lookup(df, cut, strata, how="left") if strata else attach(df, cut, (), ["cut_h", "cut_k"])
+        lookup(
+            df.withColumn("_s", F.struct(*strata)), cut.select(F.struct(*strata).alias("_s"), "cut_h", "cut_k"), ["_s"], how="left"
+        )
+        if strata
+        else attach(df, cut, (), ["cut_h", "cut_k"])
     )
     inside = (h < F.col("cut_h")) | ((h == F.col("cut_h")) & (k <= F.col("cut_k")))
     return joined.select(*df.columns, F.coalesce(inside, F.lit(False)).alias(out))

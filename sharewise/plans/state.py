@@ -8,7 +8,6 @@ shuffle, so that neither a large table nor a hot key ends in one task.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -29,17 +28,15 @@ SALTS = 32
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local session may fall back to
-    a temporary folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``.  Where it is unset, a folder in the warehouse,
+    which driver and executors share, takes its place.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="sharewise-")
+            configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(configured)
         current = sc.getCheckpointDir()
     return current
@@ -94,11 +91,11 @@ def attach(rows: DataFrame, state: DataFrame, keys: Sequence[str], cols: Sequenc
     """Add ``cols`` of a one-row-per-key ``state`` table to every row.
 
     Without keys the state is one row and arrives as a scalar subquery, which Spark runs
-    once and inlines as a literal: no join at all.
+    once and inlines as a literal: no join at all.  With keys, rows without a state stay and get nulls.
     """
     if not keys:
         return rows.select("*", *[state.select(c).scalar().alias(c) for c in cols])
-    return lookup(rows, state.select(*keys, *cols), keys)
+    return lookup(rows, state.select(*keys, *cols), keys, how="left")
 
 
 def lookup(

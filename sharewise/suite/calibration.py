@@ -37,6 +37,33 @@ def density_hist(spark, sf_dir):
     return r6(dn.density_hist(train_rows(spark, sf_dir)))
 
 
+def with_missing(rows):
+    """Scores nulled where the part key ends in 3: those rows take no part."""
+    return rows.withColumn("p", F.when(F.col("l_partkey") % 10 != 3, F.col("p")))
+
+
+_THERE = "AND l_partkey % 10 <> 3"
+
+
+@query(
+    "density_hist_with_missing",
+    f"WITH {HIST_SQL} SELECT cls, bin, {R('density')} AS density FROM hist".replace("split = 'train'", f"split = 'train' {_THERE}"),
+)
+def density_hist_with_missing(spark, sf_dir):
+    return r6(dn.density_hist(with_missing(train_rows(spark, sf_dir))))
+
+
+@query(
+    "prevalence_with_missing",
+    f"WITH RECURSIVE {SHARE_SQL} SELECT {R('pi')} AS pi, (SELECT CAST(sum(c) AS BIGINT) FROM cells) AS n FROM share".replace(
+        "split = 'test'", f"split = 'test' {_THERE}"
+    ),
+)
+def prevalence_with_missing(spark, sf_dir):
+    pair = fitted_pair(spark, sf_dir)
+    return r6(cal.prevalence_ml(cal.likelihood_cells(with_missing(test_rows(spark, sf_dir)), pair)))
+
+
 _NEAREST = """firsts AS (SELECT y AS cls, p AS s, sum(count(*)) OVER (PARTITION BY y ORDER BY p) - count(*) AS i
            FROM scored WHERE split = 'train' GROUP BY y, p)"""
 
@@ -172,9 +199,9 @@ def predict_calibrated(spark, sf_dir):
     return cal.predict_calibrated(rows, state).select(*ROW_KEY, "cal_label")
 
 
-@query("predict_raw", f"WITH {SCORED_SQL} SELECT {ROW_KEY_SQL}, p > 0.5 AS raw_label FROM scored WHERE split = 'test'")
+@query("predict_raw", f"WITH {SCORED_SQL} SELECT {ROW_KEY_SQL}, p > 0.5 AS raw_label FROM scored")
 def predict_raw(spark, sf_dir):
-    return cal.predict_raw(test_rows(spark, sf_dir)).select(*ROW_KEY, "raw_label")
+    return cal.predict_raw(scored(spark, sf_dir)).select(*ROW_KEY, "raw_label")
 
 
 _POST = "pi * dt / (pi * dt + (1 - pi) * df)"
@@ -204,9 +231,9 @@ def calibrate_scores(spark, sf_dir):
     return r6(cal.calibrate_scores(bare, fitted_pair(spark, sf_dir)).select(*ROW_KEY, "cal_proba"))
 
 
-@query("proba_raw", f"WITH {SCORED_SQL} SELECT {ROW_KEY_SQL}, {R('1 - p')} AS p0, {R('p')} AS p1 FROM scored WHERE split = 'test'")
+@query("proba_raw", f"WITH {SCORED_SQL} SELECT {ROW_KEY_SQL}, {R('1 - p')} AS p0, {R('p')} AS p1 FROM scored")
 def proba_raw(spark, sf_dir):
-    rows = cal.proba_raw(test_rows(spark, sf_dir))
+    rows = cal.proba_raw(scored(spark, sf_dir))
     return r6(rows.select(*ROW_KEY, F.col("proba")[0].alias("p0"), F.col("proba")[1].alias("p1")))
 
 

@@ -69,17 +69,12 @@ def contains_string(spark, sf_dir):
 
 @query(
     "split_words",
-    f"""SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, w[1] AS first_word, w[len(w)] AS last_word
+    f"""SELECT doc_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos, unnest(w) AS word
 FROM (SELECT doc_id, regexp_extract_all(text, '{NON_SPACE_SQL}') AS w FROM documents) d""",
 )
 def split_words(spark, sf_dir):
     words = clean.split_words(documents(spark, sf_dir))
-    return words.select(
-        "doc_id",
-        F.size("words").alias("n_words"),
-        F.get("words", F.lit(0)).alias("first_word"),
-        F.get("words", F.size("words") - 1).alias("last_word"),
-    )
+    return words.select("doc_id", F.posexplode("words").alias("pos", "word"))
 
 
 @query(

@@ -8,7 +8,7 @@ from sharewise.functions import text as tx
 from sharewise.functions.hashing import hash32
 from sharewise.operators import features as ft
 from sharewise.operators import models as md
-from sharewise.plans import materialize
+from sharewise.plans import store
 from sharewise.suite.common import (
     BASE_LANG, LABELLED_SQL, MINDF, R, TOKENS_SQL, VOCAB_SQL, WORD_SQL,
     documents, hash_sql, query, r6, table,
@@ -85,13 +85,13 @@ def vocab_lookup(spark, sf_dir):
 _LANG_ROWS = f"SELECT doc_id, (SELECT CAST(count(*) AS INTEGER) FROM vocab) AS idx, CAST(1 AS DOUBLE) AS w FROM documents WHERE lang <> '{BASE_LANG}'"
 
 
-@query("append_language", f"WITH {VOCAB_SQL} {_LANG_ROWS}")
+@query("append_language", f"WITH {_WEIGHTS} SELECT doc_id, idx, {R('w')} AS w FROM weights UNION ALL {_LANG_ROWS}")
 def append_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     tf = corpus_tf(spark, sf_dir)
     vocab = corpus_vocab(spark, sf_dir, tf)
     every = ft.append_language(ft.tfidf_transform(tf, vocab), docs, vocab.count(), BASE_LANG)
-    return every.where(F.col("term") == ft.LANGUAGE).select("doc_id", "idx", "w")
+    return r6(every.select("doc_id", "idx", "w"))
 
 
 @query("vectorize_pipeline", f"WITH {_WEIGHTS} SELECT doc_id, idx, {R('w')} AS w FROM weights UNION ALL {_LANG_ROWS}")
@@ -109,15 +109,15 @@ def doc_feature_sets(spark, sf_dir):
     return ft.doc_feature_sets(corpus_tf(spark, sf_dir), documents(spark, sf_dir), MINDF, BASE_LANG)
 
 
-# Word vectors: the first words of the vocabulary, one for each vector there is.
-_VECTORS = f"""{VOCAB_SQL}, vectors AS (SELECT term, vec_id, embedding AS vec FROM vocab JOIN embeddings ON vec_id = idx)"""
+# Word vectors: every word of the vocabulary gets the vector its hash names.
+_VECTORS = f"""{VOCAB_SQL}, vectors AS (SELECT term, vec_id, embedding AS vec FROM vocab
+            JOIN embeddings ON vec_id = {hash_sql('vector', 'term')} % (SELECT count(*) FROM embeddings))"""
 
 
 def word_vectors(spark, sf_dir, tf):
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("int").alias("idx"), "vec_id", F.col("embedding").alias("vec")
-    )
-    return materialize(corpus_vocab(spark, sf_dir, tf).join(vectors, "idx").select("term", "vec_id", "vec"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    words = corpus_vocab(spark, sf_dir, tf).withColumn("vec_id", hash32("vector", "term") % vectors.count())
+    return store(words.join(vectors, "vec_id").select("term", "vec_id", "vec"), "vectors")
 
 
 @query(
@@ -151,7 +151,7 @@ _HEAD = (-0.25, 0.75)
 
 def given_model(spark, sf_dir, tf):
     vocab = corpus_vocab(spark, sf_dir, tf)
-    return materialize(vocab.withColumn("coef", (hash32("coef", "term") / F.lit(2.0**32) - 0.5) * 4))
+    return store(vocab.withColumn("coef", (hash32("coef", "term") / F.lit(2.0**32) - 0.5) * 4), "model")
 
 
 @query(

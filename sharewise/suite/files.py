@@ -10,11 +10,11 @@ from sharewise.operators import metrics as mt
 from sharewise.plans import shared_path
 from sharewise.sources import scans, sinks
 from sharewise.suite.common import (
-    BASE_LANG, MINDF, R, SCORED_SQL, VOCAB_SQL, documents, hash_sql, query, r6, scored, test_rows,
+    BASE_LANG, MINDF, R, SCORED_SQL, VOCAB_SQL, documents, hash_sql, query, r6, scored,
 )
 from sharewise.suite.documents import LONG_ENOUGH, RAW_SQL, raw_documents
 from sharewise.suite.features import corpus_tf, corpus_vocab
-from sharewise.suite.metrics import TEST, bundle_sql
+from sharewise.suite.metrics import BUNDLE_OUT, TEST, bundle_out, bundle_sql
 
 DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
@@ -107,9 +107,10 @@ def sink_features(spark, sf_dir):
 
 @query(
     "sink_metrics",
-    f"WITH {TEST}, {bundle_sql('t', 'l_linestatus', 'p', '0.5')} SELECT l_linestatus, {R('bias')} AS bias, {R('spcc')} AS spcc, {R('auroc')} AS auroc FROM bundle",
+    f"WITH {TEST}, {bundle_sql('t', 'l_linestatus', 'p', '0.5')} SELECT l_linestatus, {BUNDLE_OUT} FROM bundle",
 )
 def sink_metrics(spark, sf_dir):
-    report = mt.metric_bundle(test_rows(spark, sf_dir), ["l_linestatus"]).select("l_linestatus", "bias", "spcc", "auroc")
+    report = mt.metric_bundle(scored(spark, sf_dir), ["l_linestatus"])
     path = sinks.sink_metrics(report, shared_path(spark, "metrics"), ["l_linestatus"])
-    return r6(scans.scan_csv(spark, path, "bias DOUBLE, spcc DOUBLE, auroc DOUBLE, l_linestatus STRING"))
+    values = ", ".join(f"{c} DOUBLE" for c in report.columns if c != "l_linestatus")
+    return bundle_out(scans.scan_csv(spark, path, f"{values}, l_linestatus STRING"))

@@ -13,7 +13,7 @@ from sharewise.suite.common import (
     FOUR_SQL, R, SCORED_SQL, query, r6, scored, table, test_rows,
 )
 
-TEST = f"{SCORED_SQL}, t AS (SELECT * FROM scored WHERE split = 'test')"
+TEST = f"{SCORED_SQL}, t AS (SELECT * FROM scored)"
 
 
 def confusion_sql(pred: str, cut: str = "0.5", y: str = "y") -> str:
@@ -44,7 +44,7 @@ def auroc_sql(source: str, keys: str, pred: str, y: str = "y") -> str:
 
 @query("confusion_hard", f"WITH {TEST} SELECT {confusion_sql('p')} FROM t")
 def confusion_hard(spark, sf_dir):
-    return mt.confusion_hard(test_rows(spark, sf_dir))
+    return mt.confusion_hard(scored(spark, sf_dir))
 
 
 _SOFT = {
@@ -57,7 +57,7 @@ _SOFT = {
 
 @query("confusion_soft", f"WITH {TEST} SELECT " + ", ".join(f"round({e}, 4) AS {c}" for c, e in _SOFT.items()) + " FROM t")
 def confusion_soft(spark, sf_dir):
-    return mt.confusion_soft(test_rows(spark, sf_dir), decimals=4)
+    return mt.confusion_soft(scored(spark, sf_dir), decimals=4)
 
 
 @query(
@@ -65,18 +65,18 @@ def confusion_soft(spark, sf_dir):
     f"WITH {TEST} SELECT l_linestatus, " + ", ".join(f"{R(e + ' / count(*)')} AS {c}" for c, e in _SOFT.items()) + " FROM t GROUP BY 1",
 )
 def confusion_soft_normalized(spark, sf_dir):
-    return r6(mt.confusion_soft(test_rows(spark, sf_dir), ["l_linestatus"], normalize=True))
+    return r6(mt.confusion_soft(scored(spark, sf_dir), ["l_linestatus"], normalize=True))
 
 
 @query("positive_estimate", f"WITH {TEST} SELECT CAST(sum(y) AS BIGINT) AS tp, round(sum(p), 4) AS pos_est FROM t")
 def positive_estimate(spark, sf_dir):
-    out = mt.positive_estimate(test_rows(spark, sf_dir))
+    out = mt.positive_estimate(scored(spark, sf_dir))
     return out.withColumn("pos_est", F.round("pos_est", 4))
 
 
 @query("count_bias", f"WITH {TEST} SELECT {R('(sum(p) - sum(y)) / count(*)')} AS bias FROM t")
 def count_bias(spark, sf_dir):
-    return r6(mt.count_bias(test_rows(spark, sf_dir)))
+    return r6(mt.count_bias(scored(spark, sf_dir)))
 
 
 def _from_confusion(expr: str) -> str:
@@ -85,7 +85,7 @@ def _from_confusion(expr: str) -> str:
 
 @query("accuracy", f"WITH {TEST} SELECT {R('avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM t")
 def accuracy(spark, sf_dir):
-    return r6(mt.accuracy(test_rows(spark, sf_dir)))
+    return r6(mt.accuracy(scored(spark, sf_dir)))
 
 
 @query(
@@ -96,22 +96,22 @@ def accuracy(spark, sf_dir):
     ),
 )
 def precision_recall_f1(spark, sf_dir):
-    return r6(mt.precision_recall_f1(test_rows(spark, sf_dir)))
+    return r6(mt.precision_recall_f1(scored(spark, sf_dir)))
 
 
 @query("balanced_accuracy", _from_confusion(f"{R(BA)} AS balanced_accuracy"))
 def balanced_accuracy(spark, sf_dir):
-    return r6(mt.balanced_accuracy(test_rows(spark, sf_dir)))
+    return r6(mt.balanced_accuracy(scored(spark, sf_dir)))
 
 
 @query("mcc", _from_confusion(f"{R(MCC)} AS mcc"))
 def mcc(spark, sf_dir):
-    return r6(mt.mcc(test_rows(spark, sf_dir)))
+    return r6(mt.mcc(scored(spark, sf_dir)))
 
 
 @query("auroc", f"WITH {TEST}, a AS ({auroc_sql('t', '', 'p')}) SELECT {R('auroc')} AS auroc FROM a")
 def auroc(spark, sf_dir):
-    return r6(mt.auroc(test_rows(spark, sf_dir)))
+    return r6(mt.auroc(scored(spark, sf_dir)))
 
 
 @query(
@@ -123,17 +123,17 @@ SELECT {R('p')} AS threshold, {R('fpr')} AS fpr, {R('tpr')} AS tpr FROM c
 UNION ALL SELECT CAST('inf' AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)""",
 )
 def roc_curve(spark, sf_dir):
-    return r6(mt.roc_curve(test_rows(spark, sf_dir)))
+    return r6(mt.roc_curve(scored(spark, sf_dir)))
 
 
 @query("point_biserial", f"WITH {TEST} SELECT {R('corr(p, y)')} AS rho FROM t")
 def point_biserial(spark, sf_dir):
-    return r6(mt.point_biserial(test_rows(spark, sf_dir)))
+    return r6(mt.point_biserial(scored(spark, sf_dir)))
 
 
 @query("point_biserial_logit", f"WITH {TEST} SELECT l_linestatus, {R('corr(ln(p / (1 - p)), y)')} AS rho FROM t GROUP BY 1")
 def point_biserial_logit(spark, sf_dir):
-    return r6(mt.point_biserial(test_rows(spark, sf_dir), ["l_linestatus"], logit=True))
+    return r6(mt.point_biserial(scored(spark, sf_dir), ["l_linestatus"], logit=True))
 
 
 _LONG = """long AS (SELECT vec_id, label AS true_cls, CAST(r.cls AS INTEGER) AS cls, CAST(embedding[r.cls + 1] AS DOUBLE) AS score
@@ -195,7 +195,7 @@ sweep AS (SELECT idx, cut AS threshold, {ACC} AS accuracy,
     f"WITH {_SWEEP} SELECT idx, {R('threshold')} AS threshold, {R('accuracy')} AS accuracy, round(mse, 2) AS mse FROM sweep",
 )
 def threshold_sweep(spark, sf_dir):
-    out = r6(mt.threshold_sweep(test_rows(spark, sf_dir)))
+    out = r6(mt.threshold_sweep(scored(spark, sf_dir)))
     return out.withColumn("mse", F.round("mse", 2))
 
 
@@ -205,7 +205,7 @@ def threshold_sweep(spark, sf_dir):
 FROM sweep ORDER BY mse, idx LIMIT 1""",
 )
 def optimal_threshold(spark, sf_dir):
-    return r6(mt.optimal_threshold(test_rows(spark, sf_dir)))
+    return r6(mt.optimal_threshold(scored(spark, sf_dir)))
 
 
 @query(
@@ -240,7 +240,17 @@ def bundle_out(df):
 
 @query("metric_bundle", f"WITH {TEST}, {bundle_sql('t', 'l_linestatus', 'p', '0.5')} SELECT l_linestatus, {BUNDLE_OUT} FROM bundle")
 def metric_bundle(spark, sf_dir):
-    return bundle_out(mt.metric_bundle(test_rows(spark, sf_dir), ["l_linestatus"]))
+    return bundle_out(mt.metric_bundle(scored(spark, sf_dir), ["l_linestatus"]))
+
+
+@query(
+    "metric_bundle_with_missing",
+    f"WITH {SCORED_SQL}, t AS (SELECT * FROM scored WHERE l_partkey % 10 <> 3), {bundle_sql('t', 'l_linestatus', 'p', '0.5')} SELECT l_linestatus, {BUNDLE_OUT} FROM bundle",
+)
+def metric_bundle_with_missing(spark, sf_dir):
+    """Scores nulled where the part key ends in 3: those rows take no part in any metric."""
+    rows = scored(spark, sf_dir).withColumn("p", F.when(F.col("l_partkey") % 10 != 3, F.col("p")))
+    return bundle_out(mt.metric_bundle(rows, ["l_linestatus"]))
 
 
 FOUR_LONG_SQL = f"""{FOUR_SQL},

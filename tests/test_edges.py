@@ -252,3 +252,38 @@ def test_multiclass_equals_binary_correlation(spark):
 def test_terms_of_many_scripts(spark):
     df = spark.createDataFrame([("ΑΒΓ déjà_vu 漢字仮名 no-ab 12 345",)], "text STRING")
     assert df.select(tx.terms("text")).head()[0] == ["αβγ", "déjà_vu", "漢字仮名", "345"]
+
+
+def test_missing_scores_take_no_part(spark):
+    from sharewise.operators import density, metrics
+
+    rows = [(i % 2, i / 20) for i in range(20)]
+    schema = "y int, p double"
+    whole = spark.createDataFrame(rows, schema)
+    gaps = spark.createDataFrame(rows + [(1, None), (0, None), (0, None)], schema)
+    for f in (metrics.metric_bundle, metrics.point_biserial, metrics.threshold_sweep, metrics.score_histogram, density.density_hist, density.density_sliding):
+        got, want = (
+            sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in f(rows_).collect()) for rows_ in (gaps, whole)
+        )
+        assert got == want
+    wide = spark.createDataFrame([(1, -0.5), (1, 1.5), (0, 0.5)], schema)
+    assert density.density_sliding(wide).count() == 2000
+
+
+def test_rows_without_a_state_stay(spark):
+    from sharewise.operators import calibration
+
+    rows = spark.createDataFrame([("a", 0.7), ("b", 0.7)], "k string, p double")
+    state = spark.createDataFrame([("a", 0.5)], "k string, threshold double")
+    got = {r.k: r.cal_label for r in calibration.predict_calibrated(rows, state, ["k"]).collect()}
+    assert got == {"a": True, "b": None}
+
+
+def test_samples_of_empty_pools_and_null_strata(spark):
+    from sharewise.operators import sampling
+
+    with pytest.raises(ValueError):
+        sampling.sample_n(spark.createDataFrame([], "id long"), ["id"], 5)
+    rows = spark.createDataFrame([(i, None if i < 10 else "s") for i in range(20)], "id long, s string")
+    got = sampling.sample_n(rows, ["id"], 4, strata=["s"]).groupBy("s").count().collect()
+    assert sorted(r["count"] for r in got) == [4, 4]
