@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: A task forgets its words when it holds this many, so memory stays bounded.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 @lru_cache(maxsize=2)
@@ -153,8 +153,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         ranks, pairs = load_ranks(vocabulary), load_pairs(vocabulary)
         known: dict[str, bytes] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 texts = [split(t or "") for t in part.column("text").to_pylist()]
                 if len(known) > KEPT_WORDS:
                     known.clear()
@@ -178,20 +178,22 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         ranks = load_ranks(vocabulary)
         token = {rank: raw for raw, rank in ranks.items()}
         digits = {rank: str(rank) for rank in token}
-        for batch in batches:
-            ids = batch.column("ids")
-            values = ids.flatten().to_numpy(zero_copy_only=False)
-            sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            counts, digests, bodies = [], [], []
-            for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
-                own = values[end - n : end].tolist()
-                counts.append(n)
-                digests.append(hashlib.sha256(" ".join(map(digits.__getitem__, own)).encode()).hexdigest())
-                bodies.append(b"".join(map(token.__getitem__, own)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(bodies, pa.binary())],
-                ["doc_id", "n_tokens", "ids_sha256", "text"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                ids = batch.column("ids")
+                values = ids.flatten().to_numpy(zero_copy_only=False)
+                sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                counts, digests, bodies = [], [], []
+                for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                    own = values[end - n : end].tolist()
+                    counts.append(n)
+                    digests.append(hashlib.sha256(" ".join(map(digits.__getitem__, own)).encode()).hexdigest())
+                    bodies.append(b"".join(map(token.__getitem__, own)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(bodies, pa.binary())],
+                    ["doc_id", "n_tokens", "ids_sha256", "text"],
+                )
 
     return encoded.select("doc_id", "ids").mapInArrow(
         work, f"doc_id {kind}, n_tokens long, ids_sha256 string, text binary"

@@ -240,6 +240,8 @@ def repeated(text: np.ndarray, cap: int, memory: int = MEMORY_ENTRIES, scratch:
     text = np.r_[text.astype(np.int32) + 1, 0]
     smaller = _types(text)
     starts = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    # Where Spark itself spills on this machine; nothing in it outlives the sort.
+    scratch = scratch or os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
     with tempfile.TemporaryDirectory(dir=scratch) as folder:
         # Substrings from one start to the next, in order.
         loose = starts[np.argsort(_narrow(text[starts]), kind="stable")]

@@ -31,7 +31,7 @@ LENGTH = 400
 GRAM = 64
 
 #: Bytes of segments that one induction sorts.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 #: Runs shared by more different segments than this are hot.
 HOT_SEGMENTS = 2048
@@ -126,7 +126,7 @@ def _cut_out(candidates: DataFrame, length: int) -> DataFrame:
                 for starts, digest, n, run, body in segments(data[offsets[i] : offsets[i + 1]].tobytes(), found):
                     rows.append((key, starts, digest, n, run, copies * len(starts), body))
                     size += len(body)
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield record(rows)
                     rows, size = [], 0
             if rows:

@@ -17,7 +17,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 
 #: At most this many bytes of text (or one text) are worked on at a time.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
