@@ -5,10 +5,12 @@ Each query applies one operator to a whole table and derives the columns of its
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharewise.llm import backoff, bpe, fingerprints, licenses, mixing, quality, simhash, suffix, topk, warc
+from sharewise.llm import backoff, bpe, fingerprints, licenses, mixing, quality, simhash, suffix, texts, topk, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -17,8 +19,13 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def query(function):
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts.small_batches(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

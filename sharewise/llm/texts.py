@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Multiplier of the polynomial hash; odd, so it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -19,9 +20,18 @@ BASE = 0x9E3779B97F4A7C15
 #: At most this many bytes of text (or one text) are worked on at a time.
 PIECE_BYTES = 512 << 10
 
+#: Rows per Arrow batch while whole texts or pages go through Python.
+BATCH_ROWS = 1000
+
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand over ``BATCH_ROWS`` rows at a time: rows hold whole texts, and a batch of
+    the default 10,000 is in memory several times over, in the executor and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _classes(one: Sequence[int], two: Sequence[int] = ()) -> np.ndarray:
     table = np.zeros(256, np.uint8)
     table[list(one)] = 1
