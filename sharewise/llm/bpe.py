@@ -54,6 +54,10 @@ class _Index:
 
     def __init__(self, pairs: np.ndarray, ranks: np.ndarray) -> None:
         self.pairs, self.ranks = pairs, ranks
+        #: Tokens that join some neighbour at a rank below their own.
+        self.early = np.zeros(max(1 << 16, int(ranks.max(initial=0)) + 1), bool)
+        for part in (pairs >> 16, pairs & 0xFFFF):
+            self.early[part[part > ranks]] = True
         self.slabs: dict[int, list[tuple[np.ndarray, ...]]] = {}
         self.order: list[int] = []
 
@@ -63,11 +67,18 @@ class _Index:
             heapq.heappush(self.order, slab)
         self.slabs[slab].append(entries)
 
+    def rank_of(self, pairs: np.ndarray) -> np.ndarray:
+        """The rank at which each pair is merged, -1 where it makes no token."""
+        if not len(self.pairs):
+            return np.full(len(pairs), -1)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.ranks[at], -1)
+
     def add(self, places: np.ndarray, pairs: np.ndarray) -> None:
         """Post the places whose pair makes a token."""
-        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-        hit = self.pairs[at] == pairs
-        places, pairs, ranks = places[hit], pairs[hit], self.ranks[at[hit]]
+        ranks = self.rank_of(pairs)
+        hit = ranks >= 0
+        places, pairs, ranks = places[hit], pairs[hit], ranks[hit]
         slab = ranks >> 8
         by = np.argsort(slab.astype(np.uint16), kind="stable")
         heads = np.flatnonzero(np.r_[True, np.diff(slab[by]) != 0]) if len(by) else []
@@ -80,13 +91,50 @@ class _Index:
         return slab, tuple(np.concatenate(x) for x in zip(*self.slabs.pop(slab), strict=True))
 
 
+def _early(index: _Index, rank: np.ndarray, place: np.ndarray, symbol: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places whose new token joins a neighbour, as it is or merged alike, at a rank below its own."""
+    before, after = left[place], right[right[place]]
+    sides = [
+        np.where(before >= 0, symbol[before] << 16 | rank, -1),
+        np.where(after >= 0, rank << 16 | symbol[after], -1),
+        rank << 16 | rank,
+    ]
+    out = np.zeros(len(place), bool)
+    for key in sides:
+        joined = index.rank_of(key)
+        out |= (joined >= 0) & (joined < rank)
+    return out
+
+
+def _applied(index: _Index, rank: np.ndarray, place: np.ndarray, word: np.ndarray, symbol: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which entries, in order of (word, rank, place), are merged now: those of the word's lowest rank.
+
+    Of places that overlap, every other one from the left.  A word in which a new token would join a
+    neighbour at a still lower rank merges its leftmost place alone, as that join comes first.
+    """
+    at = np.arange(len(place))
+    head = np.r_[True, word[place[1:]] != word[place[:-1]]]
+    own = np.cumsum(head) - 1
+    lowest = rank == rank[head][own]
+    alone = np.zeros(own[-1] + 1, bool)
+    check = np.flatnonzero(lowest & index.early[rank])
+    alone[own[check[_early(index, rank[check], place[check], symbol, left, right)]]] = True
+    some = at[lowest & (head | ~alone[own])]
+    overlaps = np.r_[False, place[some[1:]] == right[place[some[:-1]]]]
+    turn = np.arange(len(some))
+    chain = np.maximum.accumulate(np.where(overlaps, 0, turn))
+    out = np.zeros(len(place), bool)
+    out[some[(turn - chain) % 2 == 0]] = True
+    return out
+
+
 def replay(words: Sequence[bytes], ranks: Mapping[bytes, int], pairs: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
     """The ids of each word, packed as 32-bit integers, from one replay of the merges over all words.
 
-    The lowest slab of ranks that has places is taken; in it each word applies its lowest rank,
-    leftmost place first, and the pairs of the two touched neighbours are posted anew.  What else
-    the slab holds goes back, so a pair of a still lower rank comes first and every word sees
-    its merges in the order of rank.
+    The lowest slab of ranks that has places is taken; in it each word applies its lowest rank at all
+    its places, leftmost first, and the pairs of the touched neighbours are posted anew.  What
+    else the slab holds goes back, so a pair of a still lower rank comes first and every word sees
+    its merges in the order of rank.  A very long word takes as many turns as it has ranks, not places.
     """
     whole = [ranks.get(w) for w in words]
     split = [i for i, r in enumerate(whole) if r is None and words[i]]
@@ -117,18 +165,18 @@ def replay(words: Sequence[bytes], ranks: Mapping[bytes, int], pairs: tuple[np.n
         if len(place) == 0:
             continue
         order = np.lexsort((place, rank, word[place]))
-        first = np.r_[True, np.diff(word[place[order]]) != 0]
-        rest = order[~first]
-        if len(rest):
-            index.put(slab, (rank[rest], place[rest], key[rest]))
-        p, merged = place[order[first]], rank[order[first]]
+        rank, place, key = rank[order], place[order], key[order]
+        apply = _applied(index, rank, place, word, symbol, left, right)
+        if not apply.all():
+            index.put(slab, (rank[~apply], place[~apply], key[~apply]))
+        p, merged = place[apply], rank[apply]
         q = right[p]
         symbol[p], symbol[q] = merged, -1
         after = right[q]
         right[p] = after
         left[after[after >= 0]] = p[after >= 0]
         before = left[p]
-        touched = np.concatenate([before[before >= 0], p])
+        touched = np.unique(np.concatenate([before[before >= 0], p]))
         index.add(touched, pair(touched))
     ends = np.cumsum(np.bincount(word[symbol >= 0], minlength=len(split))) * 4
     packed = symbol[symbol >= 0].astype("<i4").tobytes()

@@ -54,6 +54,14 @@ def test_replay_with_ranks_that_come_late():
     assert [np.frombuffer(p, "<i4").tolist() for p in packed] == [alone(w) for w in words]
 
 
+def test_very_long_words_merge_as_in_the_library(library):
+    draw = np.random.default_rng(2)
+    words = [b"a" * 20_000, b"the" * 5000, "".join(draw.choice(list("abcdefgh"), 30_000)).encode(), "漢字".encode() * 3000]
+    ranks, pairs = bpe.load_ranks(vocabulary()[0]), bpe.load_pairs(vocabulary()[0])
+    for word, packed in zip(words, bpe.replay(words, ranks, pairs), strict=True):
+        assert np.frombuffer(packed, "<i4").tolist() == library._core_bpe.encode_single_piece(word)
+
+
 def test_awkward_texts_round_trip(spark, library):
     path, pattern = vocabulary()
     docs = frame(spark)
