@@ -31,9 +31,16 @@ def _labels(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "label")
 
 
-def _pooled_corpus(train: DataFrame, test: DataFrame, base_lang: str) -> DataFrame:
-    """The terms of both pools; a document in both is counted once."""
-    pools = [df.select("doc_id", "text", "lang") for df in (train, test)]
+def _pooled_corpus(train: DataFrame, test: DataFrame, base_lang: str, used: Sequence[DataFrame]) -> DataFrame:
+    """The terms of the documents of both pools that occur in ``used``; one in both pools is counted once.
+
+    Texts that no run draws are left out before they are tokenised.
+    """
+    ids = used[0].select("doc_id")
+    for rows in used[1:]:
+        ids = ids.unionByName(rows.select("doc_id"))
+    drawn = store(ids.distinct(), "drawn")
+    pools = [df.select("doc_id", "text", "lang").join(drawn, "doc_id", "left_semi") for df in (train, test)]
     return ft.corpus_terms(pools[0].unionByName(pools[1]), base_lang=base_lang, distinct=True)
 
 
@@ -87,10 +94,11 @@ def bootstrap_benchmark(
     n_neg = (pos.count() - 1) * 7 // 3
     others = _sample_by_run(neg, runs, lambda _: F.lit(n_neg), f"{seed}-neg")
     training = drawn.withColumn("label", F.lit(1.0)).unionByName(others.withColumn("copies", F.lit(1).cast("long")))
+    training = store(training, "training")
 
-    held_out = _labels(sp.stratified_sample(test, KEY, "label", test_frac, f"{seed}-test"))
+    held_out = store(_labels(sp.stratified_sample(test, KEY, "label", test_frac, f"{seed}-test")), "held_out")
     rows = held_out.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
-    corpus = _pooled_corpus(train, test, base_lang)
+    corpus = _pooled_corpus(train, test, base_lang, [training, held_out])
     fitted = md.fit_runs(corpus, training, runs, mindf)
     pred, _ = predictions(corpus, rows, fitted)
     votes = store(vote_replicates(pred, ["doc_id", "label"]), "votes")
@@ -126,9 +134,9 @@ def machines_report(
     one = F.lit(1).cast("long")
     pos = _labels(train.where("label = 1")).withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in ids])))
     neg = _sample_by_run(train.where("label = 0"), ids, negatives, f"{seed}-neg")
-    training = pos.unionByName(neg).withColumn("copies", one)
-    rows = _sample_by_run(test, ids, lambda n: F.floor(n * F.lit(test_frac)), f"{seed}-test")
-    corpus = _pooled_corpus(train, test, base_lang)
+    training = store(pos.unionByName(neg).withColumn("copies", one), "training")
+    rows = store(_sample_by_run(test, ids, lambda n: F.floor(n * F.lit(test_frac)), f"{seed}-test"), "held_out")
+    corpus = _pooled_corpus(train, test, base_lang, [training, rows])
     fitted = md.fit_runs(corpus, training, runs, mindf)
     pred, state = predictions(corpus, rows, fitted)
     cut = attach(pred, state, RUN, ["threshold"])
@@ -281,13 +289,13 @@ def ensemble_benchmark(
     runs = [e * size + m for e in ens_ids for m in range(size)]
     pos = _labels(train.where("label = 1")).withColumn("run_id", F.explode(F.array(*[F.lit(e) for e in ens_ids])))
     neg = _sample_by_run(train.where("label = 0"), ens_ids, lambda n: F.floor(n * F.lit(neg_frac)), f"{seed}-neg")
-    seen = pos.unionByName(neg).withColumnRenamed("run_id", "ensemble_id")
+    seen = store(pos.unionByName(neg).withColumnRenamed("run_id", "ensemble_id"), "seen")
     held = materialize(
         _sample_by_run(test, ens_ids, lambda n: F.floor(n * F.lit(test_frac)), f"{seed}-test").withColumnRenamed(
             "run_id", "ensemble_id"
         )
     )
-    corpus = _pooled_corpus(train, test, base_lang)
+    corpus = _pooled_corpus(train, test, base_lang, [seen, held])
     per_member = lambda df: df.withColumn("_m", F.explode(F.array(*[F.lit(m) for m in range(size)]))).select(
         (F.col("ensemble_id") * size + F.col("_m")).cast("int").alias("run_id"), "doc_id", "label"
     )
