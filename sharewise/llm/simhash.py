@@ -169,13 +169,15 @@ def hexadecimal(column: str) -> F.Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that name their component: one row of each group, all columns.
 
-    Of repeated rows with that doc_id one stays (that with the smallest text); rows of a
-    component without any doc_id all stay.
+    ``found`` has doc_id and component_id of every row; by default ``components_of`` gives it.
+    Of repeated rows with that doc_id one stays (that with the smallest text); rows without a
+    doc_id all stay.
     """
-    kept = components_of(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__sw_kept"))
+    found = components_of(docs) if found is None else found
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__sw_kept"))
     kept = store(kept.agg(F.count(F.lit(1)).alias("__sw_rows")), "kept")
     named = docs.join(kept, F.col("doc_id") == F.col("__sw_kept")).drop("__sw_kept")
     single = named.where("__sw_rows = 1").drop("__sw_rows")

@@ -6,9 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import frame, prose, texts
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sharewise.llm import induced, simhash, suffix
+from sharewise.llm import induced, near, simhash, suffix
 from sharewise.llm.queries import QUERIES
 
 
@@ -73,20 +74,67 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(rows):
-    prints = [(i, plain_print(t)) for i, t in rows]
-    parent = {i: i for i, _ in prints}
+def plain_groups(items, alike):
+    """The smallest id that each id reaches over pairs that are alike."""
+    parent = {i: i for i, _ in items}
 
     def top(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i, x in prints:
-        for j, y in prints:
-            if (x ^ y).bit_count() <= 2 and top(i) != top(j):
+    for k, (i, x) in enumerate(items):
+        for j, y in items[:k]:
+            if alike(x, y) and top(i) != top(j):
                 parent[max(top(i), top(j))] = min(top(i), top(j))
-    return sorted((i, f"{x:016x}", top(i)) for i, x in prints)
+    return {i: top(i) for i in parent}
+
+
+def plain_components(rows):
+    prints = [(i, plain_print(t)) for i, t in rows]
+    found = plain_groups(prints, lambda x, y: (x ^ y).bit_count() <= 2)
+    return sorted((i, f"{x:016x}", found[i]) for i, x in prints)
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_near(rows):
+    alike = lambda x, y: not x | y or len(x & y) >= 0.8 * len(x | y)
+    return plain_groups([(i, plain_shingles(t)) for i, t in rows], alike)
+
+
+def edited(words, at, step):
+    """Words of which each ``step``-th from ``at`` on is another."""
+    return " ".join(f"new{at}" if k % step == at else w for k, w in enumerate(words))
+
+
+def test_near_copies_of_the_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r.component_id for r in near.components_of(docs).collect()}
+    assert rows == plain_near([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_near_copies_in_large_groups_and_awkward_rows(spark):
+    """One large group of copies that differ from the first at most, chains, and texts just too far apart."""
+    body = prose(11, 300).split()
+    group = [edited(body, at, 300) for at in range(80)]
+    chain = [" ".join(body[:100] + [f"a{k}" for k in range(5 * n)] + body[100 + 5 * n : 200]) for n in range(8)]
+    far = [edited(prose(12, 200).split(), at, 30) for at in range(3)]
+    rows = [*texts(), *group, *chain, *far, *group[:5], None]
+    docs = frame(spark, rows)
+    found = near.components_of(docs)
+    plain = plain_near([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: r.component_id for r in found.collect()} == plain
+    assert len({plain[i] for i, t in enumerate(rows) if t in group}) == 1
+    kept = simhash.keep_one(docs, found)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(plain.values()))
+    assert near.components_of(frame(spark, [])).count() == 0
+    unnamed = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert simhash.keep_one(unnamed, near.components_of(unnamed)).count() == docs.count()
 
 
 def test_simhash_query_against_all_pairs(spark, sf_dir):
