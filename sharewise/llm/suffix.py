@@ -205,7 +205,7 @@ def repeats(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_segments: int = HOT_SEGMENTS
 ) -> DataFrame:
     """key (of a text) and removed of texts that lose bytes: from each of ``starts`` on, the bytes
-    from ``low`` to ``high`` (exclusive)."""
+    from ``low`` to ``high`` (exclusive) of each of ``ranges``."""
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", _key(F.col("text")))
     every = store(_segments(rows, length, gram), "segments")
     # A table of its own, so that Spark can split the rows of a run that very many texts share.
@@ -226,16 +226,18 @@ def repeats(
         calm = unique.join(hot, "run", "left_anti")
         ranges = ranges.unionByName(_count_strings(unique.join(hot, "run", "left_semi"), length))
     ranges = ranges.unionByName(_sort_shards(calm, length, shard_bytes))
-    placed = cut.select("key", "starts", "digest").join(store(ranges, "ranges"), "digest").select(
-        "key", F.struct("starts", "low", (F.col("high") + length).alias("high")).alias("r")
-    )
+    # All ranges of a segment in one row: a segment has at most length - gram + 1 starts.
+    spans = ranges.select("digest", F.struct("low", (F.col("high") + length).alias("high")).alias("span"))
+    spans = store(spans.groupBy("digest").agg(F.collect_set("span").alias("ranges")), "ranges")
+    placed = cut.select("key", "starts", "digest").join(spans, "digest").select("key", F.struct("starts", "ranges").alias("r"))
     return placed.groupBy("key").agg(F.collect_set("r").alias("removed"))
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
     """The removed byte ranges of a text in order, those that touch or overlap joined."""
     out: list[list[int]] = []
-    for low, high in sorted((s + r["low"], s + r["high"]) for r in ranges or () for s in r["starts"]):
+    every = ((s + span["low"], s + span["high"]) for r in ranges or () for span in r["ranges"] for s in r["starts"])
+    for low, high in sorted(every):
         if out and low <= out[-1][1]:
             out[-1][1] = max(out[-1][1], high)
         else:
