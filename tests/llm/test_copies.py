@@ -1,6 +1,7 @@
 """Suffix removal and SimHash against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ from helpers import frame, prose, texts
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sharewise.llm import induced, near, simhash, suffix
+from sharewise.llm import induced, lists, near, simhash, suffix
 from sharewise.llm.queries import QUERIES
 
 
@@ -137,6 +138,35 @@ def test_near_copies_in_large_groups_and_awkward_rows(spark):
     assert simhash.keep_one(unnamed, near.components_of(unnamed)).count() == docs.count()
 
 
+def replaced(words, draw, places):
+    """Words of which so many, far from one another, are others of their own."""
+    gap = len(words) // places
+    out = list(words)
+    for k in range(places):
+        out[k * gap + draw.randrange(gap - 5)] = f"own{draw.random()}"
+    return " ".join(out)
+
+
+def test_a_star_of_copies_each_edited_on_its_own(spark):
+    """Copy to original 0.89, copy to copy 0.79: most copies are linked only through the original."""
+    draw = random.Random(7)
+    words = [f"w{draw.randint(0, 9999)}" for _ in range(504)]
+    rows = [(i, replaced(words, draw, 6) if i else " ".join(words)) for i in range(1001)]
+    found = near.components_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 1001
+
+
+def test_edited_copies_without_their_original(spark, monkeypatch):
+    draw = random.Random(8)
+    words = [f"w{draw.randint(0, 9999)}" for _ in range(504)]
+    rows = [(i, replaced(words, draw, 6)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for few, block in ((16, 1024), (1000, 20)):  # pivots first; all pairs at once, in small cells
+        monkeypatch.setattr(lists, "FEW_PAIRS", few)
+        monkeypatch.setattr(lists, "BLOCK", block)
+        assert {r.doc_id: r.component_id for r in near.components_of(docs).collect()} == plain_near(rows)
+
+
 def test_simhash_query_against_all_pairs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     rows = QUERIES["op7_simhash"](spark, sf_dir).collect()
