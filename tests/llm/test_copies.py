@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,38 @@ def test_rows_keep_their_columns(spark):
     assert rows[0].text is None and rows[7].text == rows[16].text == "" and rows[9].n_chars == len(rows[9].text)
 
 
+def plain_passages(rows, length):
+    """Texts without the runs of ``length`` words that also start elsewhere, from first to last byte of a word."""
+    words = {i: [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^ \t-\r]+", (t or "").encode())] for i, t in rows}
+    strings = lambda w: [tuple(x[2] for x in w[p : p + length]) for p in range(len(w) - length + 1)]
+    often = Counter(s for w in words.values() for s in strings(w))
+    out = {}
+    for i, t in rows:
+        gone = sorted({p + k for p, s in enumerate(strings(words[i])) if often[s] > 1 for k in range(length)})
+        raw = bytearray((t or "").encode())
+        keep = np.ones(len(raw), bool)
+        for p in gone:
+            after = words[i][p + 1][0] if p + 1 in set(gone) else words[i][p][1]
+            keep[words[i][p][0] : after] = False
+        out[i] = bytes(np.frombuffer(bytes(raw), np.uint8)[keep]).decode()
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_segments": 1}, {"shard_bytes": 2000}])
+def test_passages_of_short_words(spark, options):
+    """51 words of one letter take 101 bytes; fifty words of many bytes are no passage."""
+    draw = random.Random(3)
+    short = [" ".join(draw.choice("abcdefghij") for _ in range(n)) for n in (51, 50)]
+    long = " ".join(f"word{draw.randint(0, 999):020d}" for _ in range(50))
+    rows = [f"{prose(40 + k, 30)} {p}  {prose(60 + k, 30)}" for k, p in enumerate([*short, *short, long, long])]
+    rows += [short[0].replace(" ", "\n"), *texts()]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text or "" for r in suffix.remove_rows(docs, words=True, length=51, gram=16, **options).collect()}
+    want = plain_passages(list(enumerate(rows)), 51)
+    assert got == want
+    assert short[0] not in got[0] + got[2] and short[1] in got[1] and long in got[4]
+
+
 def plain_print(text):
     words = (text or "").encode().lower().split()
     runs = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [b" ".join(words)] * bool(words)
