@@ -3,9 +3,9 @@
 Texts are lower-cased (A-Z) and reduced to words joined by one blank.  A notice that may hold e
 edits is cut into e + 1 pieces; by the pigeonhole principle one of them stands unchanged in every
 place with at most e edits, so only windows around exact pieces are candidates.  Spark keeps
-the texts with a seed; in them the regex library matches the notice with at most e errors
-(best match, whole words), which verifies the edits and gives the span.  A place without
-edits is a *base* place.  The words that tell one license from another must stand unedited.
+the texts with a seed; in them every run of whole words about a seed is matched by the regex library
+with at most e errors, which verifies the edits.  Of places of a notice that overlap, the one with
+fewest edits stands, then the first.  A place without edits is a *base* place.  The words that tell one license from another must stand unedited.
 
 Defined cases: null and empty texts have no words, places or labels and score 0; repeated rows are
 scanned each; an empty table gives no rows; other columns are not read.
@@ -78,33 +78,30 @@ def places(text: str, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int,
         out += [(number, s, s + size, 0) for s in exact]
         if not edits:
             continue
-        windows: list[list[int]] = []
-        starts = sorted(
+        # A place with at most ``edits`` edits starts and ends within that many characters of a seed's shift.
+        shifts = {
             m.start() - offset
             for offset, piece in notice.seeds()
             for m in re.finditer(f"(?={re.escape(piece)})", text)
-        )
-        for s in starts:
-            low, high = max(0, s - edits), min(len(text), s + size + edits)
-            if windows and low <= windows[-1][1]:
-                windows[-1][1] = max(high, windows[-1][1])
-            else:
-                windows.append([low, high])
-        fuzzy = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(notice.phrase)}){{1<=e<={edits}}}(?![^ ])")
-        for low, high in windows:
-            at = low
-            while match := fuzzy.search(text, at, high):
-                start, end = match.span()
-                near = [s for s in exact if s < end and start < s + size]
-                if near:
-                    at = max(start + 1, min(near) + size)
+        }
+        starts = {at for s in shifts for at in range(max(0, s - edits), min(len(text), s + edits + 1)) if at == 0 or text[at - 1] == " "}
+        fuzzy = regex.compile(rf"(?b)(?:{regex.escape(notice.phrase)}){{1<=e<={edits}}}")
+        found = []
+        for start in starts:
+            for end in range(start + size - edits, min(len(text), start + size + edits) + 1):
+                if end < len(text) and text[end] != " ":
                     continue
-                found = text[start:end].split(" ")
-                if all(word in found for word in notice.telling):
-                    out.append((number, start, end, sum(match.fuzzy_counts)))
-                    at = end
-                else:
-                    at = start + 1
+                if any(s < end and start < s + size for s in exact):
+                    continue
+                own = text[start:end].split(" ")
+                if all(word in own for word in notice.telling) and (match := fuzzy.fullmatch(text, start, end)):
+                    found.append((sum(match.fuzzy_counts), start, end))
+        # Of places that overlap the one with fewest edits stands, then the first.
+        taken: list[tuple[int, int]] = []
+        for cost, start, end in sorted(found):
+            if not any(a < end and start < b for a, b in taken):
+                taken.append((start, end))
+                out.append((number, start, end, cost))
     return sorted(out, key=lambda p: (p[1], p[0]))
 
 

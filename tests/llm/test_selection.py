@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -245,3 +246,42 @@ def test_pipeline_stages_take_empty_and_awkward_documents(spark, sf_dir):
         docs = frame(spark, rows).select(names)
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, sf_dir).count()
+
+
+def plain_edits(one, two):
+    row = list(range(len(two) + 1))
+    for i, x in enumerate(one, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(two, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_license_places_against_all_runs_of_words():
+    """Every edited place is reported or overlaps one with as few edits; nothing else is reported."""
+    draw, dense = random.Random(9), ["bsd 3 claus licence and bsd 2 clause license"]
+    for _ in range(30):
+        parts = []
+        for notice in draw.choices(licenses.NOTICES, k=5):
+            phrase = list(notice.phrase)
+            for _ in range(draw.randint(0, 3)):
+                phrase[draw.randrange(len(phrase))] = draw.choice(["", "x", "ee", " "])
+            parts.append("".join(phrase))
+        dense.append(" ".join(" ".join(parts).split()))
+    assert [licenses.NOTICES[p[0]].label for p in licenses.places(dense[0])] == ["bsd-3-clause", "bsd-2-clause"]
+    for text in dense:
+        got = licenses.places(text)
+        starts = [m.start() for m in re.finditer(r"[^ ]+", text)]
+        ends = [m.end() for m in re.finditer(r"[^ ]+", text)]
+        for number, notice in enumerate(licenses.NOTICES):
+            every = {}
+            for a in starts:
+                for b in ends:
+                    if abs(b - a - len(notice.phrase)) <= notice.edits:
+                        cost = plain_edits(notice.phrase, text[a:b])
+                        if cost == 0 or cost <= notice.edits and set(notice.telling) <= set(text[a:b].split()):
+                            every[a, b] = cost
+            own = {(a, b): cost for n, a, b, cost in got if n == number}
+            assert own.items() <= every.items()
+            for (a, b), cost in every.items():
+                assert any(x < b and a < y and c <= cost for (x, y), c in own.items())
