@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sharewise.llm import texts
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 
 #: Bytes of text per batch.
