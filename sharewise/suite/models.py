@@ -85,27 +85,27 @@ def prevalence_of_new_documents(spark, sf_dir):
 @query("cross_validate")
 def cross_validate(spark, sf_dir):
     vectors, _ = training_vectors(spark, sf_dir)
-    scores, _ = ex.cross_validate(vectors, folds=5)
+    scores, _ = ex.cross_validate(vectors)
     return r6(scores)
 
 
 @query("benchmark_models")
 def benchmark_models(spark, sf_dir):
     vectors, _ = training_vectors(spark, sf_dir)
-    return r6(ex.benchmark_models(vectors, folds=2))
+    return r6(ex.benchmark_models(vectors))
 
 
 @query("bootstrap_benchmark")
 def bootstrap_benchmark(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
-    report, _ = ex.bootstrap_benchmark(train, test, replicates=3, mindf=MINDF, base_lang=BASE_LANG, test_frac=0.5)
+    report, _ = ex.bootstrap_benchmark(train, test, mindf=MINDF, base_lang=BASE_LANG, test_frac=0.5)
     return r6(report)
 
 
 @query("balanced_benchmark")
 def balanced_benchmark(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
-    return r6(ex.balanced_benchmark(train, test, machines=2, mindf=MINDF, base_lang=BASE_LANG, test_frac=0.5))
+    return r6(ex.balanced_benchmark(train, test, mindf=MINDF, base_lang=BASE_LANG, test_frac=0.5))
 
 
 @query("class_weight_sweep")
@@ -113,7 +113,7 @@ def class_weight_sweep(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
     return r6(
         ex.class_weight_sweep(
-            train, test, steps=2, machines=2, mindf=MINDF, base_lang=BASE_LANG, neg_frac=0.5, test_frac=0.5
+            train, test, steps=2, mindf=MINDF, base_lang=BASE_LANG, neg_frac=0.5, test_frac=0.5
         )
     )
 
@@ -135,6 +135,6 @@ def ensemble_benchmark(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
     return r6(
         ex.ensemble_benchmark(
-            train, test, ensembles=2, size=2, mindf=MINDF, base_lang=BASE_LANG, neg_frac=0.5, test_frac=0.5
+            train, test, mindf=MINDF, base_lang=BASE_LANG, neg_frac=0.5, test_frac=0.5
         )
     )
