@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharewise.llm import components, texts
+from sharewise.llm import lists, texts
 from sharewise.plans import store
 
 PERMUTATIONS = 128
@@ -163,23 +163,21 @@ def _shingles(value: str | None) -> set[bytes]:
 def near_links(spark: SparkSession, docs: DataFrame, bands: int = 32, least: float = 0.8) -> DataFrame:
     """Links (a, b, jaccard) between fingerprint classes that share a band, Jaccard verified.
 
-    A class is all rows of one fingerprint, named by that fingerprint.  In a band every class
-    is compared with the class of the smallest name in it and with its neighbour in order of
-    names, so a band of n classes gives at most 2n pairs, not n squared.  The pairs keep what a
-    band connects as far as those comparisons hold; ``bands`` is the recall knob.
+    A class is all rows of one fingerprint, named by that fingerprint.  The links join whatever the
+    links among all pairs of a band join (see ``lists``); ``bands`` is the recall knob.
     """
+    return _near(docs, bands, least)[0]
+
+
+def _near(docs: DataFrame, bands: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of the fingerprint classes."""
     named = fingerprint(docs).select("doc_id", "fingerprint")
     classes = store(named.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "classes")
     width = PERMUTATIONS * 4 // bands
-    keys = classes.select(
-        F.col("fingerprint").alias("name"),
-        F.posexplode(F.array(*[F.substring("fingerprint", i * width + 1, width) for i in range(bands)])).alias("band", "key"),
-    )
-    inside = Window.partitionBy("band", "key").orderBy("name")
-    pairs = keys.select(
-        F.col("name").alias("b"), F.array(F.first("name").over(inside), F.lag("name").over(inside)).alias("a")
-    )
-    pairs = pairs.select(F.explode("a").alias("a"), "b").where("a is not null and a < b").distinct()
+    parts = F.array(*[F.xxhash64(F.substring("fingerprint", i * width + 1, width)) for i in range(bands)])
+    keys = classes.select(F.col("fingerprint").alias("name"), F.posexplode(parts).alias("band", "key"))
+    longs = [F.conv(F.substring("fingerprint", i * 16 + 1, 16), 16, -10).cast("long") for i in range(PERMUTATIONS // 4)]
+    sketches = classes.select(F.col("fingerprint").alias("name"), F.array(*longs).alias("bytes"))
     body = docs.select("doc_id", "text").join(classes, "doc_id").select(F.col("fingerprint").alias("name"), "text").dropDuplicates(["name"])
 
     @F.udf("double")
@@ -187,16 +185,18 @@ def near_links(spark: SparkSession, docs: DataFrame, bands: int = 32, least: flo
         x, y = _shingles(one), _shingles(two)
         return len(x & y) / len(x | y) if x or y else 1.0
 
-    both = pairs.join(body.select(F.col("name").alias("a"), F.col("text").alias("_x")), "a").join(
-        body.select(F.col("name").alias("b"), F.col("text").alias("_y")), "b"
-    )
-    return both.select("a", "b", jaccard("_x", "_y").alias("jaccard")).where(F.col("jaccard") >= least)
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(body.select(F.col("name").alias("a"), F.col("text").alias("_x")), "a").join(
+            body.select(F.col("name").alias("b"), F.col("text").alias("_y")), "b"
+        )
+        return both.select("a", "b", jaccard("_x", "_y").alias("jaccard")).where(F.col("jaccard") >= least)
+
+    return lists.covered(keys, ["band", "key"], sketches, verify)
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, bands: int = 32, least: float = 0.8) -> DataFrame:
     """doc_id, fingerprint and group (the smallest fingerprint reachable by verified links)."""
-    links = near_links(spark, docs, bands, least).select("a", "b")
-    groups = components.connected(links)
+    _, groups = _near(docs, bands, least)
     return (
         fingerprint(docs).join(groups.select(F.col("node").alias("fingerprint"), "label"), "fingerprint", "left")
         .select("doc_id", "fingerprint", F.coalesce("label", "fingerprint").alias("group"))

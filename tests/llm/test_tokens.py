@@ -1,5 +1,6 @@
 """Byte-level BPE against the tokenizer library, fingerprints and backoff against brute force."""
 
+import random
 import hashlib
 import math
 import re
@@ -155,3 +156,17 @@ def test_backoff_of_awkward_rows(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got) == want
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
     assert backoff.score(frame(spark, [])).count() == 0
+
+
+def test_bands_keep_a_star_of_edited_copies(spark):
+    """Copies edited on their own, linked mostly through the original; groups as from all pairs."""
+    draw = random.Random(7)
+    words = [f"w{draw.randint(0, 9999)}" for _ in range(504)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 121):
+        own = list(words)
+        for k in range(6):
+            own[k * 84 + draw.randrange(78)] = f"own{draw.random()}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert len({r.group for r in fingerprints.near_groups(spark, docs).collect()}) == 1
