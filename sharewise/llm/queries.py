@@ -10,7 +10,22 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharewise.llm import backoff, bpe, fingerprints, licenses, mixing, quality, simhash, suffix, texts, topk, warc
+from sharewise.llm import (
+    backoff,
+    bpe,
+    fill_in_middle,
+    fingerprints,
+    hard_negatives,
+    licenses,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    suffix,
+    texts,
+    topk,
+    warc,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -39,6 +54,13 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def json_vocabulary() -> tuple[str, str]:
+    """(path of the vocabulary as the tokenizers library reads it, split pattern)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
 @query
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sampled documents: doc_id, log_weight, score (with noise), keep (true)."""
@@ -107,30 +129,111 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each anchor and positive the first negatives between half and 95 % of the positive's score."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+@query
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2,048 tokens, with the CRC-32 of their ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), *json_vocabulary())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and cuts of every document, with digests of the output and of the text rebuilt from it."""
+    cut = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
+
 # Whole numbers below 2**53, so the sums of doubles are exact.
-ORACLES["op4_exact_topk"] = """
-WITH usable AS (
-    SELECT vec_id, [floor(CAST(x AS DOUBLE) * 256) FOR x IN embedding] AS v
+USABLE = """
+    SELECT row_number() OVER () AS own, vec_id, label, [CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE) FOR x IN embedding] AS v
     FROM embeddings
-    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
-), scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+"""
+
+ORACLES["op4_exact_topk"] = f"""
+WITH usable AS ({USABLE}), scored AS (
+    SELECT q.own, q.vec_id AS query_id, c.vec_id AS vec_id,
            CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+    FROM usable q JOIN usable c ON q.own <> c.own
     WHERE q.vec_id % 50 = 0
 ), ranked AS (
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+    SELECT query_id, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank, vec_id, score
     FROM scored
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+ORACLES["op11_hard_negatives"] = f"""
+WITH usable AS ({USABLE} AND label IS NOT NULL), named AS (
+    SELECT own, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM usable
+), scored AS (
+    SELECT q.own, q.vec_id AS anchor_id, c.vec_id AS vec_id, q.label = c.label AS alike,
+           CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM named q JOIN named c ON q.own <> c.own
+    WHERE q.vec_id % 50 = 0
+), positives AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS place FROM scored WHERE alike) p
+    WHERE place <= 5
+), ranked AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id,
+           row_number() OVER (PARTITION BY p.own, p.place ORDER BY n.score DESC, n.vec_id) AS rank,
+           n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON n.own = p.own AND NOT n.alike
+    WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+ORACLES["op13_fill_in_middle"] = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+           sha256('1:' || doc_id) AS h
+    FROM documents
+), counted AS (
+    SELECT doc_id, text, units, len(units) AS n,
+           CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+           CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+    FROM drawn
+), cut AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM counted
+), parts AS (
+    SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+           array_to_string(units[b + 1:], '') AS suffix
+    FROM cut
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
 ORACLES["op3_warc"] = """
 WITH payloads AS (
     SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
