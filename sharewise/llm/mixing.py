@@ -3,10 +3,11 @@
 A source's rate is its target over its size.  Each text is taken floor(rate) times for sure; the
 rest of the rate is its inclusion probability.  The flight phase moves the probabilities of three
 texts at a time along the null space of the constraints (total of words, number of texts) until
-one of them is 0 or 1.  It runs in blocks of a source, each block in one task; the two texts a
+one of them is 0 or 1.  It runs in blocks of a source, each block in one task; the texts a
 block leaves undecided meet in fewer blocks, level by level, until a source has one block.
-There the landing drops the text constraint, then the word constraint.  Blocks are cut by a
-hash, so a source with a third of all rows is many blocks, and only counts reach the driver.
+Some texts of all sizes sit out the flight of each block and go on with those it leaves undecided.
+In the last block they land: many draws by their chances are compared, and that nearest the totals
+is taken and mended text by text.  Blocks are cut by a hash, so a source with a third of all rows is many blocks, and only counts reach the driver.
 
 Defined cases: a null text has size 0; a null source is one source, last in order; texts without
 words are taken by chance like others and add nothing; if no text has a word, all targets
@@ -16,8 +17,10 @@ Reruns agree: every draw comes from a hash of the block and its rows.
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +30,9 @@ from sharewise.plans import dense_index, store
 #: Texts per block.
 BLOCK = 4096
 
+#: Least and largest number of texts of a block that sit out its flight, and draws compared at the landing.
+RESERVE, MOST_RESERVE, LANDINGS = 24, 256, 4096
+
 #: No text is taken more often.
 MOST_COPIES = 3
 
@@ -101,18 +107,67 @@ def _move(chance: list[float], at: list[int], u: tuple[float, ...], draw: random
 
 
 def land(chance: list[float], size: list[int], draw: random.Random) -> list[float]:
-    """Decide the last texts of a source: first keep the total of words, then draw."""
+    """Decide the last texts of a source: of many draws by their chances the one nearest both totals.
+
+    Turning one or two texts the other way follows while that comes nearer.  A text counts as
+    much as a word.  One or two texts leave no choice: they keep the total of words as far as they can, and
+    the last is drawn.
+    """
     chance = list(chance)
-    while open_ := [i for i, p in enumerate(chance) if 0.0 < p < 1.0]:
-        if len(open_) > 1:
-            a, b = open_[:2]
-            u = (float(size[b]), -float(size[a])) if size[a] or size[b] else (1.0, -1.0)
-            _move(chance, [a, b], u, draw)
-        else:
-            chance[open_[0]] = float(draw.random() < chance[open_[0]])
+    at = [i for i, p in enumerate(chance) if 0.0 < p < 1.0]
+    if len(at) == 2:
+        a, b = at
+        _move(chance, at, (float(size[b]), -float(size[a])) if size[a] or size[b] else (1.0, -1.0), draw)
+        at = [i for i in at if 0.0 < chance[i] < 1.0]
+    if len(at) <= 1:
+        for i in at:
+            chance[i] = float(draw.random() < chance[i])
+        return chance
+    p = np.array([chance[i] for i in at])
+    words = np.array([float(size[i]) for i in at])
+
+    def miss(taken: np.ndarray) -> np.ndarray:
+        off = taken - p
+        return np.abs(off @ words) + np.abs(off.sum(axis=-1))
+
+    rng = np.random.default_rng(draw.getrandbits(64))
+    drawn = rng.random((LANDINGS, len(at))) < p
+    taken = drawn[miss(drawn).argmin()].astype(float)
+    one, two = np.triu_indices(len(at))
+    single = one == two
+    while True:
+        off, turn = taken - p, 1 - 2 * taken
+        more = np.where(single, 0, turn[two])
+        now = np.abs(off @ words + turn[one] * words[one] + more * words[two]) + np.abs(off.sum() + turn[one] + more)
+        if now.min() >= miss(taken) - 1e-6:
+            break
+        for i in {int(one[now.argmin()]), int(two[now.argmin()])}:
+            taken[i] = 1 - taken[i]
+    for i, t in zip(at, taken.tolist(), strict=True):
+        chance[i] = t
     return chance
 
 
+def fly_but_some(chance: list[float], size: list[int], draw: random.Random, most: int) -> list[float]:
+    """The flight of a block whose texts are in order of size, without some of the undecided texts.
+
+    These are evenly spaced in that order and go on undecided, with the two the flight leaves: texts of every
+    size, which can make up for one large text where the source lands.  There are ``RESERVE`` of them, or as
+    many as outweigh the largest text twice; ``most`` at most.
+    """
+    at = [i for i, p in enumerate(chance) if 0.0 < p < 1.0]
+    free = sum(size[i] * min(chance[i], 1 - chance[i]) for i in at)
+    largest = max((size[i] for i in at), default=0)
+    few = min(max(RESERVE, math.ceil(2 * largest * len(at) / free) if free else 0), len(at), most)
+    kept = {at[k * len(at) // few] for k in range(few)}
+    rest = [i for i in range(len(chance)) if i not in kept]
+    flown = fly([chance[i] for i in rest], [size[i] for i in rest], draw)
+    out = list(chance)
+    for i, p in zip(rest, flown, strict=True):
+        out[i] = p
+    return out
+
+
 def _level(rows: DataFrame, final: bool) -> DataFrame:
     """One flight over blocks; ``final`` lands as well."""
 
@@ -120,7 +175,8 @@ def _level(rows: DataFrame, final: bool) -> DataFrame:
         block = block.sort_values(["size", "hash", "id"], ascending=[False, True, True], na_position="last")
         draw = random.Random(f"{block['hash'].iloc[0]} {len(block)} {block['block'].iloc[0]}")
         size = block["size"].tolist()
-        chance = fly(block["chance"].tolist(), size, draw)
+        most = MOST_RESERVE if final else min(MOST_RESERVE, len(size) // 4)
+        chance = fly_but_some(block["chance"].tolist(), size, draw, most)
         block["chance"] = land(chance, size, draw) if final else chance
         return block
 
