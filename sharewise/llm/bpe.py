@@ -19,10 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: A task forgets its words when it holds this many, so memory stays bounded.
-KEPT_WORDS = 150_000
+#: A task forgets its words when they take this many bytes, ``WORD_BYTES`` being what a word takes besides its own.
+KEPT_BYTES, WORD_BYTES = 24 << 20, 200
+
+#: Texts, and bytes of text, whose words are replayed together.
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 1000, 4 << 20
 
 
 @lru_cache(maxsize=2)
@@ -39,6 +43,8 @@ def load_pairs(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pairs_of(ranks: Mapping[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    if max(ranks.values(), default=0) >= 1 << 16:
+        raise ValueError("pairs are packed as 16 bits each: the vocabulary has an id beyond 65,535")
     found = [
         (ranks[raw[:i]] << 16 | ranks[raw[i:]], rank)
         for raw, rank in ranks.items()
@@ -187,62 +193,95 @@ def replay(words: Sequence[bytes], ranks: Mapping[bytes, int], pairs: tuple[np.n
     return out
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, bounded in rows and in bytes of text (or one text)."""
+    sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(sizes):
+        fits = int(np.searchsorted(np.cumsum(sizes[at : at + TEXTS_AT_ONCE]), BYTES_AT_ONCE, "right"))
+        yield batch.slice(at, max(1, fits))
+        at += max(1, fits)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids of batches of doc_id and text."""
+    import regex
+
+    split = regex.compile(pattern).findall
+    ranks, pairs = load_ranks(vocabulary), load_pairs(vocabulary)
+    known: dict[str, bytes] = {}
+    size = 0
+    for batch in batches:
+        for part in _slices(batch):
+            texts = [split(t or "") for t in part.column("text").to_pylist()]
+            if size > KEPT_BYTES:
+                known.clear()
+                size = 0
+            new = list(set().union(*texts).difference(known))
+            packed = replay([w.encode() for w in new], ranks, pairs)
+            known.update(zip(new, packed, strict=True))
+            size += sum(map(len, new)) + sum(map(len, packed)) + WORD_BYTES * len(new)
+            ids = [b"".join(map(known.__getitem__, words)) for words in texts]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"]
+            )
+
+
+@lru_cache(maxsize=1)
+def load_tokens(path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(all tokens in one string, start of each id, its length)."""
+    ranks = load_ranks(path)
+    length = np.zeros(max(ranks.values()) + 1, np.int64)
+    order = sorted(ranks, key=ranks.get)
+    length[[ranks[t] for t in order]] = [len(t) for t in order]
+    return b"".join(order), np.cumsum(length) - length, length
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_tokens, ids_sha256 and text of batches of doc_id and ids."""
+    body, start, length = load_tokens(vocabulary)
+    every = np.frombuffer(body, np.uint8)
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+            batch = whole.slice(at, TEXTS_AT_ONCE)
+            ids = batch.column("ids")
+            values = ids.flatten().to_numpy(zero_copy_only=False)
+            sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            counts, digests, bodies = [], [], []
+            for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                own = values[end - n : end]
+                counts.append(n)
+                digests.append(hashlib.sha256(" ".join(map(str, own.tolist())).encode()).hexdigest())
+                size = length[own]
+                first = np.repeat(start[own] - np.cumsum(size) + size, size)
+                bodies.append(every[first + np.arange(len(first))].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(bodies, pa.binary())],
+                ["doc_id", "n_tokens", "ids_sha256", "text"],
+            )
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of every row's whole text.
 
     ``vocabulary`` is the path of a rank file that every executor can open.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split = regex.compile(pattern).findall
-        ranks, pairs = load_ranks(vocabulary), load_pairs(vocabulary)
-        known: dict[str, bytes] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [split(t or "") for t in part.column("text").to_pylist()]
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                new = list(set().union(*texts).difference(known))
-                known.update(zip(new, replay([w.encode() for w in new], ranks, pairs), strict=True))
-                ids = [b"".join(map(known.__getitem__, words)) for words in texts]
-                ends = np.cumsum([0, *map(len, ids)]) // 4
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"]
-                )
-
+    work = lambda batches: _encoded(batches, vocabulary, pattern)
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Of rows with doc_id and ids: doc_id, n_tokens, ids_sha256 and text (the decoded bytes)."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
+    work = lambda batches: _decoded(batches, vocabulary)
+    return encoded.select("doc_id", "ids").mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, text binary")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(vocabulary)
-        token = {rank: raw for raw, rank in ranks.items()}
-        digits = {rank: str(rank) for rank in token}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids = batch.column("ids")
-                values = ids.flatten().to_numpy(zero_copy_only=False)
-                sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                counts, digests, bodies = [], [], []
-                for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
-                    own = values[end - n : end].tolist()
-                    counts.append(n)
-                    digests.append(hashlib.sha256(" ".join(map(digits.__getitem__, own)).encode()).hexdigest())
-                    bodies.append(b"".join(map(token.__getitem__, own)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(bodies, pa.binary())],
-                    ["doc_id", "n_tokens", "ids_sha256", "text"],
-                )
-
-    return encoded.select("doc_id", "ids").mapInArrow(
-        work, f"doc_id {kind}, n_tokens long, ids_sha256 string, text binary"
-    )
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """``decode`` of ``encode`` in one Python worker a task, so that its tables are in memory once."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    work = lambda batches: _decoded(_encoded(batches, vocabulary, pattern), vocabulary)
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, text binary")

@@ -49,7 +49,7 @@ def _name(shingles: np.ndarray) -> str:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, name of the class (of its set of shingles) and bytes (the fingerprint, eight in a long)."""
+    """doc_id, body (a hash of the text), name of the class (of its set of shingles) and bytes (the fingerprint, eight in a long)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,12 +61,12 @@ def classes_of(docs: DataFrame) -> DataFrame:
             longs = np.concatenate(rows)
             bounds = pa.array(np.arange(len(longs) + 1) * 32, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.ListArray.from_arrays(bounds, pa.array(longs.ravel()))],
-                ["doc_id", "name", "bytes"],
+                [batch.column("doc_id"), batch.column("body"), pa.array(names, pa.string()), pa.ListArray.from_arrays(bounds, pa.array(longs.ravel()))],
+                ["doc_id", "body", "name", "bytes"],
             )
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, name string, bytes array<long>")
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("body"))
+    return rows.mapInArrow(work, f"doc_id {kind}, body long, name string, bytes array<long>")
 
 
 def _shingles(docs: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def links(docs: DataFrame, classes: DataFrame, least: float = LEAST_ALIKE) -> Da
 
 
 def components_of(docs: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable by links) of every row with a doc_id."""
+    """doc_id, body, label and component_id (smallest doc_id reachable by links) of every row with a doc_id."""
     known = store(classes_of(docs), "shingled")
     classes = store(known.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("bytes").alias("bytes")), "classes")
     _, joined = covered(docs, classes, least)
@@ -122,5 +122,5 @@ def components_of(docs: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
         "labelled",
     )
     named = store(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "named")
-    by_name = store(labelled.select("name", "label").join(named, "label").select("name", "component_id"), "by_name")
-    return known.select("doc_id", "name").join(by_name, "name").select("doc_id", "component_id")
+    by_name = store(labelled.select("name", "label").join(named, "label").select("name", "label", "component_id"), "by_name")
+    return known.select("doc_id", "body", "name").join(by_name, "name").select("doc_id", "body", "label", "component_id")

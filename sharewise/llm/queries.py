@@ -120,7 +120,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path)
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 

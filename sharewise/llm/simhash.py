@@ -65,7 +65,7 @@ def _majority(hashes: list[list[int]]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, body (a hash of the text) and fp (the fingerprint as a signed long) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +77,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 hashes = [shingle_hashes(raw[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
                 out[first : first + len(hashes)] = _majority(hashes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"]
+                [batch.column("doc_id"), batch.column("body"), pa.array(out.view(np.int64))], ["doc_id", "body", "fp"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("body"))
+    return rows.mapInArrow(work, f"doc_id {kind}, body long, fp long")
 
 
 def postings(prints: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def components_of(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of every row."""
+    """doc_id, body, fp, label (of the component) and component_id (smallest doc_id reachable) of every row."""
     known = store(fingerprints(docs), "fingerprints")
     classes = store(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     joined = components.connected(links(classes.select("fp")))
@@ -160,8 +161,8 @@ def components_of(docs: DataFrame) -> DataFrame:
         "labelled",
     )
     named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_print = labelled.select("fp", "label").join(named, "label").select("fp", "component_id")
-    return known.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = labelled.select("fp", "label").join(named, "label").select("fp", "label", "component_id")
+    return known.join(by_print, "fp").select("doc_id", "body", "fp", "label", "component_id")
 
 
 def hexadecimal(column: str) -> F.Column:
@@ -170,18 +171,23 @@ def hexadecimal(column: str) -> F.Column:
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` that name their component: one row of each group, all columns.
+    """One row of each component, all columns: that with the smallest doc_id.
 
-    ``found`` has doc_id and component_id of every row; by default ``components_of`` gives it.
-    Of repeated rows with that doc_id one stays (that with the smallest text); rows without a
-    doc_id all stay.
+    ``found`` has doc_id, body and label of every row; by default ``components_of`` gives it.  Rows are
+    met by doc_id and text together, as unrelated texts may share a doc_id.  Of rows that share both,
+    one stays; of different texts with the smallest doc_id of one component, that with the smaller hash.
+    Rows without a doc_id all stay.
     """
     found = components_of(docs) if found is None else found
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__sw_kept"))
-    kept = store(kept.agg(F.count(F.lit(1)).alias("__sw_rows")), "kept")
-    named = docs.join(kept, F.col("doc_id") == F.col("__sw_kept")).drop("__sw_kept")
+    rows = found.where("doc_id is not null").groupBy("label", "doc_id", "body").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "body", "n")).alias("w"))
+    first = store(
+        first.select(F.col("w.doc_id").alias("__sw_kept"), F.col("w.body").alias("__sw_body"), F.col("w.n").alias("__sw_rows")), "kept"
+    )
+    here = (F.col("doc_id") == F.col("__sw_kept")) & (F.xxhash64("text") == F.col("__sw_body"))
+    named = docs.join(first, here).drop("__sw_kept", "__sw_body")
     single = named.where("__sw_rows = 1").drop("__sw_rows")
-    tie = F.struct(F.col("text").isNull(), "text")
-    row = F.min_by(F.struct(*docs.columns), tie).alias("__sw_row")
-    again = named.where("__sw_rows > 1").groupBy(F.col("doc_id").alias("__sw_again")).agg(row).select("__sw_row.*")
+    whole = F.struct(*docs.columns)
+    same = named.where("__sw_rows > 1").groupBy(F.col("doc_id").alias("__sw_again"), F.xxhash64("text").alias("__sw_text"))
+    again = same.agg(F.min_by(whole, F.to_json(whole)).alias("__sw_row")).select("__sw_row.*")
     return single.unionByName(again).unionByName(docs.where("doc_id is null"))

@@ -216,6 +216,17 @@ def test_simhash_of_awkward_rows(spark):
     assert simhash.components_of(frame(spark, [])).count() == 0
 
 
+def test_one_copy_stays_where_texts_share_an_id(spark):
+    """Unrelated texts with one doc_id stay each; copies go by their text, not by their doc_id."""
+    one, two, three = prose(41, 80), prose(42, 80), prose(43, 80)
+    rows = [(1, one), (1, two), (2, three), (3, one), (4, two), (4, "only here " + prose(44, 60)), (5, three), (5, three), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_one(docs).collect()))
+    assert kept == sorted([(0, one), (1, one), (1, two), (2, three), (4, rows[5][1])])
+    twice = docs.where("doc_id = 5").withColumn("n_chars", F.lit(9))
+    assert simhash.keep_one(twice).count() == 1
+
+
 def test_links_keep_every_connection(spark):
     """A ball of prints a bit or two apart, in one long posting list, and chains between balls."""
     draw = np.random.default_rng(5)

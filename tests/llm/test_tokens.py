@@ -170,3 +170,8 @@ def test_bands_keep_a_star_of_edited_copies(spark):
         rows.append((i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert len({r.group for r in fingerprints.near_groups(spark, docs).collect()}) == 1
+
+
+def test_vocabularies_beyond_sixteen_bits_are_refused():
+    with pytest.raises(ValueError):
+        bpe.pairs_of({b"a": 1, b"b": 70_000})
