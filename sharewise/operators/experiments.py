@@ -1,8 +1,8 @@
 """Whole experiments: bootstrap, balanced, class-weight and ensemble benchmarks.
 
 ``docs`` is (doc_id, text, lang, label) with label 1.0 / 0.0.  Every machine, member or weight
-is a ``run_id``; the runs go through counting, weighting, scoring, calibration and metrics
-together, as one more grouping column.
+is a ``run_id``; the runs go through counting, weighting, fitting, scoring, calibration and metrics
+together, as one more grouping column.  ``estimator`` is one of those of :func:`models.fit_runs`.
 """
 
 from __future__ import annotations
@@ -82,6 +82,7 @@ def bootstrap_benchmark(
     mindf: int = 50,
     base_lang: str = "dutch",
     test_frac: float = 0.1,
+    estimator: str = "logistic",
 ) -> tuple[DataFrame, DataFrame]:
     """(report, votes): replicates vote on one shared test sample.
 
@@ -99,7 +100,7 @@ def bootstrap_benchmark(
     held_out = store(_labels(sp.stratified_sample(test, KEY, "label", test_frac, f"{seed}-test")), "held_out")
     rows = held_out.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
     corpus = _pooled_corpus(train, test, base_lang, [training, held_out])
-    fitted = md.fit_runs(corpus, training, runs, mindf)
+    fitted = md.fit_runs(corpus, training, runs, mindf, estimator=estimator)
     pred, _ = predictions(corpus, rows, fitted)
     votes = store(vote_replicates(pred, ["doc_id", "label"]), "votes")
     return mt.four_variant_report(votes, (), "label"), votes
@@ -125,6 +126,7 @@ def machines_report(
     mindf: int,
     base_lang: str,
     test_frac: float,
+    estimator: str = "logistic",
 ) -> DataFrame:
     """(run_id, calibrated, proba, metrics): every machine samples, fits and tests for itself.
 
@@ -137,7 +139,7 @@ def machines_report(
     training = store(pos.unionByName(neg).withColumn("copies", one), "training")
     rows = store(_sample_by_run(test, ids, lambda n: F.floor(n * F.lit(test_frac)), f"{seed}-test"), "held_out")
     corpus = _pooled_corpus(train, test, base_lang, [training, rows])
-    fitted = md.fit_runs(corpus, training, runs, mindf)
+    fitted = md.fit_runs(corpus, training, runs, mindf, estimator=estimator)
     pred, state = predictions(corpus, rows, fitted)
     cut = attach(pred, state, RUN, ["threshold"])
     return mt.four_variant_report(cut, RUN, "label", "threshold")
@@ -151,11 +153,12 @@ def balanced_benchmark(
     mindf: int = 50,
     base_lang: str = "dutch",
     test_frac: float = 0.1,
+    estimator: str = "logistic",
 ) -> DataFrame:
     """Machines with as many negatives as positives; metrics averaged per variant."""
     n_pos = train.where("label = 1").count()
     report = machines_report(
-        train, test, {r: 1.0 for r in range(machines)}, lambda _: F.lit(n_pos), seed, mindf, base_lang, test_frac
+        train, test, {r: 1.0 for r in range(machines)}, lambda _: F.lit(n_pos), seed, mindf, base_lang, test_frac, estimator
     )
     return vt.average_metrics(report, ["calibrated", "proba"])
 
@@ -170,12 +173,13 @@ def class_weight_sweep(
     base_lang: str = "dutch",
     neg_frac: float = 0.1,
     test_frac: float = 0.1,
+    estimator: str = "logistic",
 ) -> DataFrame:
     """(class_weight, variant, metrics): machines per positive-class weight of the log grid."""
     grid = md.class_weight_grid(steps)
     runs = {i * machines + m: w for i, w in enumerate(grid) for m in range(machines)}
     report = machines_report(
-        train, test, runs, lambda n: F.floor(n * F.lit(neg_frac)), seed, mindf, base_lang, test_frac
+        train, test, runs, lambda n: F.floor(n * F.lit(neg_frac)), seed, mindf, base_lang, test_frac, estimator
     )
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in runs.items() for x in kv]), F.col("run_id"))
     return vt.average_metrics(report.withColumn("class_weight", weight), ["class_weight", "calibrated", "proba"])
@@ -210,12 +214,13 @@ class Ensemble:
 
 
 def _fit_members(
-    corpus: DataFrame, rows: DataFrame, members: Sequence[int], seed: str, mindf: int, base_lang: str
+    corpus: DataFrame, rows: DataFrame, members: Sequence[int], seed: str, mindf: int, base_lang: str,
+    estimator: str = "logistic",
 ) -> Ensemble:
     """``rows`` is (run_id, doc_id, label): what each member may see; it fits on 80% of it."""
     split = store(sp.train_val_split(rows, KEY, 0.2, seed, RUN), "split")
     training = split.where("part = 'train'").drop("part").withColumn("copies", F.lit(1).cast("long"))
-    fitted = md.fit_runs(corpus, training, list(members), mindf)
+    fitted = md.fit_runs(corpus, training, list(members), mindf, estimator=estimator)
     val = split.where("part = 'val'").drop("part")
     pred, state = predictions(corpus, val, fitted)
     long = mt.variant_rows(attach(pred, state, RUN, ["threshold"]), ["run_id", "label"], "threshold")
@@ -226,13 +231,14 @@ def _fit_members(
 
 
 def ensemble_fit(
-    docs: DataFrame, size: int = 3, seed: str = "ensemble", mindf: int = 50, base_lang: str = "dutch"
+    docs: DataFrame, size: int = 3, seed: str = "ensemble", mindf: int = 50, base_lang: str = "dutch",
+    estimator: str = "logistic",
 ) -> tuple[Ensemble, DataFrame]:
     """Fit ``size`` members on their own 80/20 splits; also returns the packed corpus."""
     corpus = ft.corpus_terms(docs, base_lang=base_lang)
     members = list(range(size))
     rows = _labels(docs).withColumn("run_id", F.explode(F.array(*[F.lit(m) for m in members])))
-    return _fit_members(corpus, rows, members, seed, mindf, base_lang), corpus
+    return _fit_members(corpus, rows, members, seed, mindf, base_lang, estimator), corpus
 
 
 def ensemble_predict(
@@ -279,6 +285,7 @@ def ensemble_benchmark(
     base_lang: str = "dutch",
     neg_frac: float = 0.1,
     test_frac: float = 0.1,
+    estimator: str = "logistic",
 ) -> DataFrame:
     """(calibrated, proba, metrics): several ensembles, each with its own data, averaged.
 
@@ -299,7 +306,7 @@ def ensemble_benchmark(
     per_member = lambda df: df.withColumn("_m", F.explode(F.array(*[F.lit(m) for m in range(size)]))).select(
         (F.col("ensemble_id") * size + F.col("_m")).cast("int").alias("run_id"), "doc_id", "label"
     )
-    ens = _fit_members(corpus, per_member(seen), runs, seed, mindf, base_lang)
+    ens = _fit_members(corpus, per_member(seen), runs, seed, mindf, base_lang, estimator)
     pred, _ = predictions(corpus, per_member(held), ens.fitted, ens.state)
     of = F.floor(F.col("run_id") / F.lit(size)).cast("int")
     ids = ["ensemble_id", "doc_id"]

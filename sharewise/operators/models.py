@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
@@ -25,11 +26,23 @@ from pyspark.sql import types as T
 from sharewise.functions.scores import sigmoid
 from sharewise.operators import features as ft
 from sharewise.operators.density import class_pair, density_sliding
-from sharewise.plans import attach, lookup, materialize, shared_path
+from sharewise.plans import attach, lookup, materialize, shared_path, store
 
 #: Fits submitted to Spark together.
 PARALLEL_FITS = 4
 
+#: Runs are fitted together as one model of at most this many coefficients (or one run).
+GROUP_COEFFICIENTS = 200_000
+
+#: Value of the column that stands for a run's intercept; its penalty is that of 1 / value squared.
+INTERCEPT_VALUE = 1000.0
+
+#: Vectors are read in partitions of about so many bytes, as every step of a fit visits them all.
+VECTOR_PARTITION_BYTES = 16 << 20
+
+#: Relative improvement at which a fit of many runs stops: the objective is their mean.
+GROUP_TOLERANCE = 1e-10
+
 #: Steps after which a fit that has not converged is an error.
 MOST_STEPS = 1000
 
@@ -44,6 +57,8 @@ def fit_logistic(
     C: float = 1.0,
     features: str = "features",
     total: float | None = None,
+    tol: float = 1e-6,
+    intercept: bool = True,
 ):
     """L2 logistic regression minimising C * sum of weighted losses + |coef|^2 / 2.
 
@@ -60,7 +75,10 @@ def fit_logistic(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=MOST_STEPS,
-        tol=1e-6,
+        tol=tol,
+        fitIntercept=intercept,
+        # A block costs a dense gradient, so there is about one a partition.
+        maxBlockSizeInMB=VECTOR_PARTITION_BYTES / 2**20,
     )
     if weight:
         lr = lr.setWeightCol(weight)
@@ -83,13 +101,18 @@ def class_weight_grid(steps: int, low: float = 0.1, high: float = 2.0) -> list[f
 
 
 def fit_class_weighted(
-    train: DataFrame, weights: Iterable[float], label: str = "label", C: float = 1.0, features: str = "features"
+    train: DataFrame,
+    weights: Iterable[float],
+    label: str = "label",
+    C: float = 1.0,
+    features: str = "features",
+    tol: float = 1e-6,
 ) -> dict[float, Any]:
     """One model per positive-class weight."""
     weights = list(weights)
 
     def one(w: float):
-        return fit_logistic(train.withColumn("_w", class_weight_column(label, w)), label, "_w", C, features)
+        return fit_logistic(train.withColumn("_w", class_weight_column(label, w)), label, "_w", C, features, tol=tol)
 
     return dict(zip(weights, in_parallel(one, weights)))
 
@@ -124,10 +147,12 @@ def write_vectors(rows: DataFrame, partition_by: Sequence[str] = (), column: str
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    entries = spark.read.schema(rows.schema).parquet(path).agg(F.sum(F.size(f"{column}.indices"))).head()[0] or 0
     fields = [
         T.StructField(f.name, VectorUDT() if f.name == column else f.dataType) for f in rows.schema.fields
     ]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    vectors = spark.read.schema(T.StructType(fields)).parquet(path)
+    return vectors.coalesce(max(1, -(-12 * entries // VECTOR_PARTITION_BYTES)))
 
 
 def document_vectors(
@@ -229,17 +254,20 @@ def fit_runs(
     mindf: int = 50,
     C: float = 1.0,
     calibrate: bool = True,
+    estimator: str = "logistic",
 ) -> FittedRuns:
     """Vectorise, fit and calibrate every run.
 
     ``corpus`` comes from :func:`features.corpus_terms`; ``training`` is (run_id, doc_id, label,
     copies); ``runs`` lists the run ids, with the positive-class weight of each if it is a
-    mapping.  The corpus is joined to its runs once; all runs share the counting, weighting
-    and scoring jobs, and only the optimiser runs once per run.
+    mapping.  The corpus is joined to its runs once; all runs share the counting, weighting,
+    fitting and scoring jobs.  ``estimator`` is ``logistic`` (see :func:`fit_blocks`) or
+    ``naive_bayes`` (see :func:`fit_class_terms`); both give a linear model, scored alike.
     """
-    spark = corpus.sparkSession
+    if estimator not in ("logistic", "naive_bayes"):
+        raise ValueError(f"unknown estimator {estimator!r}")
     weights = dict(runs) if isinstance(runs, Mapping) else {r: 1.0 for r in runs}
-    run, doc = ["run_id"], ["run_id", "doc_id", "label", "copies", "language"]
+    run = ["run_id"]
     assigned = ft.assign_runs(corpus, training)
     members = ft.unfold_runs(assigned)
     n_docs = materialize(ft.count_documents(members, run, "copies"))
@@ -249,7 +277,29 @@ def fit_runs(
         n_docs.join(vocab.groupBy("run_id").agg(F.count(F.lit(1)).alias("v")), run, "left")
         .select("run_id", F.coalesce("v", F.lit(0)).alias("v"))
     )
+    weighted = _weighted_entries(members, vocab, class_weight_column("label", by_run(weights), "copies"))
+    if estimator == "naive_bayes":
+        coefs, intercepts = fit_class_terms(weighted, sizes)
+    else:
+        coefs, intercepts = fit_blocks(weighted, sizes, C)
+    model = materialize(vocab.join(coefs, ["run_id", "idx"]).select("run_id", "term", "idx", "idf", "coef"))
+    language = coefs.join(sizes, run).where(F.col("idx") == F.col("v")).select("run_id", F.col("coef").alias("language_coef"))
+    heads = materialize(intercepts.join(language, run))
+    fitted = FittedRuns(vocab, model, heads, None, coefs)
+    if calibrate:
+        scores = density_sliding(score_assigned(assigned, fitted), run, "label", "p", copies="copies")
+        fitted.pair = materialize(class_pair(scores, run))
+    return fitted
+
+
+def by_run(values: Mapping[int, Any], key: str = "run_id") -> Column:
+    """The value of a row's run, from one value per run."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(key))
+
 
+def _weighted_entries(members: DataFrame, vocab: DataFrame, weight: Column) -> DataFrame:
+    """run_id, doc_id, label, weight, language and entries: the TF-IDF row (idx, w) of unit length, in order."""
+    doc = ["run_id", "doc_id", "label", "copies", "language"]
     value = (F.lit(1.0) + F.ln("tf")) * F.col("idf")
     known = lookup(_outer_terms(members, doc), vocab.select("run_id", "term", "idx", "idf"), ["run_id", "term"], "left")
     entries = known.groupBy(*doc).agg(
@@ -258,49 +308,97 @@ def fit_runs(
         ).alias("_e"),
         F.sqrt(F.sum(value * value)).alias("_len"),
     )
-    placed = attach(entries, sizes, run, ["v"])
-    scaled = F.transform(
-        "_e", lambda e: F.struct(e["idx"].cast("int").alias("idx"), (e["w"] / F.col("_len")).alias("w"))
+    scaled = F.transform("_e", lambda e: F.struct(e["idx"].cast("int").alias("idx"), (e["w"] / F.col("_len")).alias("w")))
+    return entries.select(
+        "run_id", "doc_id", F.col("label").cast("double").alias("label"), weight.alias("weight"), "language", scaled.alias("entries")
     )
-    lang = F.when(
-        F.col("language") != 0,
-        F.array(F.struct(F.col("v").cast("int").alias("idx"), F.col("language").alias("w"))),
-    ).otherwise(F.array().cast("array<struct<idx:int,w:double>>"))
-    by_run = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("run_id"))
+
+
+def fit_blocks(weighted: DataFrame, sizes: DataFrame, C: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(run_id, idx, coef) and (run_id, intercept) of one logistic regression per run.
+
+    Runs are fitted together: each has a block of columns of its own, so the sum of their objectives
+    falls apart into theirs, and one optimiser serves them all.  A run's free intercept
+    is a column of the large value ``INTERCEPT_VALUE``, whose penalty is next to nothing.  Groups are cut by their
+    number of coefficients, of which the driver holds one vector a group.
+    """
+    spark = weighted.sparkSession
+    group_of: dict[int, int] = {}
+    base_of: dict[int, int] = {}
+    widths: list[int] = []
+    # One row per run.
+    size_of = {r["run_id"]: r["v"] for r in sizes.orderBy("run_id").collect()}
+    for r, v in size_of.items():
+        if not widths or widths[-1] + v + 2 > GROUP_COEFFICIENTS:
+            widths.append(0)
+        group_of[r], base_of[r] = len(widths) - 1, widths[-1]
+        widths[-1] += v + 2
+    empty = spark.createDataFrame([], "run_id int, idx int, coef double"), spark.createDataFrame([], "run_id int, intercept double")
+    if not size_of:
+        return empty
+
+    base, own = by_run(base_of), by_run(size_of)
+    moved = F.transform("entries", lambda e: F.struct((e["idx"] + base).cast("int").alias("idx"), e["w"].alias("w")))
+    at = lambda place, w: F.struct((base + own + place).cast("int").alias("idx"), w.cast("double").alias("w"))
+    none = F.array().cast("array<struct<idx:int,w:double>>")
+    flag = F.when(F.col("language") != 0, F.array(at(0, F.col("language")))).otherwise(none)
     vectors = write_vectors(
-        placed.select(
-            "run_id",
-            "doc_id",
-            F.col("label").cast("double").alias("label"),
-            class_weight_column("label", by_run, "copies").alias("weight"),
-            sparse_struct(F.concat(scaled, lang), F.col("v") + 1).alias("features"),
+        weighted.select(
+            "label", "weight", by_run(group_of).alias("run_group"),
+            sparse_struct(
+                F.concat(moved, flag, F.array(at(1, F.lit(INTERCEPT_VALUE)))),
+                F.element_at(F.lit(widths), by_run(group_of) + 1),
+            ).alias("features"),
         ),
-        run,
+        ["run_group"] if len(widths) > 1 else (),
     )
-    # One row per run.
-    sums = vectors.groupBy("run_id").agg(F.sum("weight").alias("t"))
-    totals = {r["run_id"]: r["t"] for r in sums.collect()}
-
+    totals = {r["run_group"]: r["t"] for r in vectors.groupBy("run_group").agg(F.sum("weight").alias("t")).collect()}
     path = shared_path(spark, "coefficients")
 
-    def fit(r: int) -> tuple[int, float]:
-        fitted = fit_logistic(vectors.where(F.col("run_id") == r), "label", "weight", C, total=totals[r])
-        table = coefficient_rows(spark, fitted.coefficients.toArray()).coalesce(1)
-        table.write.parquet(f"{path}/run_id={r}")
-        return r, float(fitted.intercept)
-
-    intercepts = in_parallel(fit, list(weights))
-    coefs = spark.read.schema("idx int, coef double, run_id int").parquet(path)
-    model = materialize(vocab.join(coefs, ["run_id", "idx"]).select("run_id", "term", "idx", "idf", "coef"))
-    language = coefs.join(sizes, run).where(F.col("idx") == F.col("v")).select("run_id", F.col("coef").alias("language_coef"))
-    heads = materialize(
-        spark.createDataFrame(intercepts, "run_id int, intercept double").join(language, run)
-    )
-    fitted = FittedRuns(vocab, model, heads, None, coefs)
-    if calibrate:
-        density = density_sliding(score_assigned(assigned, fitted), run, "label", "p", copies="copies")
-        fitted.pair = materialize(class_pair(density, run))
-    return fitted
+    def fit(group: int) -> list[tuple[int, float]]:
+        runs = [r for r, g in group_of.items() if g == group]
+        # A column that is the same in every row gets no coefficient, so a run by itself has a real intercept.
+        alone = len(runs) == 1
+        rows = vectors.where(F.col("run_group") == group)
+        model = fit_logistic(rows, "label", "weight", C, total=totals[group], tol=GROUP_TOLERANCE, intercept=alone)
+        values = model.coefficients.toArray()
+        ends = [base_of[r] + size_of[r] + 1 for r in runs]
+        table = pa.table({
+            "run_id": pa.array(np.repeat(np.array(runs, "int32"), [size_of[r] + 1 for r in runs])),
+            "idx": pa.array(np.concatenate([np.arange(size_of[r] + 1, dtype="int32") for r in runs])),
+            "coef": pa.array(np.concatenate([values[base_of[r] : e] for r, e in zip(runs, ends, strict=True)])),
+        })
+        spark.createDataFrame(table, "run_id int, idx int, coef double").write.parquet(f"{path}/run_group={group}")
+        return [(r, float(model.intercept if alone else values[e] * INTERCEPT_VALUE)) for r, e in zip(runs, ends, strict=True)]
+
+    found = [row for part in in_parallel(fit, list(range(len(widths)))) for row in part]
+    coefs = spark.read.schema("run_id int, idx int, coef double, run_group int").parquet(path).drop("run_group")
+    return coefs, spark.createDataFrame(found, "run_id int, intercept double")
+
+
+def fit_class_terms(weighted: DataFrame, sizes: DataFrame, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(run_id, idx, coef) and (run_id, intercept) of one multinomial naive Bayes per run, in closed form.
+
+    The sums of every (run, class, term) are one aggregation, combined before it moves.  With two classes the log
+    odds are linear in the features, so the coefficient of a term is the difference of its
+    smoothed log shares and the intercept that of the classes.
+    """
+    flag = F.struct(F.col("v").cast("int").alias("idx"), F.col("language").alias("w"))
+    rows = attach(weighted, sizes, ["run_id"], ["v"])
+    sums = rows.select("run_id", "label", "weight", F.inline(F.concat("entries", F.array(flag)))).groupBy("run_id", "idx")
+    of = lambda cls, value: F.sum(F.when(F.col("label") == cls, value).otherwise(0.0))
+    share = F.col("weight") * F.col("w")
+    terms = store(sums.agg(of(1, share).alias("pos"), of(0, share).alias("neg")), "class_terms")
+    whole = terms.groupBy("run_id").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    classes = rows.groupBy("run_id").agg(of(1, F.col("weight")).alias("n_pos"), of(0, F.col("weight")).alias("n_neg"))
+    state = materialize(whole.join(classes, "run_id").join(sizes.select("run_id", "v"), "run_id"))
+    joined = attach(terms, state, ["run_id"], ["all_pos", "all_neg", "v"])
+    s = F.lit(float(smoothing))
+    width = s * (F.col("v") + 1)
+    ratio = lambda a, n: F.ln((F.col(a) + s) / (F.col(n) + width))
+    coefs = materialize(joined.select("run_id", "idx", (ratio("pos", "all_pos") - ratio("neg", "all_neg")).alias("coef")))
+    prior = (F.ln(F.col("n_pos") + s) - F.ln(F.col("n_neg") + s)).alias("intercept")
+    return coefs, state.select("run_id", prior)
 
 
 def _outer_terms(members: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -203,3 +203,59 @@ def test_stream_of_batches(spark, sf_dir):
     assert len(states) == 2 and sum(r["n"] for r in states) == later_rows(spark, sf_dir).count()
     assert all(0.05 < r["pi"] < 0.35 for r in states)
     assert mt.score_histogram(later_rows(spark, sf_dir)).count() == 50
+
+
+def run_rows(docs, runs):
+    """Each run sees other documents, some of them several times."""
+    each = docs.select(F.explode(F.array(*[F.lit(r) for r in runs])).alias("run_id"), "doc_id", "label")
+    return each.where("doc_id % 5 <> run_id").withColumn("copies", (F.lit(1) + (F.col("doc_id") + F.col("run_id")) % 3).cast("long"))
+
+
+@pytest.mark.parametrize("bound", [1, 25, 10**6])
+def test_runs_fitted_together_equal_runs_fitted_alone(spark, tiny_corpus, monkeypatch, bound):
+    """One model per run, per group of runs, and one for all runs; optimum by Newton's method."""
+    monkeypatch.setattr(md, "GROUP_COEFFICIENTS", bound)
+    runs = {0: 1.0, 1: 3.0, 2: 1.0, 3: 10.0}
+    corpus = ft.corpus_terms(tiny_corpus)
+    training = run_rows(tiny_corpus, runs)
+    fitted = md.fit_runs(corpus, training, runs, mindf=2, calibrate=False)
+    coefs = {(r["run_id"], r["idx"]): r["coef"] for r in fitted.coefs.collect()}
+    heads = {r["run_id"]: r["intercept"] for r in fitted.heads.collect()}
+    members = ft.unfold_runs(ft.assign_runs(corpus, training))
+    weight = md.class_weight_column("label", md.by_run(runs), "copies")
+    rows = md._weighted_entries(members, fitted.vocab, weight).collect()
+    for run in runs:
+        own = [r for r in rows if r["run_id"] == run]
+        width = sum(k[0] == run for k in coefs)
+        x = np.zeros((len(own), width))
+        for i, r in enumerate(own):
+            for e in r["entries"]:
+                x[i, e["idx"]] = e["w"]
+            x[i, -1] = r["language"]
+        want = newton(x, np.array([r["label"] for r in own]), np.array([r["weight"] for r in own]))
+        got = np.r_[heads[run], [coefs[run, i] for i in range(width)]]
+        assert np.abs(got - want).max() < 1e-4
+
+
+def test_bayes_runs_equal_the_vector_model(spark, tiny_corpus):
+    """Closed form and relational scores against MLlib's fit of one run on vectors."""
+    runs = [0, 1]
+    corpus = ft.corpus_terms(tiny_corpus)
+    training = run_rows(tiny_corpus, runs)
+    fitted = md.fit_runs(corpus, training, runs, mindf=2, estimator="naive_bayes")
+    scored = md.score_runs(corpus, training, fitted)
+    members = ft.unfold_runs(ft.assign_runs(corpus, training))
+    rows = md._weighted_entries(members, fitted.vocab, F.col("copies").cast("double"))
+    for run in runs:
+        size = fitted.vocab.where(F.col("run_id") == run).count()
+        flag = F.when(F.col("language") != 0, F.array(F.struct(F.lit(size).alias("idx"), F.col("language").alias("w"))))
+        entries = F.concat("entries", F.coalesce(flag, F.array().cast("array<struct<idx:int,w:double>>")))
+        own = rows.where(F.col("run_id") == run).select("doc_id", "label", "weight", md.sparse_struct(entries, F.lit(size + 1)).alias("features"))
+        vectors = md.write_vectors(own)
+        model = NaiveBayes(weightCol="weight", smoothing=1.0).fit(vectors)
+        want = {r["doc_id"]: r["p"] for r in md.positive_score(model, vectors, ["doc_id"]).collect()}
+        got = {r["doc_id"]: r["p"] for r in scored.where(F.col("run_id") == run).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
+    assert fitted.pair.groupBy("run_id").agg(F.sum("dt").alias("t")).where("abs(t - 1) > 1e-9").count() == 0
+    with pytest.raises(ValueError):
+        md.fit_runs(corpus, training, runs, mindf=2, estimator="forest")
