@@ -3,7 +3,7 @@
 Words are runs between white space, A-Z lowered; n-grams of orders 1 to ``order`` are hashed to 64
 bits.  Texts are dealt into batches by a hash.  Each batch sends the distinct n-grams it holds,
 with its counts, to the partition of their hash (the high bits), packed as sorted arrays; there
-the counts of all batches are summed and the totals go back to the batches that asked.  So the
+the counts of all batches are summed, and what the others hold goes back to each batch that asked.  So the
 count tables are partitioned by hash, a frequent n-gram is one entry per batch however often
 it occurs, and the join of counts and exploded n-grams moves no n-gram twice.  A batch then
 sums the logarithms of the scores of its words per document.
@@ -32,10 +32,10 @@ ORDER = 3
 ALPHA = 0.4
 
 #: Bytes of text per batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 
 #: Entries of a partition of the count tables, about.
-PART_ENTRIES = 1_000_000
+PART_ENTRIES = 4_000_000
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -63,22 +63,40 @@ def _entries(ends: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     return np.concatenate([h[_whole(counts, n + 1)] for n, h in enumerate(ends)])
 
 
+def _distinct(asked: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes and how often each occurs."""
+    every = np.concatenate([np.zeros(0, np.uint64), *asked])
+    every.sort()
+    heads = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    return every[heads], np.diff(np.r_[heads, len(every)])
+
+
 def _pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted hashes and counts as byte planes: the high planes of sorted values hardly change."""
+    """Sorted hashes as gaps.  The low bytes of a gap are noise and stay as they are; the high bytes, small
+    numbers, and the counts are compressed as byte planes, each kind by itself."""
     import zstandard
 
-    planes = [hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T, counts.astype(">u4").view(np.uint8).reshape(-1, 4).T]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(p).tobytes() for p in planes))
+    n = len(hashes)
+    gaps = np.diff(hashes, prepend=np.uint64(0))
+    spread = int(hashes[-1] - hashes[0]) // max(n - 1, 1)
+    low = min(7, max(spread.bit_length() - 1, 0) // 8)
+    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    seen = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    packer = zstandard.ZstdCompressor(level=1)
+    high = packer.compress(planes[low:].tobytes())
+    head = np.array([n, low, len(high)], "<u4").tobytes()
+    return head + planes[:low].tobytes() + high + packer.compress(seen.tobytes())
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    n = len(raw) // 12
-    hashes = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(">u8").ravel().astype(np.uint64)
-    counts = np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(">u4").ravel().astype(np.int64)
-    return hashes, counts
+    n, low, size = (int(x) for x in np.frombuffer(packed, "<u4", 3))
+    unpacker, at = zstandard.ZstdDecompressor(), 12 + low * n
+    planes = np.frombuffer(packed[12:at] + unpacker.decompress(packed[at : at + size]), np.uint8)
+    seen = np.frombuffer(unpacker.decompress(packed[at + size :]), np.uint8)
+    gaps = np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+    return np.cumsum(gaps, dtype=np.uint64), np.ascontiguousarray(seen.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
 def _plane(values: np.ndarray) -> bytes:
@@ -95,6 +113,14 @@ def _unplane(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view(">u8").ravel().astype(np.int64)
 
 
+def _places(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each hash stands in ``known``; asked in order, neighbours meet the same part of the table."""
+    order = np.argsort(hashes)
+    at = np.empty(len(hashes), np.int64)
+    at[order] = np.searchsorted(known, hashes[order])
+    return at
+
+
 def score_batch(data, offsets, order: int, alpha: float, known: np.ndarray, totals: np.ndarray, words: int) -> tuple:
     """(words, sum of log scores) per text; ``known`` (sorted hashes) and ``totals`` cover the batch."""
     ends, counts, owner = grams(data, offsets, order)
@@ -103,7 +129,7 @@ def score_batch(data, offsets, order: int, alpha: float, known: np.ndarray, tota
     elsewhere = []
     for n, h in enumerate(ends):
         whole = _whole(counts, n + 1)
-        at = np.where(whole, np.searchsorted(known, h), 0)
+        at = np.where(whole, _places(known, h), 0)
         pair = owner * np.int64(len(known) + 1) + at
         pair[~whole] = -1
         _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
@@ -134,7 +160,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch_bytes
         for _, data, offsets in texts.pieces(*texts.flat(table.column("text"))):
             ends, counts, _ = grams(data, offsets, order)
             asked.append(_entries(ends, counts))
-        hashes, n = np.unique(np.concatenate(asked), return_counts=True)
+        hashes, n = _distinct(asked)
         part = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
         heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
         tails = np.r_[heads[1:], len(part)] if len(part) else heads
@@ -150,20 +176,23 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch_bytes
         known, back = np.unique(hashes, return_inverse=True)
         sums = np.bincount(back, np.concatenate([n for _, n in unpacked])).astype(np.int64)
         answers, at = [], 0
-        for h, _ in unpacked:
-            answers.append(_plane(sums[back[at : at + len(h)]]))
+        for h, n in unpacked:
+            # What the other batches hold: nothing, for most n-grams.
+            answers.append(_plane(sums[back[at : at + len(h)]] - n))
             at += len(h)
-        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "totals": pa.array(answers, pa.binary())})
+        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "others": pa.array(answers, pa.binary())})
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
-        totals = np.concatenate([np.zeros(0, np.int64), *(_unplane(t) for t in right.column("totals").to_pylist())])
+        others = np.concatenate([np.zeros(0, np.int64), *(_unplane(t) for t in right.column("others").to_pylist())])
         parts = list(texts.pieces(*texts.flat(left.column("text"))))
-        asked = [np.zeros(0, np.uint64)]
+        asked = []
         for _, data, offsets in parts:
             ends, counts, _ = grams(data, offsets, order)
             asked.append(_entries(ends, counts))
-        known = np.unique(np.concatenate(asked))
+        known, here = _distinct(asked)
+        asked.clear()
+        totals = others + here
         done = [score_batch(data, offsets, order, alpha, known, totals, words) for _, data, offsets in parts]
         n = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in done)]).astype(np.int64)
         log = np.concatenate([np.zeros(0), *(s for _, s in done)])
@@ -175,7 +204,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch_bytes
 
     grouped = dealt.groupBy("batch")
     asked = grouped.applyInArrow(ask, "part long, batch long, entries binary")
-    answered = asked.groupBy("part").applyInArrow(total, "batch long, part long, totals binary")
+    answered = asked.groupBy("part").applyInArrow(total, "batch long, part long, others binary")
     return grouped.cogroup(answered.groupBy("batch")).applyInArrow(
         finish, f"doc_id {kind.simpleString()}, n_words long, log_score double, mean_log_score double"
     )

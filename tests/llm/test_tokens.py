@@ -147,6 +147,19 @@ def test_backoff_against_plain_counts(spark, sf_dir, order):
         assert got[i].n_words == n and got[i].log_score == pytest.approx(log, rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("bits", [3, 20, 47, 64])
+def test_packed_hashes_come_back(bits):
+    rng = np.random.default_rng(bits)
+    for size in (1, 2, 5000):
+        hashes = np.unique(rng.integers(0, 2**64, size, np.uint64, endpoint=False) >> np.uint64(64 - bits))
+        counts = rng.integers(1, 2**31, len(hashes))
+        back, n = backoff._unpack(backoff._pack(hashes, counts))
+        assert (back == hashes).all() and (n == counts).all()
+    ends = np.array([0, 1, 2**64 - 1], np.uint64)
+    back, n = backoff._unpack(backoff._pack(ends, np.array([1, 2, 2**32 - 1])))
+    assert (back == ends).all() and n.tolist() == [1, 2, 2**32 - 1]
+
+
 def test_backoff_of_awkward_rows(spark, monkeypatch):
     monkeypatch.setattr(backoff, "PART_ENTRIES", 1000)
     docs = frame(spark)
