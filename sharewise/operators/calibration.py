@@ -8,6 +8,7 @@ over at most 1,000 cells that runs inside a Spark expression.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,8 +112,9 @@ def prevalence_points(
     """``prevalence_ml`` for densities without cells: any number of rows (keys, c, dt, df).
 
     Newton's method on the concave log-likelihood, kept inside a shrinking interval.  A pass
-    is one aggregation of two sums over all rows; the driver sees one row per key.
-    ``points`` should be materialised.
+    is one aggregation of two sums over the rows of the keys that are still open; the intervals are a
+    table too, one row per key, and the driver sees the number of open keys alone.  ``points``
+    should be materialised.
     """
     keys = list(keys)
     c, dt, df = (F.col(x).cast("double") for x in ("c", "dt", "df"))
@@ -127,55 +129,56 @@ def prevalence_points(
 
     half = F.lit(0.5)
     start = points.groupBy(*keys).agg(
-        F.sum("c").alias("n"),
+        F.sum("c").cast("long").alias("n"),
         # A row that an end of the interval rules out pushes the share inwards.
-        F.coalesce(F.bool_or((df <= 0) & (dt > 0)), F.lit(False)).alias("not0"),
-        F.coalesce(F.bool_or((dt <= 0) & (df > 0)), F.lit(False)).alias("not1"),
-        slope(F.lit(0.0)).alias("g0"),
-        slope(F.lit(1.0)).alias("g1"),
-        slope(half).alias("g"),
-        curve(half).alias("h"),
-    ).collect()
-    found: dict[tuple, list] = {}
-    open_: dict[tuple, list[float]] = {}
-    slopes: dict[tuple, tuple[float, float]] = {}
-    for row in start:
-        key = tuple(row[k] for k in keys)
-        found[key] = [0.5, row["n"]]
-        if not row["not0"] and row["g0"] <= 0:
-            found[key][0] = 0.0
-        elif not row["not1"] and row["g1"] >= 0:
-            found[key][0] = 1.0
-        else:
-            open_[key] = [0.0, 1.0, 0.5]
-            slopes[key] = (row["g"], row["h"])
-    schema = T.StructType([*[points.schema[k] for k in keys], T.StructField("_x", T.DoubleType())])
+        F.coalesce(F.bool_or((df <= 0) & (dt > 0)), F.lit(False)).alias("_not0"),
+        F.coalesce(F.bool_or((dt <= 0) & (df > 0)), F.lit(False)).alias("_not1"),
+        slope(F.lit(0.0)).alias("_g0"),
+        slope(F.lit(1.0)).alias("_g1"),
+        slope(half).alias("_g"),
+        curve(half).alias("_h"),
+    )
+    end = F.when(~F.col("_not0") & (F.col("_g0") <= 0), F.lit(0.0)).when(~F.col("_not1") & (F.col("_g1") >= 0), F.lit(1.0))
+    state = start.select(
+        *keys, "n", "_g", "_h", F.lit(0.0).alias("_lo"), F.lit(1.0).alias("_hi"), half.alias("_x"), end.alias("pi")
+    )
+    done = []
     for step in range(passes):
-        for key, (g, h) in slopes.items():
-            lo, hi, x = open_[key]
-            lo, hi = (x, hi) if g > 0 else (lo, x)
-            nxt = x + g / h if h > 0 else (lo + hi) / 2
-            if not lo < nxt < hi or step % 4 == 3:
-                nxt = (lo + hi) / 2
-            found[key][0] = nxt
-            if abs(nxt - x) < tolerance or g == 0:
-                found[key][0] = x if g == 0 else nxt
-                del open_[key]
-            else:
-                open_[key] = [lo, hi, nxt]
-        if not open_:
+        state = materialize(_newton_step(state, keys, tolerance, bisect=step % 4 == 3 or step == passes - 1))
+        done.append(state.where(F.col("pi").isNotNull()).select(*keys, "pi", "n"))
+        state = state.where(F.col("pi").isNull())
+        if step == passes - 1:
+            done.append(state.select(*keys, F.col("_x").alias("pi"), "n"))
+        if state.isEmpty():
             break
         if keys:
-            at = points.sparkSession.createDataFrame([(*k, v[2]) for k, v in open_.items()], schema)
-            here, x = lookup(points, at, keys, bound=len(open_)), F.col("_x")
+            # A struct of the keys also matches where a key is null.
+            here = state.select(F.struct(*keys).alias("_key"), "_x", "n", "_lo", "_hi")
+            met = lookup(points.withColumn("_key", F.struct(*keys)), here, ["_key"])
         else:
-            here, x = points, F.lit(open_[()][2])
-        rows = here.groupBy(*keys).agg(slope(x).alias("g"), curve(x).alias("h")).collect()
-        slopes = {tuple(r[k] for k in keys): (r["g"], r["h"]) for r in rows}
-    out = T.StructType(
-        [*[points.schema[k] for k in keys], T.StructField("pi", T.DoubleType()), T.StructField("n", T.LongType())]
+            met = attach(points, state, (), ["_x", "n", "_lo", "_hi"])
+        x = F.col("_x")
+        state = met.groupBy(*keys, "n", "_lo", "_hi", "_x").agg(slope(x).alias("_g"), curve(x).alias("_h")).withColumn(
+            "pi", F.lit(None).cast("double")
+        )
+    return reduce(DataFrame.unionByName, done)
+
+
+def _newton_step(state: DataFrame, keys: Sequence[str], tolerance: float, bisect: bool) -> DataFrame:
+    """The next ``_x`` of every open key inside its halved or shortened interval; ``pi`` where that is near enough."""
+    x, g, h = F.col("_x"), F.col("_g"), F.col("_h")
+    open_ = F.col("pi").isNull()
+    lo, hi = F.when(g > 0, x).otherwise(F.col("_lo")), F.when(g > 0, F.col("_hi")).otherwise(x)
+    moved = state.select(*keys, "n", "_g", x.alias("_from"), lo.alias("_lo"), hi.alias("_hi"), "pi", (x + F.try_divide(g, h)).alias("_to"))
+    middle = (F.col("_lo") + F.col("_hi")) / 2
+    to = F.col("_to")
+    inside = (F.col("_lo") < to) & (to < F.col("_hi"))
+    nxt = middle if bisect else F.when(inside, to).otherwise(middle)
+    near = (F.abs(F.col("_x") - F.col("_from")) < tolerance) | (F.col("_g") == 0)
+    best = F.when(F.col("_g") == 0, F.col("_from")).otherwise(F.col("_x"))
+    return moved.withColumn("_x", nxt).select(
+        *keys, "n", "_lo", "_hi", "_x", F.when(open_, F.when(near, best)).otherwise(F.col("pi")).alias("pi")
     )
-    return points.sparkSession.createDataFrame([(*k, *v) for k, v in found.items()], out)
 
 
 def calibrated_threshold(

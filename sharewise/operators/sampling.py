@@ -1,8 +1,10 @@
 """Exact-size random samples, splits and resamples, keyed by a hash of the row key.
 
 A sample of n rows is "the n rows with the smallest hash".  It needs no sort and no shuffle
-of the rows: two passes over the key columns find the n-th smallest (hash, key) pair of each
-stratum, and the sample is then a plain filter against that one pair.  Texts never move.
+of the rows: one pass over the key columns counts them by the upper 16 bits of the hash, the next by
+the lower 16 inside the cell that holds the n-th row, and where keys share a whole hash a last one
+counts those keys.  The n-th smallest (hash, key) pair of each stratum is then known, and the
+sample is a plain filter against that one pair.  Texts never move.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from sharewise.functions.hashing import hash32, unit_hash
 from sharewise.operators.clean import union_by_name
 from sharewise.plans import attach, dense_index, lookup, materialize, store
 
-#: Hash cells per stratum in the first counting pass (the top 16 bits of the hash).
+#: Bits of the hash that one counting pass tells apart: at most 2^16 counts a stratum.
 CELL_BITS = 16
 
 
@@ -27,6 +29,20 @@ def _hashed(df: DataFrame, key: Sequence[str], strata: Sequence[str], seed) -> D
     ).withColumn("_cell", F.shiftright("_h", 32 - CELL_BITS))
 
 
+def _holding_goal(counts: DataFrame, within: Sequence[str], order: str) -> DataFrame:
+    """Of each group's counts ``_c``, the one that place ``_goal`` falls in.
+
+    ``_before``, the places before the group, grows by those before the count.
+    """
+    here = Window.partitionBy(*within).orderBy(order)
+    return (
+        counts.withColumn("_upto", F.col("_before") + F.sum("_c").over(here))
+        .withColumn("_before", F.col("_upto") - F.col("_c"))
+        .where((F.col("_before") < F.col("_goal")) & (F.col("_goal") <= F.col("_upto")))
+        .drop("_upto")
+    )
+
+
 def cutoffs(
     df: DataFrame,
     key: Sequence[str],
@@ -65,18 +81,27 @@ def cutoffs(
     short = hits.where(F.col("_goal") > F.col("_n")).select("_goal", "_n").head()
     if short is not None:
         raise ValueError(f"cannot take {short[0]} rows without replacement from {short[1]}")
-    # Pass 2: only the cell that holds the cut, about 1/2^16 of a stratum, is ranked.
     # A struct of the strata also matches where a stratum is null.
     stratum = F.struct(*strata) if strata else F.lit(0)
-    inside = lookup(
-        hashed.withColumn("_s", stratum), hits.select(stratum.alias("_s"), "_cell", "_before", "_goal"), ["_s", "_cell"]
+    hashed = hashed.withColumn("_s", stratum)
+    places = ["_s", "_before", "_goal"]
+    # Pass 2: the lower bits, in the cell that holds the cut alone: 2^16 counts at most.
+    inside = lookup(hashed, hits.select(stratum.alias("_s"), "_cell", "_before", "_goal"), ["_s", "_cell"])
+    by_hash = inside.groupBy(*strata, *places, "_h").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_k").alias("_least"), F.max("_k").alias("_most")
     )
-    in_order = Window.partitionBy(*strata).orderBy("_h", "_k")
-    cut = inside.withColumn("_r", F.row_number().over(in_order) + F.col("_before"))
+    cut = materialize(_holding_goal(by_hash, ["_s"], "_h"))
+    one_key = F.col("_least") == F.col("_most")
+    found = cut.where(one_key).select(*strata, F.col("_h").alias("cut_h"), F.col("_least").alias("cut_k"))
+    shared = cut.where(~one_key)
+    if shared.isEmpty():
+        return materialize(found)
+    # Pass 3: different keys with one 32-bit hash, about n / 2^32 of them; repeats of a key are one count.
+    meet = lookup(hashed.select("_s", "_h", "_k"), shared.select(*strata, *places, "_h"), ["_s", "_h"])
+    by_key = meet.groupBy(*strata, *places, "_h", "_k").agg(F.count(F.lit(1)).alias("_c"))
+    last = _holding_goal(by_key, ["_s", "_h"], "_k")
     return materialize(
-        cut.where(F.col("_r") == F.col("_goal")).select(
-            *strata, F.col("_h").alias("cut_h"), F.col("_k").alias("cut_k")
-        )
+        found.unionByName(last.select(*strata, F.col("_h").alias("cut_h"), F.col("_k").alias("cut_k")))
     )
 
 

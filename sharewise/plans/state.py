@@ -21,8 +21,11 @@ BROADCAST_ROWS = 2_000_000
 #: ... and its values take at most this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-#: A salted join spreads every key over this many shuffle partitions.
-SALTS = 32
+#: A salted join cuts a heavy key so that a part holds this share of an even shuffle partition, about.
+PARTS = 4
+
+#: Spark's sketch of frequent keys tracks no more than these.
+SKETCH_ITEMS = 1_000_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -98,6 +101,35 @@ def attach(rows: DataFrame, state: DataFrame, keys: Sequence[str], cols: Sequenc
     return lookup(rows, state.select(*keys, *cols), keys, how="left")
 
 
+def _salted(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``: heavy keys of ``rows`` get as many salts as their share asks for, all others one.
+
+    A sketch of the most frequent keys, one more pass over the key columns of ``rows``, gives the shares.  There are fewer than ``PARTS`` times the
+    shuffle partitions of them, and their salts add up to at most twice that, so hardly any row of the
+    table is repeated.  A key the sketch takes for heavier or lighter than it is has other salts, not other rows.
+    """
+    parts = PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.select(F.xxhash64(*on).alias("_meet"))
+    sketch = keyed.agg(
+        F.count(F.lit(1)).alias("_n"), F.expr(f"approx_top_k(_meet, {parts}, {min(8 * parts, SKETCH_ITEMS)})").alias("_top")
+    )
+    share = F.ceil(F.col("count") * F.lit(float(parts)) / F.col("_n")).cast("long")
+    heavy = materialize(
+        sketch.select("_n", F.inline("_top")).select(F.col("item").alias("_meet"), share.alias("_parts")).where("_parts > 1")
+    )
+
+    def parted(df: DataFrame) -> DataFrame:
+        known = df.withColumn("_meet", F.xxhash64(*on))
+        return lookup(known, heavy, ["_meet"], "left", bound=parts).withColumn(
+            "_parts", F.coalesce("_parts", F.lit(1).cast("long"))
+        )
+
+    # A hash of the whole row: the same salt on every retry.
+    dealt = parted(rows).withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.col("_parts")))
+    copied = parted(table).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    return dealt.drop("_meet", "_parts"), copied.drop("_meet", "_parts")
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -110,8 +142,7 @@ def lookup(
 
     ``bound`` is a row count that holds by construction (say one row per range piece).
     Without one the table, which the caller has materialised, is measured in rows and bytes.
-    Beyond the limits both sides shuffle on ``on`` plus a salt: the rows get a salt from a
-    hash of their content (the same on every retry), the table is repeated once per salt.
+    Beyond the limits both sides shuffle on ``on`` plus a salt, which splits heavy keys alone.
     """
     on = list(on)
     if bound is not None:
@@ -121,8 +152,5 @@ def lookup(
         small = size <= broadcast_rows and width <= BROADCAST_BYTES
     if small:
         return rows.join(F.broadcast(table), on, how)
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    salted_table = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    )
+    salted_rows, salted_table = _salted(rows, table, on)
     return salted_rows.join(salted_table, [*on, "_salt"], how).drop("_salt")
