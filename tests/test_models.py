@@ -259,3 +259,53 @@ def test_bayes_runs_equal_the_vector_model(spark, tiny_corpus):
     assert fitted.pair.groupBy("run_id").agg(F.sum("dt").alias("t")).where("abs(t - 1) > 1e-9").count() == 0
     with pytest.raises(ValueError):
         md.fit_runs(corpus, training, runs, mindf=2, estimator="forest")
+
+
+def scored_rows(spark):
+    """Two overlapping classes of scores, and a batch in which some scores are missing and one is hot."""
+    train = spark.range(400).select(
+        (F.col("id") % 2).cast("double").alias("label"), ((F.col("id") * 37 % 100) / 200.0 + (F.col("id") % 2) * 0.4).alias("p")
+    )
+    batch = spark.range(300).select(
+        "id", F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 3 == 0, 0.7).otherwise(F.col("id") * 53 % 300 / 300.0).alias("p")
+    )
+    return train, batch
+
+
+@pytest.mark.parametrize("use", ["radius", "sliding", "hist"])
+def test_rows_without_a_score_stay(spark, use):
+    train, batch = scored_rows(spark)
+    fitted = Calibrator(density=use, bins=10).fit(train)
+    rows = fitted.predict_proba(batch).collect()
+    assert sorted(r["id"] for r in rows) == list(range(300))
+    assert all((r["p"] is None) == (r["proba"][1] is None) for r in rows if r["p"] is None)
+    assert len({tuple(r["proba"]) for r in rows if r["p"] == 0.7}) == 1
+    assert fitted.proportion(batch).head()["n"] == 270
+    labels = {r["id"]: r["label_pred"] for r in fitted.predict(batch).collect()}
+    assert len(labels) == 300 and all((labels[i] is None) == (i % 10 == 0) for i in labels)
+
+
+def test_custom_table_with_gaps(spark):
+    # Four cells, the second without a row: counting rows would take the table for three cells.
+    table = spark.createDataFrame([(1, 3, 3.0), (1, 2, 1.0), (0, 0, 3.0), (0, 2, 1.0)], "cls INT, bin INT, density DOUBLE")
+    train, _ = scored_rows(spark)
+    fitted = Calibrator(density=table).fit(train)
+    assert fitted.pair.count() == 4
+    batch = spark.createDataFrame([(0.1,), (0.3,), (0.6,), (0.9,), (0.95,)], "p DOUBLE")
+    share = fitted.proportion(batch).head()
+    # 0.1 must be negative, 0.9 and 0.95 positive; 0.3 and 0.6 say nothing.
+    assert share["pi"] == pytest.approx(2 / 3, abs=1e-6) and share["n"] == 5
+    got = {r["p"]: r["proba"][1] for r in fitted.predict_proba(batch).collect()}
+    assert (got[0.1], got[0.3], got[0.9]) == (0, None, 1) and got[0.6] == pytest.approx(2 / 3, abs=1e-6)
+
+
+def test_the_classifier_scores_a_batch_once(spark, monkeypatch):
+    train, batch = scored_rows(spark)
+    pack = VectorAssembler(inputCols=["p"], outputCol="features")
+    fitted = Calibrator(LogisticRegression(), "hist", bins=5).fit(pack.transform(train).drop("p"))
+    calls, real = [], fitted._score
+    monkeypatch.setattr(fitted, "_score", lambda rows, keep: calls.append(1) or real(rows, keep))
+    rows = pack.transform(batch.na.fill(0.5, ["p"])).drop("p")
+    for use in (fitted.predict, fitted.predict_proba, fitted.compare_dists):
+        calls.clear()
+        assert use(rows).count() > 0 and len(calls) == 1
