@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.sql import DataFrame
@@ -334,6 +335,34 @@ def ensemble_benchmark(
 # --- cross-validation -------------------------------------------------------------------
 
 
+def _placed(vectors: DataFrame, folds: int, seed: str) -> DataFrame:
+    """The vectors with their ``fold``, written once for all classifiers that are validated on them."""
+    fold_of = sp.kfold_assign(vectors, KEY, "label", folds, seed)
+    return store(vectors.join(fold_of.drop("label"), "doc_id"), "folds")
+
+
+def _fit(rows: DataFrame, estimator):
+    return md.fit_logistic(rows) if estimator is None else estimator.fit(rows)
+
+
+def _fold_predictions(placed: DataFrame, folds: int, estimator, calibrated: bool) -> DataFrame:
+    """Predictions for each fold by one fit on the others, with the calibrated ones if asked for."""
+
+    def one(f: int) -> DataFrame:
+        train, val = placed.where(F.col("fold") != f), placed.where(F.col("fold") == f)
+        out = _four(_fit(train, estimator), train, val, calibrated)
+        return store(out.withColumn("fold", F.lit(f)), "fold")
+
+    return reduce(DataFrame.unionByName, md.in_parallel(one, list(range(folds))))
+
+
+def _fold_scores(pred: DataFrame, variants: Sequence[bool]) -> DataFrame:
+    """Metrics of the raw (False) and calibrated (True) variants, averaged over the folds."""
+    long = reduce(DataFrame.unionByName, [_report_rows(pred, v) for v in variants])
+    per_fold = mt.metric_bundle(long, ["fold", "calibrated", "proba"], "label", "pred", 0.5)
+    return vt.average_metrics(per_fold, ["calibrated", "proba"])
+
+
 def cross_validate(
     vectors: DataFrame,
     folds: int = 10,
@@ -347,28 +376,11 @@ def cross_validate(
     ``vectors`` is (doc_id, label, features), materialised.  ``estimator`` is any MLlib
     probabilistic classifier; by default the logistic regression of this package.
     """
-    fold_of = sp.kfold_assign(vectors, KEY, "label", folds, seed)
-    placed = store(vectors.join(fold_of.drop("label"), "doc_id"), "folds")
-
-    def fit(df: DataFrame):
-        return md.fit_logistic(df) if estimator is None else estimator.fit(df)
-
-    def one(f: int) -> DataFrame:
-        train, val = placed.where(F.col("fold") != f), placed.where(F.col("fold") == f)
-        model = fit(train)
-        out = _four(model, train, val, calibrated)
-        return store(out.withColumn("fold", F.lit(f)), "fold")
-
-    parts = md.in_parallel(one, list(range(folds)))
-    pred = parts[0]
-    for part in parts[1:]:
-        pred = pred.unionByName(part)
-    long = _report_rows(pred, calibrated)
-    per_fold = mt.metric_bundle(long, ["fold", "calibrated", "proba"], "label", "pred", 0.5)
-    scores = vt.average_metrics(per_fold, ["calibrated", "proba"])
+    pred = _fold_predictions(_placed(vectors, folds, seed), folds, estimator, calibrated)
+    scores = _fold_scores(pred, [calibrated])
     final = None
     if test is not None:
-        final = _four(fit(vectors), vectors, test, calibrated)
+        final = _four(_fit(vectors, estimator), vectors, test, calibrated)
         label, score = ("cal_label", "cal_proba") if calibrated else ("raw_label", "raw_proba")
         final = final.select(
             "doc_id",
@@ -394,6 +406,8 @@ def _four(model, train: DataFrame, rows: DataFrame, calibrated: bool) -> DataFra
 def _report_rows(pred: DataFrame, calibrated: bool) -> DataFrame:
     if calibrated:
         return mt.variant_rows(pred, ["fold", "label"]).where("calibrated")
+    if "cal_label" in pred.columns:
+        return mt.variant_rows(pred, ["fold", "label"]).where("NOT calibrated")
     blank = pred.withColumn("cal_label", F.lit(None).cast("boolean")).withColumn("cal_proba", F.lit(None).cast("double"))
     return mt.variant_rows(blank, ["fold", "label"]).where("NOT calibrated")
 
@@ -410,13 +424,14 @@ def default_models() -> dict[str, object]:
 def benchmark_models(
     vectors: DataFrame, models: Mapping[str, object] | None = None, folds: int = 10, calibrated: bool = True
 ) -> DataFrame:
-    """Leaderboard: (clf, calibrated, proba, metrics) by cross-validation."""
-    boards = []
-    for alias, estimator in (default_models() if models is None else models).items():
-        for use_calibration in (False, True) if calibrated else (False,):
-            scores, _ = cross_validate(vectors, folds, estimator, use_calibration)
-            boards.append(scores.withColumn("clf", F.lit(alias)))
-    out = boards[0]
-    for board in boards[1:]:
-        out = out.unionByName(board)
-    return out.select("clf", "calibrated", "proba", *vt.METRICS)
+    """Leaderboard: (clf, calibrated, proba, metrics) by cross-validation.
+
+    The folds are drawn once; a classifier is fitted once a fold, for its raw and calibrated variants together.
+    """
+    placed = _placed(vectors, folds, "folds")
+    variants = (False, True) if calibrated else (False,)
+    boards = [
+        _fold_scores(_fold_predictions(placed, folds, estimator, calibrated), variants).withColumn("clf", F.lit(alias))
+        for alias, estimator in (default_models() if models is None else models).items()
+    ]
+    return reduce(DataFrame.unionByName, boards).select("clf", "calibrated", "proba", *vt.METRICS)

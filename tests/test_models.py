@@ -121,7 +121,7 @@ def test_bootstrap_report(spark, sf_dir):
     assert rows[(True, False)]["auroc"] == pytest.approx(rows[(True, False)]["ba"])
 
 
-def test_cross_validation_with_and_without_calibration(spark, tiny_corpus):
+def test_cross_validation_with_and_without_calibration(spark, tiny_corpus, monkeypatch):
     feats, vocab = ft.vectorize(tiny_corpus, mindf=2)
     vectors = md.write_vectors(
         md.document_vectors(
@@ -131,8 +131,19 @@ def test_cross_validation_with_and_without_calibration(spark, tiny_corpus):
     scores, final = ex.cross_validate(vectors, folds=2, test=vectors)
     assert {(r["calibrated"], r["proba"]) for r in scores.collect()} == {(False, False), (False, True)}
     assert final.columns == ["doc_id", "y_test", "y_pred", "y_predP"] and final.count() == 60
+    drawn, fits = [], []
+    folds_of, fit = ex.sp.kfold_assign, ex.md.fit_logistic
+    monkeypatch.setattr(ex.sp, "kfold_assign", lambda *a, **k: drawn.append(1) or folds_of(*a, **k))
+    monkeypatch.setattr(ex.md, "fit_logistic", lambda *a, **k: fits.append(1) or fit(*a, **k))
     board = ex.benchmark_models(vectors, {"logistic": None}, folds=2)
-    assert {(r["clf"], r["calibrated"]) for r in board.collect()} == {("logistic", False), ("logistic", True)}
+    got = {(r["calibrated"], r["proba"]): r for r in board.drop("clf").collect()}
+    # Both variants come from one draw of the folds and one fit a fold, and are what they are alone.
+    assert len(drawn) == 1 and len(fits) == 2 and board.select("clf").distinct().head()[0] == "logistic"
+    both = scores.collect() + ex.cross_validate(vectors, folds=2, calibrated=True)[0].collect()
+    assert len(both) == len(got) == 4
+    for row in both:
+        mine = got[row["calibrated"], row["proba"]].asDict()
+        assert mine == pytest.approx(row.asDict(), nan_ok=True)
     with pytest.raises(ValueError):
         md.positive_score(LinearSVC().fit(vectors), vectors, ["doc_id"])
 
