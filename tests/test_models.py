@@ -222,13 +222,15 @@ def run_rows(docs, runs):
     return each.where("doc_id % 5 <> run_id").withColumn("copies", (F.lit(1) + (F.col("doc_id") + F.col("run_id")) % 3).cast("long"))
 
 
-@pytest.mark.parametrize("bound", [1, 25, 10**6])
-def test_runs_fitted_together_equal_runs_fitted_alone(spark, tiny_corpus, monkeypatch, bound):
-    """One model per run, per group of runs, and one for all runs; optimum by Newton's method."""
+@pytest.mark.parametrize("bound, dense, flags", [(1, 0.1, "mixed"), (25, 0.1, "mixed"), (10**6, 0.1, "constant"), (10**6, 2.0, "mixed")])
+def test_runs_fitted_together_equal_runs_fitted_alone(spark, tiny_corpus, monkeypatch, bound, dense, flags):
+    """One model per run, per group of runs, and one for all runs, with and without centred columns; optimum by Newton's method."""
     monkeypatch.setattr(md, "GROUP_COEFFICIENTS", bound)
+    monkeypatch.setattr(md, "DENSE_SHARE", dense)
     runs = {0: 1.0, 1: 3.0, 2: 1.0, 3: 10.0}
-    corpus = ft.corpus_terms(tiny_corpus)
-    training = run_rows(tiny_corpus, runs)
+    docs = tiny_corpus if flags == "mixed" else tiny_corpus.withColumn("lang", F.lit("other"))
+    corpus = ft.corpus_terms(docs)
+    training = run_rows(docs, runs)
     fitted = md.fit_runs(corpus, training, runs, mindf=2, calibrate=False)
     coefs = {(r["run_id"], r["idx"]): r["coef"] for r in fitted.coefs.collect()}
     heads = {r["run_id"]: r["intercept"] for r in fitted.heads.collect()}
