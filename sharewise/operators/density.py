@@ -125,16 +125,18 @@ def density_lookup(
 
 
 def nearest_rank(
-    scores: DataFrame, targets: DataFrame, keys: Sequence[str] = (), s: str = "s", t: str = "t"
+    scores: DataFrame, targets: DataFrame, keys: Sequence[str] = (), s: str = "s", t: str = "t", copies: str | None = None
 ) -> DataFrame:
     """For each target, the index in the sorted scores of the score nearest to it.
 
     Ties go to the lowest index.  Scores and targets are laid out in one global order; each
     range piece fills forward and backward, and the ends of the pieces are carried over
-    through a table with at most one row per piece.  Columns: keys, ``t``, ``idx``.
+    through a table with at most one row per piece.  ``copies`` names a column with the number of
+    times a score stands in the order.  Columns: keys, ``t``, ``idx``.
     """
     keys = list(keys)
-    counts = scores.groupBy(*keys, F.col(s).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    weight = F.col(copies) if copies else F.lit(1)
+    counts = scores.groupBy(*keys, F.col(s).alias("v")).agg(F.sum(weight).cast("long").alias("c"))
     points = counts.select(*keys, "v", "c", F.lit(0).alias("kind")).unionByName(
         targets.select(*keys, F.col(t).alias("v")).distinct()
         .select(*keys, "v", F.lit(0).cast("long").alias("c"), F.lit(1).alias("kind"))
@@ -179,13 +181,13 @@ def nearest_rank(
 
 
 def _raw_radius(
-    train: DataFrame, queries: DataFrame, keys: Sequence[str], radius: float
+    train: DataFrame, queries: DataFrame, keys: Sequence[str], radius: float, copies: str | None = None
 ) -> DataFrame:
     """f(x) at distinct query points ``x``: rank distance over width.  Columns: keys, x, f."""
     r = F.lit(radius)
     points = queries.select(*keys, "x").distinct()
     ends = points.select(*keys, "x", F.explode(F.array(F.col("x") - r, F.col("x") + r)).alias("t"))
-    ranks = nearest_rank(train, ends.select(*keys, "t"), keys, "p", "t")
+    ranks = nearest_rank(train, ends.select(*keys, "t"), keys, "p", "t", copies)
     width = F.least(F.col("x") + r, F.lit(1.0)) - F.greatest(F.col("x") - r, F.lit(0.0))
     return (
         ends.join(ranks, [*keys, "t"])
@@ -201,6 +203,7 @@ def density_radius(
     keys: Sequence[str] = (),
     radius: float = 0.1,
     grid: int = CELLS,
+    copies: str | None = None,
 ) -> DataFrame:
     """Nearest-rank density of the scores ``p`` in ``train`` at the points ``x`` of ``queries``.
 
@@ -218,7 +221,7 @@ def density_radius(
     )
     both = queries.select(*keys, "x", F.lit(0).alias("_g")).unionByName(mids.withColumn("_g", F.lit(1)))
     marked = both.groupBy(*keys, "x").agg(F.max("_g").alias("_g"), F.min("_g").alias("_q"))
-    f = store(_raw_radius(train, marked, keys, radius).join(marked, [*keys, "x"]), "density")
+    f = store(_raw_radius(train, marked, keys, radius, copies).join(marked, [*keys, "x"]), "density")
     area = materialize(
         f.where(F.col("_g") == 1).groupBy(*keys).agg((F.sum("f") / F.lit(float(grid))).alias("area"))
     )
@@ -226,3 +229,27 @@ def density_radius(
     return attach(wanted, area, keys, ["area"]).select(
         *keys, "x", F.coalesce(F.try_divide(F.col("f"), F.col("area")), F.lit(0.0)).alias("density")
     )
+
+
+def radius_pair(
+    train: DataFrame,
+    scored: DataFrame,
+    keys: Sequence[str] = (),
+    y: str = "y",
+    p: str = "p",
+    radius: float = 0.1,
+    copies: str | None = None,
+) -> DataFrame:
+    """(keys, p, c, dt, df), stored: the nearest-rank densities of both classes at every distinct score.
+
+    ``c`` counts the rows of ``scored`` with that score.  All keys and both classes go through
+    one ordered job; a key whose training rows lack a class has density 0 there.
+    """
+    keys = list(keys)
+    points = present(scored, p).groupBy(*keys, F.col(p).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    both = points.select(*keys, "x", F.explode(F.array(F.lit(0), F.lit(1))).alias("cls"))
+    known = present(train, y, p).select(*keys, F.col(y).cast("int").alias("cls"), F.col(p).alias("p"), *([copies] if copies else []))
+    at = density_radius(known, both, [*keys, "cls"], radius, copies=copies)
+    side = lambda cls: F.coalesce(F.max(F.when(F.col("cls") == cls, F.col("density"))), F.lit(0.0))
+    pair = at.groupBy(*keys, "x").agg(side(1).alias("dt"), side(0).alias("df"))
+    return store(points.join(pair, [*keys, "x"]).withColumnRenamed("x", p), "pair")

@@ -2,7 +2,8 @@
 
 ``docs`` is (doc_id, text, lang, label) with label 1.0 / 0.0.  Every machine, member or weight
 is a ``run_id``; the runs go through counting, weighting, fitting, scoring, calibration and metrics
-together, as one more grouping column.  ``estimator`` is one of those of :func:`models.fit_runs`.
+together, as one more grouping column.  ``estimator`` and ``density`` are those of :func:`models.fit_runs`;
+``scorer`` is one of ``metrics.SCORERS`` or made likewise.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sharewise.operators import calibration as cal
+from sharewise.operators import density as dn
 from sharewise.operators import features as ft
 from sharewise.operators import metrics as mt
 from sharewise.operators import models as md
 from sharewise.operators import sampling as sp
 from sharewise.operators import votes as vt
-from sharewise.operators.density import class_pair, density_sliding
-from sharewise.plans import attach, materialize, store
+from sharewise.plans import attach, lookup, materialize, store
 
 KEY = ["doc_id"]
 RUN = ["run_id"]
@@ -67,12 +68,20 @@ def predictions(
     brings a stored one.
     """
     scored = store(md.score_runs(corpus, rows, fitted), "scored")
-    here = cal.calibrate(scored, fitted.pair, RUN)
-    stored = here if state is None else state
-    out = cal.predict_raw(scored)
-    out = cal.predict_calibrated(out, stored, RUN)
-    out = cal.posterior_calibrated(out, fitted.pair, here, RUN)
-    return store(out.withColumnRenamed("p", "raw_proba"), "predictions"), stored
+    raw = cal.predict_raw(scored)
+    if fitted.density == "radius":
+        at = dn.radius_pair(fitted.scores, scored, RUN, "label", copies="copies")
+        shares = materialize(cal.prevalence_points(at, RUN))
+        here = materialize(shares.join(cal.calibrated_threshold(scored, shares, RUN), RUN))
+        out = cal.predict_calibrated(raw, here if state is None else state, RUN)
+        dense = lookup(out, at.drop("c"), [*RUN, "p"], "left")
+        out = cal.with_posterior(attach(dense, here, RUN, ["pi"]))
+    else:
+        bin_ = dn.hist_bin("p") if fitted.density == "hist" else dn.sliding_bin("p")
+        here = cal.calibrate(scored, fitted.pair, RUN, bin_=bin_)
+        out = cal.predict_calibrated(raw, here if state is None else state, RUN)
+        out = cal.posterior_calibrated(out, fitted.pair, here, RUN, bin_=bin_)
+    return store(out.withColumnRenamed("p", "raw_proba"), "predictions"), here if state is None else state
 
 
 def bootstrap_benchmark(
@@ -84,6 +93,7 @@ def bootstrap_benchmark(
     base_lang: str = "dutch",
     test_frac: float = 0.1,
     estimator: str = "logistic",
+    density: str = "sliding",
 ) -> tuple[DataFrame, DataFrame]:
     """(report, votes): replicates vote on one shared test sample.
 
@@ -101,7 +111,7 @@ def bootstrap_benchmark(
     held_out = store(_labels(sp.stratified_sample(test, KEY, "label", test_frac, f"{seed}-test")), "held_out")
     rows = held_out.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
     corpus = _pooled_corpus(train, test, base_lang, [training, held_out])
-    fitted = md.fit_runs(corpus, training, runs, mindf, estimator=estimator)
+    fitted = md.fit_runs(corpus, training, runs, mindf, estimator=estimator, density=density)
     pred, _ = predictions(corpus, rows, fitted)
     votes = store(vote_replicates(pred, ["doc_id", "label"]), "votes")
     return mt.four_variant_report(votes, (), "label"), votes
@@ -128,6 +138,7 @@ def machines_report(
     base_lang: str,
     test_frac: float,
     estimator: str = "logistic",
+    density: str = "sliding",
 ) -> DataFrame:
     """(run_id, calibrated, proba, metrics): every machine samples, fits and tests for itself.
 
@@ -140,7 +151,7 @@ def machines_report(
     training = store(pos.unionByName(neg).withColumn("copies", one), "training")
     rows = store(_sample_by_run(test, ids, lambda n: F.floor(n * F.lit(test_frac)), f"{seed}-test"), "held_out")
     corpus = _pooled_corpus(train, test, base_lang, [training, rows])
-    fitted = md.fit_runs(corpus, training, runs, mindf, estimator=estimator)
+    fitted = md.fit_runs(corpus, training, runs, mindf, estimator=estimator, density=density)
     pred, state = predictions(corpus, rows, fitted)
     cut = attach(pred, state, RUN, ["threshold"])
     return mt.four_variant_report(cut, RUN, "label", "threshold")
@@ -155,11 +166,12 @@ def balanced_benchmark(
     base_lang: str = "dutch",
     test_frac: float = 0.1,
     estimator: str = "logistic",
+    density: str = "sliding",
 ) -> DataFrame:
     """Machines with as many negatives as positives; metrics averaged per variant."""
     n_pos = train.where("label = 1").count()
     report = machines_report(
-        train, test, {r: 1.0 for r in range(machines)}, lambda _: F.lit(n_pos), seed, mindf, base_lang, test_frac, estimator
+        train, test, {r: 1.0 for r in range(machines)}, lambda _: F.lit(n_pos), seed, mindf, base_lang, test_frac, estimator, density
     )
     return vt.average_metrics(report, ["calibrated", "proba"])
 
@@ -175,12 +187,13 @@ def class_weight_sweep(
     neg_frac: float = 0.1,
     test_frac: float = 0.1,
     estimator: str = "logistic",
+    density: str = "sliding",
 ) -> DataFrame:
     """(class_weight, variant, metrics): machines per positive-class weight of the log grid."""
     grid = md.class_weight_grid(steps)
     runs = {i * machines + m: w for i, w in enumerate(grid) for m in range(machines)}
     report = machines_report(
-        train, test, runs, lambda n: F.floor(n * F.lit(neg_frac)), seed, mindf, base_lang, test_frac, estimator
+        train, test, runs, lambda n: F.floor(n * F.lit(neg_frac)), seed, mindf, base_lang, test_frac, estimator, density
     )
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in runs.items() for x in kv]), F.col("run_id"))
     return vt.average_metrics(report.withColumn("class_weight", weight), ["class_weight", "calibrated", "proba"])
@@ -217,16 +230,18 @@ class Ensemble:
 def _fit_members(
     corpus: DataFrame, rows: DataFrame, members: Sequence[int], seed: str, mindf: int, base_lang: str,
     estimator: str = "logistic",
+    density: str = "sliding",
+    scorer: str | mt.Scorer = "accuracy",
 ) -> Ensemble:
-    """``rows`` is (run_id, doc_id, label): what each member may see; it fits on 80% of it."""
+    """``rows`` is (run_id, doc_id, label): what each member may see; it fits on 80% of it and is scored on the rest."""
     split = store(sp.train_val_split(rows, KEY, 0.2, seed, RUN), "split")
     training = split.where("part = 'train'").drop("part").withColumn("copies", F.lit(1).cast("long"))
-    fitted = md.fit_runs(corpus, training, list(members), mindf, estimator=estimator)
+    fitted = md.fit_runs(corpus, training, list(members), mindf, estimator=estimator, density=density)
     val = split.where("part = 'val'").drop("part")
     pred, state = predictions(corpus, val, fitted)
     long = mt.variant_rows(attach(pred, state, RUN, ["threshold"]), ["run_id", "label"], "threshold")
     accuracy = materialize(
-        vt.member_accuracy(long, [*RUN, "calibrated", "proba"], "label", "pred", F.col("threshold"))
+        vt.member_score(long, [*RUN, "calibrated", "proba"], "label", "pred", F.col("threshold"), scorer)
     )
     return Ensemble(fitted, list(members), accuracy, state, base_lang, mindf)
 
@@ -234,12 +249,14 @@ def _fit_members(
 def ensemble_fit(
     docs: DataFrame, size: int = 3, seed: str = "ensemble", mindf: int = 50, base_lang: str = "dutch",
     estimator: str = "logistic",
+    density: str = "sliding",
+    scorer: str | mt.Scorer = "accuracy",
 ) -> tuple[Ensemble, DataFrame]:
     """Fit ``size`` members on their own 80/20 splits; also returns the packed corpus."""
     corpus = ft.corpus_terms(docs, base_lang=base_lang)
     members = list(range(size))
     rows = _labels(docs).withColumn("run_id", F.explode(F.array(*[F.lit(m) for m in members])))
-    return _fit_members(corpus, rows, members, seed, mindf, base_lang, estimator), corpus
+    return _fit_members(corpus, rows, members, seed, mindf, base_lang, estimator, density, scorer), corpus
 
 
 def ensemble_predict(
@@ -287,6 +304,8 @@ def ensemble_benchmark(
     neg_frac: float = 0.1,
     test_frac: float = 0.1,
     estimator: str = "logistic",
+    density: str = "sliding",
+    scorer: str | mt.Scorer = "accuracy",
 ) -> DataFrame:
     """(calibrated, proba, metrics): several ensembles, each with its own data, averaged.
 
@@ -307,7 +326,7 @@ def ensemble_benchmark(
     per_member = lambda df: df.withColumn("_m", F.explode(F.array(*[F.lit(m) for m in range(size)]))).select(
         (F.col("ensemble_id") * size + F.col("_m")).cast("int").alias("run_id"), "doc_id", "label"
     )
-    ens = _fit_members(corpus, per_member(seen), runs, seed, mindf, base_lang, estimator)
+    ens = _fit_members(corpus, per_member(seen), runs, seed, mindf, base_lang, estimator, density, scorer)
     pred, _ = predictions(corpus, per_member(held), ens.fitted, ens.state)
     of = F.floor(F.col("run_id") / F.lit(size)).cast("int")
     ids = ["ensemble_id", "doc_id"]
@@ -356,11 +375,15 @@ def _fold_predictions(placed: DataFrame, folds: int, estimator, calibrated: bool
     return reduce(DataFrame.unionByName, md.in_parallel(one, list(range(folds))))
 
 
-def _fold_scores(pred: DataFrame, variants: Sequence[bool]) -> DataFrame:
-    """Metrics of the raw (False) and calibrated (True) variants, averaged over the folds."""
+def _fold_scores(
+    pred: DataFrame, variants: Sequence[bool], scoring: Sequence[str] | Mapping[str, mt.Scorer] | None = None
+) -> DataFrame:
+    """Scores (the metric bundle by default) of the raw (False) and calibrated (True) variants, averaged over the folds."""
     long = reduce(DataFrame.unionByName, [_report_rows(pred, v) for v in variants])
-    per_fold = mt.metric_bundle(long, ["fold", "calibrated", "proba"], "label", "pred", 0.5)
-    return vt.average_metrics(per_fold, ["calibrated", "proba"])
+    each, keys = ["calibrated", "proba"], ["fold", "calibrated", "proba"]
+    if scoring is None:
+        return vt.average_metrics(mt.metric_bundle(long, keys, "label", "pred", 0.5), each)
+    return vt.average_metrics(mt.score_by(long, scoring, keys, "label", "pred", 0.5), each, list(scoring))
 
 
 def cross_validate(
@@ -370,14 +393,16 @@ def cross_validate(
     calibrated: bool = False,
     seed: str = "folds",
     test: DataFrame | None = None,
+    scoring: Sequence[str] | Mapping[str, mt.Scorer] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """(scores per variant averaged over folds, predictions of ``test`` by a final fit).
 
     ``vectors`` is (doc_id, label, features), materialised.  ``estimator`` is any MLlib
-    probabilistic classifier; by default the logistic regression of this package.
+    probabilistic classifier; by default the logistic regression of this package.  ``scoring`` is as in
+    :func:`metrics.score_by`; by default the metric bundle.
     """
     pred = _fold_predictions(_placed(vectors, folds, seed), folds, estimator, calibrated)
-    scores = _fold_scores(pred, [calibrated])
+    scores = _fold_scores(pred, [calibrated], scoring)
     final = None
     if test is not None:
         final = _four(_fit(vectors, estimator), vectors, test, calibrated)
@@ -397,7 +422,7 @@ def _four(model, train: DataFrame, rows: DataFrame, calibrated: bool) -> DataFra
         return cal.predict_raw(scored).withColumnRenamed("p", "raw_proba")
     scored = store(scored, "scored")
     fitted = md.positive_score(model, train, ["label"])
-    pair = materialize(class_pair(density_sliding(fitted, (), "label", "p")))
+    pair = materialize(dn.class_pair(dn.density_sliding(fitted, (), "label", "p")))
     state = cal.calibrate(scored, pair)
     out = cal.predict_calibrated(cal.predict_raw(scored), state)
     return cal.posterior_calibrated(out, pair, state).withColumnRenamed("p", "raw_proba")
@@ -422,16 +447,20 @@ def default_models() -> dict[str, object]:
 
 
 def benchmark_models(
-    vectors: DataFrame, models: Mapping[str, object] | None = None, folds: int = 10, calibrated: bool = True
+    vectors: DataFrame,
+    models: Mapping[str, object] | None = None,
+    folds: int = 10,
+    calibrated: bool = True,
+    scoring: Sequence[str] | Mapping[str, mt.Scorer] | None = None,
 ) -> DataFrame:
-    """Leaderboard: (clf, calibrated, proba, metrics) by cross-validation.
+    """Leaderboard: (clf, calibrated, proba, scores) by cross-validation; ``scoring`` as in :func:`cross_validate`.
 
     The folds are drawn once; a classifier is fitted once a fold, for its raw and calibrated variants together.
     """
     placed = _placed(vectors, folds, "folds")
     variants = (False, True) if calibrated else (False,)
     boards = [
-        _fold_scores(_fold_predictions(placed, folds, estimator, calibrated), variants).withColumn("clf", F.lit(alias))
+        _fold_scores(_fold_predictions(placed, folds, estimator, calibrated), variants, scoring).withColumn("clf", F.lit(alias))
         for alias, estimator in (default_models() if models is None else models).items()
     ]
-    return reduce(DataFrame.unionByName, boards).select("clf", "calibrated", "proba", *vt.METRICS)
+    return reduce(DataFrame.unionByName, boards).select("clf", "calibrated", "proba", *(vt.METRICS if scoring is None else scoring))

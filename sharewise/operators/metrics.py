@@ -6,7 +6,8 @@ order: rows are first collapsed to counts per distinct score, then ordered in ra
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -372,6 +373,79 @@ def metric_bundle(
     ).withColumnRenamed("actual", "tp")
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A score made of sums, so that any number of scorers over any groups is one aggregation.
+
+    ``parts`` gives the sums from (is positive, prediction, is predicted positive); parts of one name are one
+    and the same sum and are shared between scorers.  ``value`` is the score, made of the finished sums.
+    """
+
+    parts: Callable[[Column, Column, Column], Mapping[str, Column]]
+    value: Callable[[], Column]
+
+
+def _counts(pos: Column, _pred: Column, hit: Column) -> Mapping[str, Column]:
+    return {"tn": _count(~pos & ~hit), "fp": _count(~pos & hit), "fn": _count(pos & ~hit), "tp": _count(pos & hit)}
+
+
+def _squares(pos: Column, pred: Column, _hit: Column) -> Mapping[str, Column]:
+    off = pred - pos.cast(_DOUBLE)
+    return {"_rows": _count(F.lit(True)), "_squares": F.sum(off * off)}
+
+
+def _surprise(pos: Column, pred: Column, _hit: Column) -> Mapping[str, Column]:
+    told = F.least(F.greatest(F.when(pos, pred).otherwise(1 - pred), F.lit(LEAST_CHANCE)), F.lit(1.0))
+    return {"_rows": _count(F.lit(True)), "_surprise": F.sum(-F.ln(told))}
+
+
+def _or_zero(top: Column, bottom: Column) -> Column:
+    return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
+
+
+#: Chances below this count as this in the log loss.
+LEAST_CHANCE = 1e-15
+
+#: Scores by name; the larger the better, so losses are negative.
+SCORERS: dict[str, Scorer] = {
+    "accuracy": Scorer(_counts, lambda: accuracy_of()),
+    "balanced_accuracy": Scorer(_counts, lambda: balanced_accuracy_of()),
+    "mcc": Scorer(_counts, lambda: mcc_of()),
+    "precision": Scorer(_counts, lambda: F.coalesce(_rate("tp", "fp"), F.lit(0.0))),
+    "recall": Scorer(_counts, lambda: F.coalesce(_rate("tp", "fn"), F.lit(0.0))),
+    "f1": Scorer(_counts, lambda: _or_zero(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))),
+    "neg_brier": Scorer(_squares, lambda: -F.try_divide(F.col("_squares"), F.col("_rows"))),
+    "neg_log_loss": Scorer(_surprise, lambda: -F.try_divide(F.col("_surprise"), F.col("_rows"))),
+}
+
+
+def score_by(
+    df: DataFrame,
+    scorers: Sequence[str] | Mapping[str, Scorer],
+    keys: Sequence[str] = (),
+    y: str = "y",
+    pred: str = "p",
+    threshold: float | Column = 0.5,
+) -> DataFrame:
+    """(keys, one column per scorer), all from one aggregation that is combined before its shuffle.
+
+    ``scorers`` names some of ``SCORERS`` or brings own ones by name.  A row is predicted positive when
+    ``pred >= threshold``; rows without label or prediction take no part.
+    """
+    if not isinstance(scorers, Mapping):
+        unknown = [name for name in scorers if name not in SCORERS]
+        if unknown:
+            raise ValueError(f"unknown scorers {unknown}")
+        scorers = {name: SCORERS[name] for name in scorers}
+    cut = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    value = F.col(pred).cast(_DOUBLE)
+    parts: dict[str, Column] = {}
+    for scorer in scorers.values():
+        parts |= scorer.parts(_positive(y), value, value >= cut)
+    sums = present(df, y, pred).groupBy(*keys).agg(*[part.alias(name) for name, part in parts.items()])
+    return sums.select(*keys, *[scorer.value().alias(name) for name, scorer in scorers.items()])
+
+
 #: The four prediction variants: (calibrated?, probability?, column).
 VARIANTS = (
     (False, False, "raw_label"),

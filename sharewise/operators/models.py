@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from sharewise.functions.scores import sigmoid
 from sharewise.operators import features as ft
-from sharewise.operators.density import class_pair, density_sliding
+from sharewise.operators.density import class_pair, density_hist, density_sliding
 from sharewise.plans import attach, lookup, materialize, shared_path, store
 
 #: Fits submitted to Spark together.
@@ -249,8 +249,14 @@ class FittedRuns:
     vocab: DataFrame  #: run_id, term, df, idx, idf
     model: DataFrame  #: run_id, term, idx, idf, coef
     heads: DataFrame  #: run_id, intercept, language_coef
-    pair: DataFrame | None  #: run_id, bin, dt, df
+    pair: DataFrame | None  #: run_id, bin, dt, df; none for the radius density
     coefs: DataFrame  #: run_id, idx, coef
+    density: str = "sliding"  #: kind of density, one of ``DENSITIES``
+    scores: DataFrame | None = None  #: run_id, label, p, copies: training scores, for the radius density alone
+
+
+#: Densities that all runs can be calibrated with.
+DENSITIES = ("sliding", "hist", "radius")
 
 
 def fit_runs(
@@ -261,6 +267,7 @@ def fit_runs(
     C: float = 1.0,
     calibrate: bool = True,
     estimator: str = "logistic",
+    density: str = "sliding",
 ) -> FittedRuns:
     """Vectorise, fit and calibrate every run.
 
@@ -269,7 +276,10 @@ def fit_runs(
     mapping.  The corpus is joined to its runs once; all runs share the counting, weighting,
     fitting and scoring jobs.  ``estimator`` is ``logistic`` (see :func:`fit_blocks`) or
     ``naive_bayes`` (see :func:`fit_class_terms`); both give a linear model, scored alike.
+    ``density`` is that of the training scores, one of ``DENSITIES``.
     """
+    if density not in DENSITIES:
+        raise ValueError(f"unknown density {density!r}")
     if estimator not in ("logistic", "naive_bayes"):
         raise ValueError(f"unknown estimator {estimator!r}")
     weights = dict(runs) if isinstance(runs, Mapping) else {r: 1.0 for r in runs}
@@ -291,10 +301,14 @@ def fit_runs(
     model = materialize(vocab.join(coefs, ["run_id", "idx"]).select("run_id", "term", "idx", "idf", "coef"))
     language = coefs.join(sizes, run).where(F.col("idx") == F.col("v")).select("run_id", F.col("coef").alias("language_coef"))
     heads = materialize(intercepts.join(language, run))
-    fitted = FittedRuns(vocab, model, heads, None, coefs)
+    fitted = FittedRuns(vocab, model, heads, None, coefs, density)
     if calibrate:
-        scores = density_sliding(score_assigned(assigned, fitted), run, "label", "p", copies="copies")
-        fitted.pair = materialize(class_pair(scores, run))
+        scored = score_assigned(assigned, fitted)
+        if density == "radius":
+            fitted.scores = store(scored.select("run_id", "label", "p", "copies"), "train_scores")
+        else:
+            of = density_hist if density == "hist" else density_sliding
+            fitted.pair = materialize(class_pair(of(scored, run, "label", "p", copies="copies"), run))
     return fitted
 
 

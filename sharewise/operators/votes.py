@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sharewise.operators.metrics import SCORERS, Scorer, score_by
 from sharewise.plans import lookup
 
 #: Metric columns that are averaged over machines.
@@ -21,9 +22,9 @@ def bagged_vote(
     return preds.groupBy(*keys).agg((mean if threshold is None else mean >= threshold).alias(pred))
 
 
-def average_metrics(report: DataFrame, keys: Sequence[str]) -> DataFrame:
+def average_metrics(report: DataFrame, keys: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
     """Mean of every metric over machines, per ``keys`` (usually the variant)."""
-    return report.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in METRICS if m in report.columns])
+    return report.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics if m in report.columns])
 
 
 def member_accuracy(
@@ -37,6 +38,23 @@ def member_accuracy(
     )
 
 
+def member_score(
+    val: DataFrame,
+    keys: Sequence[str],
+    y: str = "y",
+    pred: str = "pred",
+    threshold: float | Column = 0.5,
+    scorer: str | Scorer = "accuracy",
+) -> DataFrame:
+    """(keys, accuracy): what a member's votes count, by any scorer of :func:`metrics.score_by`.
+
+    A score below 0 would turn a vote round, and counts as 0.
+    """
+    named = {"accuracy": SCORERS[scorer] if isinstance(scorer, str) else scorer}
+    scored = score_by(val, named, keys, y, pred, threshold)
+    return scored.withColumn("accuracy", F.greatest(F.coalesce("accuracy", F.lit(0.0)), F.lit(0.0)))
+
+
 def members_by_term(
     member_features: DataFrame, member: str = "member_id", keys: Sequence[str] = ()
 ) -> DataFrame:

@@ -82,9 +82,7 @@ def nearest_rank_lookup(spark, sf_dir):
     return r6(dn.nearest_rank(train, targets, ["cls"]))
 
 
-@query(
-    "density_radius",
-    f"""WITH {SCORED_SQL}, {_NEAREST},
+_RADIUS_SQL = f"""{_NEAREST},
 points AS (SELECT DISTINCT p AS x, 1 AS wanted FROM scored WHERE split = 'test'
            UNION ALL SELECT (g + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE), 0 FROM range(0, 1000) r(g)),
 ends AS (SELECT DISTINCT x, x + d AS t FROM points, (VALUES (CAST(0.1 AS DOUBLE)), (CAST(-0.1 AS DOUBLE))) v(d)),
@@ -92,7 +90,12 @@ gaps AS (SELECT cls, x, t, i, row_number() OVER (PARTITION BY cls, x, t ORDER BY
          FROM ends, firsts),
 f AS (SELECT cls, x, (max(i) - min(i)) / (least(x + CAST(0.1 AS DOUBLE), 1) - greatest(x - CAST(0.1 AS DOUBLE), 0)) AS f
       FROM gaps WHERE r = 1 GROUP BY cls, x),
-area AS (SELECT cls, sum(f.f) / 1000 AS area FROM f JOIN points USING (x) WHERE wanted = 0 GROUP BY cls)
+area AS (SELECT cls, sum(f.f) / 1000 AS area FROM f JOIN points USING (x) WHERE wanted = 0 GROUP BY cls)"""
+
+
+@query(
+    "density_radius",
+    f"""WITH {SCORED_SQL}, {_RADIUS_SQL}
 SELECT cls, {R('x')} AS x, {R('f.f / area')} AS density
 FROM f JOIN points USING (x) JOIN area USING (cls) WHERE wanted = 1""",
 )
@@ -183,6 +186,21 @@ def prevalence_points(spark, sf_dir):
     return r6(cal.prevalence_points(store(dense.select("c", "dt", "df"), "points")))
 
 
+@query(
+    "prevalence_radius",
+    f"""WITH RECURSIVE {SCORED_SQL}, {_RADIUS_SQL},
+tested AS (SELECT p AS x, count(*) AS c FROM scored WHERE split = 'test' GROUP BY 1),
+cells AS (SELECT x, c, max(CASE WHEN cls = 1 THEN f.f / area END) AS dt, max(CASE WHEN cls = 0 THEN f.f / area END) AS df
+          FROM f JOIN tested USING (x) JOIN area USING (cls) GROUP BY 1, 2),
+{bisect_sql()}
+SELECT {R('pi')} AS pi, (SELECT CAST(sum(c) AS BIGINT) FROM cells) AS n FROM share""",
+)
+def prevalence_radius(spark, sf_dir):
+    """The share by nearest-rank densities, which have no cells."""
+    at = dn.radius_pair(train_rows(spark, sf_dir), test_rows(spark, sf_dir))
+    return r6(cal.prevalence_points(at))
+
+
 @query("calibrated_threshold", f"WITH RECURSIVE {STATE_SQL} SELECT {R('threshold')} AS threshold FROM state")
 def calibrated_threshold(spark, sf_dir):
     pair = fitted_pair(spark, sf_dir)

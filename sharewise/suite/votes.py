@@ -60,6 +60,57 @@ def member_accuracy(spark, sf_dir):
     return r6(vt.member_accuracy(rows, ["member_id"], "y", "p"))
 
 
+_SCORES = {
+    "accuracy": "(tp + tn) / n",
+    "balanced_accuracy": "(tp / (tp + fn) + tn / (tn + fp)) / 2",
+    "mcc": "coalesce((tp * tn - fp * fn) / nullif(sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn), 0), 0)",
+    "precision": "coalesce(tp / nullif(tp + fp, 0), 0)",
+    "recall": "coalesce(tp / nullif(tp + fn, 0), 0)",
+    "f1": "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)",
+    "neg_brier": "-squares / n",
+    "neg_log_loss": "-surprise / n",
+}
+
+
+def scores_sql(rows: str, keys: str) -> str:
+    """SQL: ``scores`` (keys, one column per scorer) of the rows (keys, y, p)."""
+    cells = {"tn": (0, "false"), "fp": (0, "true"), "fn": (1, "false"), "tp": (1, "true")}
+    sums = ", ".join(
+        f"CAST(count(*) FILTER (y = {y} AND (p >= 0.5) = {hit}) AS DOUBLE) AS {name}" for name, (y, hit) in cells.items()
+    )
+    told = "least(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, CAST(1e-15 AS DOUBLE)), 1)"
+    return f"""sums AS (SELECT {keys}, {sums}, CAST(count(*) AS DOUBLE) AS n, sum((p - y) * (p - y)) AS squares, sum(-ln({told})) AS surprise
+         FROM {rows} GROUP BY {keys}),
+scores AS (SELECT {keys}, {", ".join(f"{value} AS {name}" for name, value in _SCORES.items())} FROM sums)"""
+
+
+_ROUNDED = ", ".join(f"{R(name, NUDGE)} AS {name}" for name in _SCORES)
+
+
+@query("member_scores", f"WITH {SCORED_SQL}, {scores_sql('scored', 'l_linenumber')} SELECT l_linenumber AS member_id, {_ROUNDED} FROM scores")
+def member_scores(spark, sf_dir):
+    """Every scorer of every member, from one aggregation."""
+    rows = scored(spark, sf_dir).withColumnRenamed("l_linenumber", "member_id")
+    return r6(mt.score_by(rows, list(mt.SCORERS), ["member_id"]), NUDGE)
+
+
+_WEIGHTED = f"""WITH {SCORED_SQL}, {scores_sql('scored', 'l_linenumber')},
+weights AS (SELECT l_linenumber, greatest(mcc, 0) AS w FROM scores),
+own AS (SELECT l_orderkey, l_linenumber, max(p) AS p FROM scored GROUP BY 1, 2)
+SELECT l_orderkey, {R('coalesce(sum(w * p) / nullif(sum(w), 0), 0)')} AS proba_vote FROM own JOIN weights USING (l_linenumber) GROUP BY 1"""
+
+
+@query("scorer_weighted_vote", _WEIGHTED)
+def scorer_weighted_vote(spark, sf_dir):
+    """Replicate predictions of an order, weighed by their member's Matthews correlation."""
+    rows = scored(spark, sf_dir).withColumnRenamed("l_linenumber", "member_id")
+    scores = materialize(vt.member_score(rows, ["member_id"], "y", "p", scorer="mcc"))
+    own = rows.groupBy("l_orderkey", "member_id").agg(F.max("p").alias("pred"))
+    weights = vt.normalize_weights(own.select("l_orderkey", "member_id", F.lit(1.0).alias("w")), scores, "after", ["l_orderkey"])
+    vote = vt.weighted_vote(weights, own, ["l_orderkey"])
+    return r6(vote.withColumnRenamed("pred", "proba_vote"))
+
+
 # Members: every source is a member that knows the terms frequent in its own documents; its
 # accuracy is the share of its labelled documents of good quality.
 

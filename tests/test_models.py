@@ -322,3 +322,71 @@ def test_the_classifier_scores_a_batch_once(spark, monkeypatch):
     for use in (fitted.predict, fitted.predict_proba, fitted.compare_dists):
         calls.clear()
         assert use(rows).count() > 0 and len(calls) == 1
+
+
+@pytest.mark.parametrize("density", md.DENSITIES)
+def test_every_density_by_run_equals_the_single_form(spark, tiny_corpus, density):
+    """All runs are calibrated in one job as each would be by itself, copies repeated as rows."""
+    runs = [0, 1]
+    corpus = ft.corpus_terms(tiny_corpus)
+    training = run_rows(tiny_corpus, runs)
+    fitted = md.fit_runs(corpus, training, runs, mindf=2, estimator="naive_bayes", density=density)
+    rows = tiny_corpus.select("doc_id", "label", F.explode(F.array(F.lit(0), F.lit(1))).alias("run_id"))
+    pred, state = ex.predictions(corpus, rows, fitted)
+    # Ranks see the last bit of a score, so both forms get the same ones.
+    own = fitted.scores if density == "radius" else materialize(md.score_runs(corpus, training, fitted))
+    for run in runs:
+        repeated = own.where(F.col("run_id") == run).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        batch = materialize(pred.where(F.col("run_id") == run).withColumnRenamed("raw_proba", "p").select("doc_id", "p", "cal_label", "cal_proba"))
+        single = Calibrator(density=density).fit(repeated.select("label", "p"))
+        want = {r["doc_id"]: r["proba"][1] for r in single.predict_proba(batch.select("doc_id", "p")).collect()}
+        label = {r["doc_id"]: r["label_pred"] for r in single.predict(batch.select("doc_id", "p")).collect()}
+        got = batch.collect()
+        assert len(got) == 60
+        for r in got:
+            assert r["cal_proba"] == pytest.approx(want[r["doc_id"]], abs=1e-6)
+            assert r["cal_label"] == label[r["doc_id"]]
+    assert state.count() == 2
+
+
+def test_unknown_options_are_refused(spark, tiny_corpus):
+    with pytest.raises(ValueError, match="unknown density"):
+        md.fit_runs(tiny_corpus, tiny_corpus, [0], density="kernel")
+    with pytest.raises(ValueError, match="unknown scorers"):
+        mt.score_by(tiny_corpus, ["auc"])
+
+
+def test_ensembles_and_folds_take_any_scorer(spark, tiny_corpus):
+    """A scorer of the user's own: the share of rows predicted positive."""
+    share = mt.Scorer(
+        lambda pos, pred, hit: {"_all": F.count(F.lit(1)), "_hits": F.count_if(hit)}, lambda: F.col("_hits") / F.col("_all")
+    )
+    ens, _ = ex.ensemble_fit(tiny_corpus, size=2, mindf=2, estimator="naive_bayes", density="hist", scorer=share)
+    rows = ens.accuracy.collect()
+    assert len(rows) == 8 and all(0 <= r["accuracy"] <= 1 for r in rows)
+    total = ex.ensemble_predict(ens, tiny_corpus.drop("label"), proba=True)
+    assert total.count() == 60
+    feats, vocab = ft.vectorize(tiny_corpus, mindf=2)
+    size = F.lit(vocab.count() + 1)
+    vectors = md.write_vectors(
+        md.document_vectors(feats.select("doc_id", "idx", "w"), tiny_corpus.select("doc_id", "label"), size, keep=["label"])
+    )
+    bayes = NaiveBayes(featuresCol="features", labelCol="label")
+    plain, _ = ex.cross_validate(vectors, folds=2, estimator=bayes)
+    named, _ = ex.cross_validate(vectors, folds=2, estimator=bayes, scoring={"acc": mt.SCORERS["accuracy"], "mcc": mt.SCORERS["mcc"], "share": share})
+    want = {r["proba"]: (r["acc"], r["mcc"]) for r in plain.collect()}
+    got = {r["proba"]: (r["acc"], r["mcc"]) for r in named.collect()}
+    assert set(got) == {False, True} and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_scores_of_odd_rows(spark):
+    """Missing labels and predictions take no part; one class alone and certain errors have defined scores."""
+    df = spark.createDataFrame(
+        [("one", 1, 0.0), ("one", 1, 1.0), ("both", 0, 1.0), ("both", 1, 0.75), ("both", None, 0.5), ("both", 1, None), ("both", 0, float("nan"))],
+        "k STRING, y INT, p DOUBLE",
+    )
+    got = {r["k"]: r.asDict() for r in mt.score_by(df, list(mt.SCORERS), ["k"]).collect()}
+    assert got["one"]["balanced_accuracy"] == 0.5 and got["one"]["mcc"] == 0.0 and got["one"]["precision"] == 1.0
+    assert got["one"]["neg_log_loss"] == pytest.approx(np.log(1e-15) / 2) and got["one"]["neg_brier"] == -0.5
+    assert got["both"]["neg_brier"] == pytest.approx(-(1 + 0.0625) / 2) and got["both"]["f1"] == pytest.approx(2 / 3)
+    assert mt.score_by(df.limit(0), ["accuracy", "f1"], ["k"]).count() == 0
