@@ -55,7 +55,7 @@ weights AS (SELECT doc_id, idx, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY
 def tfidf(spark, sf_dir):
     corpus = ft.corpus_terms(documents(spark, sf_dir))
     vocab = corpus_vocab(spark, sf_dir, ft.unfold_terms(corpus))
-    return r6(ft.tfidf_transform(ft.unfold_terms(corpus.repartition("doc_id")), vocab))
+    return r6(ft.tfidf_transform(ft.unfold_terms(ft.packed_by_document(corpus)), vocab))
 
 
 @query(
