@@ -1,8 +1,13 @@
 """What a task or the driver holds does not grow with the input; results are those of the plain way."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from test_models import newton
 
 from sharewise.operators import features as ft
+from sharewise.operators import joint
+from sharewise.plans import store
 
 
 def pairs(df, *cols):
@@ -24,3 +29,31 @@ def test_texts_are_dealt_by_their_bytes(spark, monkeypatch):
     assert terms.count() == 1200
     nothing = ft.term_counts(docs.where("doc_id < 0"))
     assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("entries, piece", [(1 << 20, 1 << 15), (500, 16)])
+def test_runs_fitted_side_by_side_reach_the_optimum(spark, monkeypatch, entries, piece):
+    """Rare, common and heavy columns, one block and piece a run or many; few evaluations, and one class alone."""
+    monkeypatch.setattr(joint, "BLOCK_ENTRIES", entries)
+    taken = []
+    step = joint._step
+    monkeypatch.setattr(joint, "_step", lambda *a: taken.append(1) or step(*a))
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for run, (n, v, positive) in enumerate([(200, 40, 1.0), (300, 50, 100.0)]):
+        x = (rng.random((n, v)) < np.r_[0.9, 1.0, rng.uniform(0.02, 0.3, v - 2)]) * rng.uniform(0.1, 1, (n, v))
+        y = (rng.random(n) < 1 / (1 + np.exp(-(x @ rng.normal(size=v) * 2 - 1)))).astype(float)
+        w = np.where(y == 1, positive, 1.0) * rng.integers(1, 3, n)
+        want[run] = newton(x, y, w)
+        rows += [(run, float(a), float(b), [(int(j), float(r[j])) for j in np.nonzero(r)[0]]) for r, a, b in zip(x, y, w)]
+    rows += [(7, 1.0, 1.0, [(0, 1.0)]), (7, 1.0, 1.0, [])]
+    df = store(spark.createDataFrame(rows, "run_id int, label double, weight double, entries array<struct<idx:int,w:double>>"))
+    coefs, intercepts = joint.fit_joint(df, {0: 40, 1: 50, 7: 2}, piece=piece)
+    found = {(r["run_id"], r["idx"]): r["coef"] for r in coefs.collect()}
+    heads = {r["run_id"]: r["intercept"] for r in intercepts.collect()}
+    assert len(found) == 92
+    for run, optimum in want.items():
+        got = np.r_[heads[run], [found[run, i] for i in range(len(optimum) - 1)]]
+        assert np.abs(got - optimum).max() < 1e-4
+    assert heads[7] == np.inf and found[7, 0] == found[7, 1] == 0
+    assert len(taken) < 80
