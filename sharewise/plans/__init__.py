@@ -1,10 +1,11 @@
 """How plans are put together: small state tables, checked lookups, global order."""
 
 from sharewise.plans.ordering import dense_index, running_before
-from sharewise.plans.state import attach, lookup, materialize, shared_path, store
+from sharewise.plans.state import attach, by_rows, lookup, materialize, shared_path, store
 
 __all__ = [
     "attach",
+    "by_rows",
     "dense_index",
     "lookup",
     "materialize",

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sharewise.plans import by_rows
+
 
 def sink_csv(df: DataFrame, path: str, sep: str = ",", partition_by: Sequence[str] = ()) -> str:
     writer = (
@@ -43,7 +45,7 @@ def sink_predictions_variants(preds: DataFrame, path: str) -> str:
 
 def predictions_wide(preds: DataFrame, ids: Sequence[str], variants: Sequence[str]) -> DataFrame:
     """One row per document, one column per variant."""
-    return preds.groupBy(*ids).pivot("variant", list(variants)).agg(F.first("pred"))
+    return by_rows(preds, ids).groupBy(*ids).pivot("variant", list(variants)).agg(F.first("pred"))
 
 
 def sink_features(weights: DataFrame, path: str, run: str = "run_id") -> str:

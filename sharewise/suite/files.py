@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sharewise.functions.hashing import hash32
 from sharewise.operators import clean
 from sharewise.operators import metrics as mt
-from sharewise.plans import shared_path
+from sharewise.plans import by_rows, shared_path
 from sharewise.sources import scans, sinks
 from sharewise.suite.common import (
     BASE_LANG, MINDF, R, SCORED_SQL, VOCAB_SQL, documents, hash_sql, query, r6, scored,
@@ -79,9 +79,9 @@ def sink_predictions_long(spark, sf_dir):
 max(CASE WHEN p > 0.5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS raw_label FROM scored GROUP BY 1, 2""",
 )
 def sink_predictions_wide(spark, sf_dir):
-    best = scored(spark, sf_dir).groupBy(
-        F.col("l_linenumber").alias("replicate_id"), F.col("l_orderkey").alias("doc_id")
-    ).agg(F.max("p").alias("p"))
+    ids = ["replicate_id", "doc_id"]
+    rows = scored(spark, sf_dir).select(F.col("l_linenumber").alias("replicate_id"), F.col("l_orderkey").alias("doc_id"), "p")
+    best = by_rows(rows, ids).groupBy(*ids).agg(F.max("p").alias("p"))
     long = best.select(
         "replicate_id",
         "doc_id",
@@ -94,7 +94,7 @@ def sink_predictions_wide(spark, sf_dir):
     )
     path = sinks.sink_predictions_variants(long, shared_path(spark, "variants"))
     back = scans.scan_csv(spark, path, "replicate_id INT, doc_id BIGINT, pred DOUBLE, variant STRING")
-    return r6(sinks.predictions_wide(back, ["replicate_id", "doc_id"], ["raw_proba", "raw_label"]))
+    return r6(sinks.predictions_wide(back, ids, ["raw_proba", "raw_label"]))
 
 
 @query("sink_features", f"WITH {VOCAB_SQL} SELECT 0 AS run_id, term, {hash_sql('coef', 'term')} / CAST(4294967296 AS DOUBLE) AS coef FROM vocab")

@@ -7,7 +7,10 @@ from test_models import newton
 
 from sharewise.operators import features as ft
 from sharewise.operators import joint
-from sharewise.plans import store
+from sharewise.operators import models as md
+from sharewise.plans import by_rows, state, store
+from sharewise.sources import sinks
+from sharewise.suite import models as suite
 
 
 def pairs(df, *cols):
@@ -57,3 +60,37 @@ def test_runs_fitted_side_by_side_reach_the_optimum(spark, monkeypatch, entries,
         assert np.abs(got - optimum).max() < 1e-4
     assert heads[7] == np.inf and found[7, 0] == found[7, 1] == 0
     assert len(taken) < 80
+
+
+def test_wide_predictions_are_dealt_by_their_rows(spark, monkeypatch):
+    """Twice the rows give twice the partitions; columns and rows are those of a plain pivot, null keys included."""
+    monkeypatch.setattr(state, "PARTITION_ROWS", 100)
+    long = spark.range(800).select(
+        F.when(F.col("id") % 100 != 98, F.col("id") % 2).cast("int").alias("replicate_id"), F.floor(F.col("id") / 4).alias("doc_id"),
+        F.when(F.col("id") % 4 < 2, "a").otherwise("b").alias("variant"), (F.col("id") / 7).alias("pred"),
+    )
+    assert [by_rows(long.where(f"id < {n}"), ["doc_id"]).rdd.getNumPartitions() for n in (400, 800)] == [4, 8]
+    ids = ["replicate_id", "doc_id"]
+    got = sinks.predictions_wide(long, ids, ["a", "b"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    want = long.groupBy(*ids).agg(*[F.max(F.when(F.col("variant") == v, F.col("pred"))).alias(v) for v in "ab"])
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_single_model_needs_no_vector_on_the_driver(spark, monkeypatch):
+    """The registered fits of one model: coefficients and scores are those of MLlib on vectors."""
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    docs = spark.createDataFrame(
+        [(i, " ".join(words[(i * (k + 1) + k) % 5] for k in range(4)), "en" if i % 2 else "nl", float(i % 3 == 0)) for i in range(60)],
+        "doc_id BIGINT, text STRING, lang STRING, label DOUBLE",
+    )
+    vectors, _ = (monkeypatch.setattr(suite, "labelled", lambda *_: docs), suite.training_vectors(spark, ""))[1]
+    model = md.fit_logistic(vectors, tol=1e-10)
+    want = {r["doc_id"]: r["p"] for r in md.positive_score(model, vectors, ["doc_id"]).collect()}
+    monkeypatch.setattr(md, "fit_logistic", None)
+    coefs = {r["idx"]: r["coef"] for r in suite.fit_logistic(spark, "").collect()}
+    assert coefs == pytest.approx(dict(enumerate(model.coefficients.toArray())), abs=1e-4)
+    rows, width, _ = suite.training_entries(spark, "")
+    got = {r["doc_id"]: r["p"] for r in md.score_entries(rows, *md.fit_entries(rows, width), ["doc_id"]).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
