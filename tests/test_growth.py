@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.sql import functions as F
 from test_models import newton
 
+from sharewise.operators import experiments as ex
 from sharewise.operators import features as ft
 from sharewise.operators import joint
 from sharewise.operators import models as md
@@ -94,3 +96,37 @@ def test_a_single_model_needs_no_vector_on_the_driver(spark, monkeypatch):
     rows, width, _ = suite.training_entries(spark, "")
     got = {r["doc_id"]: r["p"] for r in md.score_entries(rows, *md.fit_entries(rows, width), ["doc_id"]).collect()}
     assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_folds_are_fitted_without_a_vector_on_the_driver(spark, monkeypatch):
+    """Every default classifier: the scores of each fold are those of MLlib's fit on the other folds."""
+    words = [f"word{k}" for k in range(12)]
+    docs = spark.createDataFrame(
+        [(i, " ".join(words[(i * (k + 3) + k * k) % 12] for k in range(5)), "en" if i % 4 else "nl", float((i * i) % 5 == 1)) for i in range(90)],
+        "doc_id BIGINT, text STRING, lang STRING, label DOUBLE",
+    )
+    monkeypatch.setattr(suite, "labelled", lambda *_: docs)
+    vectors, _ = suite.training_vectors(spark, "")
+    rows, width, _ = suite.training_entries(spark, "")
+    placed, side = ex._placed(vectors, 3, "folds"), ex._placed(rows, 3, "folds")
+    own = {"logistic": None, "naive_bayes": NaiveBayes(), "ridge_logistic": LogisticRegression(regParam=0.1, tol=1e-12, maxIter=500)}
+    fit = md.fit_logistic
+    for name, estimator in own.items():
+        monkeypatch.setattr(md, "fit_logistic", lambda train: fit(train, tol=1e-12))
+        cols = ["doc_id", "fold", "raw_proba"]
+        want = {r[0]: tuple(r[1:]) for r in ex._fold_predictions(placed, 3, estimator, False).select(cols).collect()}
+        monkeypatch.setattr(md, "fit_logistic", None)
+        for calibrated in (False, True):
+            pred, final = ex._side_by_side(side, width, 3, name, calibrated, rows)
+            got = {r[0]: tuple(r[1:]) for r in pred.select(cols).collect()}
+            assert len(got) == pred.count() == 90 and all(got[d] == pytest.approx(want[d], abs=2e-5) for d in want)
+            assert calibrated == ("cal_proba" in pred.columns) and final.count() == 90
+        whole = (fit(vectors, tol=1e-12) if estimator is None else estimator.fit(vectors))
+        one = {r["doc_id"]: r["p"] for r in md.positive_score(whole, vectors, ["doc_id"]).collect()}
+        assert {r["doc_id"]: r["raw_proba"] for r in final.collect()} == pytest.approx(one, abs=2e-5)
+    scores, _ = ex.cross_validate(rows, folds=3, width=width)
+    assert scores.count() == 2
+    board = ex.benchmark_models(rows, folds=3, width=width)
+    assert {tuple(r) for r in board.select("clf", "calibrated", "proba").collect()} == {(c, a, b) for c in own for a in (False, True) for b in (False, True)}
+    with pytest.raises(ValueError):
+        md.fit_folds(side.withColumn("label", F.lit(None).cast("double")), width, [0, 1, 2])
