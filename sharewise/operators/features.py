@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sharewise.functions import text as tx
 from sharewise.plans import attach, dense_index, lookup, materialize, store
+from sharewise.plans.state import BROADCAST_BYTES, BROADCAST_ROWS, measure
 
 #: Name of the language feature; it sorts after every term, as the last column.
 LANGUAGE = "\U0010ffff language"
@@ -26,6 +29,12 @@ DOCUMENT_PARTITION_BYTES = 8 << 20
 #: A term of a packed corpus counts as so many bytes of text.
 TERM_BYTES = 12
 
+#: Word vectors of more bytes than this are cut into tiles of about so many, ...
+VECTOR_TILE_BYTES = BROADCAST_BYTES
+
+#: ... each of which meets about so many term rows in a group.
+VECTOR_TILE_ROWS = 4 << 20
+
 
 def by_document(docs: DataFrame, size: Column, id_col: str = "doc_id") -> DataFrame:
     """``docs`` hash-partitioned by document, into as many partitions as their sizes (in bytes) ask for.
@@ -222,15 +231,75 @@ def embedding_lookup(tf: DataFrame, vectors: DataFrame) -> DataFrame:
     return lookup(tf, vectors, ["term"])
 
 
+def _means_by_tile(tf: DataFrame, vectors: DataFrame, tiles: int, id_col: str) -> DataFrame:
+    """(id, _m): the mean vector of the known words, without moving a vector for every term of a document.
+
+    Terms are dealt into ``tiles``, documents into blocks.  A group holds the vectors of one tile and the term rows of one
+    block in it, and sends one sum of vectors for each of its documents: at most ``tiles`` rows a document are shuffled.
+    """
+    blocks = max(-(-tf.count() // (VECTOR_TILE_ROWS * tiles)), -(-tf.sparkSession.sparkContext.defaultParallelism // tiles))
+    tile = F.pmod(F.xxhash64("term"), F.lit(tiles))
+    rows = tf.select((tile * blocks + F.pmod(F.xxhash64(id_col), F.lit(blocks))).alias("_group"), F.col(id_col).alias("_id"), "term", F.col("tf").cast("double").alias("_w"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    words = vectors.select("term", "vec", tile.alias("_tile"), each.alias("_b")).select((F.col("_tile") * blocks + F.col("_b")).alias("_group"), "term", "vec")
+    kind = tf.schema[id_col].dataType.simpleString()
+
+    def sums(rows: pa.Table, words: pa.Table) -> pa.Table:
+        terms = words.column("term").combine_chunks().dictionary_encode()
+        terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+        place = pa.compute.index_in(rows.column("term"), value_set=terms.dictionary, skip_nulls=True)
+        hit = place.is_valid()
+        rows, place = rows.filter(hit), place.filter(hit).to_numpy()
+        ids = rows.column("_id").combine_chunks().dictionary_encode()
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        if not len(rows):
+            return pa.table({"_id": ids.dictionary, "_sum": pa.array([], pa.list_(pa.float64())), "_n": pa.array([], pa.float64())})
+        vec = words.column("vec").combine_chunks()
+        vec = vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec
+        flat, width = vec.flatten(), len(vec[0])
+        if flat.null_count or vec.null_count or (np.diff(vec.offsets.to_numpy()) != width).any():
+            raise ValueError("word vectors must have one length and no nulls")
+        # A term may have several vectors; the one past the last term stands for null.
+        term = pa.compute.fill_null(terms.indices, len(terms.dictionary)).to_numpy()
+        matrix = np.zeros((len(terms.dictionary) + 1, width))
+        np.add.at(matrix, term, flat.to_numpy().reshape(len(vec), width))
+        times = np.bincount(term, minlength=len(matrix))
+        own = pa.compute.fill_null(ids.indices, len(ids.dictionary)).to_numpy()
+        weight = rows.column("_w").to_numpy()
+        order = np.argsort(own, kind="stable")
+        total, n = np.zeros((len(ids.dictionary) + 1, width)), np.bincount(own, weight * times[place], len(ids.dictionary) + 1)
+        for at in range(0, len(order), 1 << 15):
+            some = order[at : at + (1 << 15)]
+            heads = np.flatnonzero(np.diff(own[some], prepend=-1))
+            total[own[some[heads]]] += np.add.reduceat(matrix[place[some]] * weight[some, None], heads, axis=0)
+        kept = len(ids.dictionary)
+        offsets = pa.array(np.arange(kept + 1) * width, pa.int32())
+        return pa.table({"_id": ids.dictionary, "_sum": pa.ListArray.from_arrays(offsets, pa.array(total[:kept].ravel())), "_n": pa.array(n[:kept])})
+
+    parts = rows.groupBy("_group").cogroup(words.groupBy("_group")).applyInArrow(sums, f"_id {kind}, _sum array<double>, _n double")
+    # At most one row a tile.
+    every = parts.groupBy(F.col("_id").alias(id_col)).agg(F.collect_list(F.struct("_sum", "_n")).alias("_parts"))
+    n = F.aggregate("_parts", F.lit(0.0), lambda acc, x: acc + x["_n"])
+    whole = F.aggregate(
+        F.slice("_parts", 2, F.lit(tiles)), F.col("_parts")[0]["_sum"], lambda acc, x: F.zip_with(acc, x["_sum"], lambda a, b: a + b)
+    )
+    return every.select(id_col, F.transform(whole, lambda v: v / n).alias("_m"))
+
+
 def mean_embedding(tf: DataFrame, docs: DataFrame, vectors: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, embedding): mean vector of the known words, repeats counted; zeros if none is known.
 
-    The mean is MLlib's vector aggregate, combined before the shuffle: no dimension is exploded.
+    The mean is MLlib's vector aggregate, combined before the shuffle: no dimension is exploded.  Vectors too large to
+    broadcast are cut into tiles instead, see :func:`_means_by_tile`.
     """
-    known = embedding_lookup(tf, vectors).select(
-        id_col, array_to_vector(F.col("vec").cast("array<double>")).alias("_v"), F.col("tf").cast("double").alias("_w")
-    )
-    means = known.groupBy(id_col).agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_w"))).alias("_m"))
+    size, held = measure(vectors)
+    if size <= BROADCAST_ROWS and held <= VECTOR_TILE_BYTES:
+        known = embedding_lookup(tf, vectors).select(
+            id_col, array_to_vector(F.col("vec").cast("array<double>")).alias("_v"), F.col("tf").cast("double").alias("_w")
+        )
+        means = known.groupBy(id_col).agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_w"))).alias("_m"))
+    else:
+        means = _means_by_tile(tf, vectors, -(-held // VECTOR_TILE_BYTES), id_col)
     width = vectors.agg(F.max(F.size("vec")).alias("dim"))
     zeros = F.array_repeat(F.lit(0.0), F.coalesce(F.col("dim"), F.lit(0)))
     joined = attach(docs.select(id_col).join(means, id_col, "left"), width, (), ["dim"])
