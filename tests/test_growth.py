@@ -130,3 +130,27 @@ def test_folds_are_fitted_without_a_vector_on_the_driver(spark, monkeypatch):
     assert {tuple(r) for r in board.select("clf", "calibrated", "proba").collect()} == {(c, a, b) for c in own for a in (False, True) for b in (False, True)}
     with pytest.raises(ValueError):
         md.fit_folds(side.withColumn("label", F.lit(None).cast("double")), width, [0, 1, 2])
+
+
+def test_many_word_vectors_are_tiled(spark, monkeypatch):
+    """Means by tiles are those of broadcast vectors, and no joined row carries a vector to its document."""
+    tf = store(spark.range(3000).select(
+        F.floor(F.col("id") / 25).alias("doc_id"), F.concat(F.lit("w"), F.col("id") * 7 % 211).alias("term"), (F.col("id") % 3 + 1).alias("tf")
+    ))
+    docs = spark.range(125).select(F.col("id").alias("doc_id"))
+    values = F.array(*[(F.xxhash64("term", F.lit(k)) % 1000 / 100).cast("float") for k in range(5)])
+    vectors = store(spark.range(150).select(F.concat(F.lit("w"), "id").alias("term")).withColumn("vec", values))
+    # A term of two vectors counts with both; a null one with neither.
+    vectors = store(vectors.unionByName(vectors.where("term = 'w9'")).unionByName(vectors.limit(1).withColumn("term", F.lit(None).cast("string"))))
+    want = {r["doc_id"]: r["embedding"] for r in ft.mean_embedding(tf, docs, vectors).collect()}
+    monkeypatch.setattr(ft, "VECTOR_TILE_BYTES", 2000)
+    monkeypatch.setattr(ft, "VECTOR_TILE_ROWS", 100)
+    tiled = ft.mean_embedding(tf, docs, vectors)
+    plan = tiled._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "_salt" not in plan
+    got = {r["doc_id"]: r["embedding"] for r in tiled.collect()}
+    assert len(got) == 125 and got[124] == [0.0] * 5
+    assert all(got[d] == pytest.approx(want[d]) for d in want) and set(got) == set(want)
+    gaps = vectors.withColumn("vec", F.when(F.col("term") != "w3", F.col("vec")))
+    with pytest.raises(Exception, match="one length"):
+        ft.mean_embedding(tf, docs, gaps).collect()
