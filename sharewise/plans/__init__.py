@@ -1,7 +1,7 @@
 """How plans are put together: small state tables, checked lookups, global order."""
 
 from sharewise.plans.ordering import dense_index, running_before
-from sharewise.plans.state import attach, by_rows, lookup, materialize, shared_path, store
+from sharewise.plans.state import attach, by_rows, lookup, materialize, shared_path, spread_rows, store
 
 __all__ = [
     "attach",
@@ -11,5 +11,6 @@ __all__ = [
     "materialize",
     "running_before",
     "shared_path",
+    "spread_rows",
     "store",
 ]

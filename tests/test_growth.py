@@ -154,3 +154,16 @@ def test_many_word_vectors_are_tiled(spark, monkeypatch):
     gaps = vectors.withColumn("vec", F.when(F.col("term") != "w3", F.col("vec")))
     with pytest.raises(Exception, match="one length"):
         ft.mean_embedding(tf, docs, gaps).collect()
+
+
+def test_large_joins_are_dealt_by_their_bytes(spark, monkeypatch, settings):
+    """More rows give more partitions of a salted join, however few the session's shuffles have; one key holds a third."""
+    monkeypatch.setattr(state, "JOIN_PARTITION_BYTES", 2000)
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 500 == 2, None).otherwise(F.col("id")).alias("k"))
+    table = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    with settings(spark__sql__shuffle__partitions="4", spark__sql__adaptive__enabled="false"):
+        for how in ("inner", "left"):
+            few, many = (state.lookup(rows.where(f"id < {n}"), table, ["k"], how, broadcast_rows=10) for n in (1000, 4000))
+            assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (32, 56)
+            want = rows.join(table, "k", how)
+            assert pairs(many.fillna(-1), "id", "k", "v") == pairs(want.fillna(-1), "id", "k", "v")
