@@ -47,6 +47,19 @@ def by_document(docs: DataFrame, size: Column, id_col: str = "doc_id") -> DataFr
     return docs.repartition(max(1, spread, -(-total // DOCUMENT_PARTITION_BYTES)), id_col)
 
 
+def term_bytes(corpus: DataFrame) -> int:
+    """The size of a packed corpus, in one aggregation."""
+    return corpus.agg(F.sum(F.greatest(F.size("terms"), F.lit(0)).cast("long") * TERM_BYTES)).head()[0] or 0
+
+
+def apart(rows: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` hash-partitioned by document where ``size`` (bytes) asks for more partitions than the session's shuffles have."""
+    spread = -(-size // DOCUMENT_PARTITION_BYTES)
+    if spread <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows
+    return rows.repartition(spread, id_col)
+
+
 def packed_by_document(corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A packed corpus (see :func:`corpus_terms`) by document, in partitions of a bounded number of terms."""
     return by_document(corpus, F.greatest(F.size("terms"), F.lit(0)) * TERM_BYTES, id_col)
@@ -110,7 +123,7 @@ def assign_runs(corpus: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> D
     roster = rows.groupBy(id_col).agg(
         F.collect_list(F.struct(*[c for c in rows.columns if c != id_col])).alias("runs")
     )
-    return store(corpus.join(roster, id_col), "assigned")
+    return store(apart(corpus, term_bytes(corpus), id_col).join(roster, id_col), "assigned")
 
 
 def unfold_runs(assigned: DataFrame) -> DataFrame:

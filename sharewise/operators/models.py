@@ -419,6 +419,8 @@ def _weighted_entries(members: DataFrame, vocab: DataFrame, weight: Column) -> D
     doc = ["run_id", "doc_id", "label", "copies", "language"]
     value = (F.lit(1.0) + F.ln("tf")) * F.col("idf")
     known = lookup(_outer_terms(members, doc), vocab.select("run_id", "term", "idx", "idf"), ["run_id", "term"], "left")
+    # The lists of a document are collected where it lands: a task's share is bounded, however many documents there are.
+    known = ft.apart(known, ft.term_bytes(members))
     entries = known.groupBy(*doc).agg(
         F.array_sort(
             F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", value.alias("w"))))

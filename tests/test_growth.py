@@ -167,3 +167,22 @@ def test_large_joins_are_dealt_by_their_bytes(spark, monkeypatch, settings):
             assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (32, 56)
             want = rows.join(table, "k", how)
             assert pairs(many.fillna(-1), "id", "k", "v") == pairs(want.fillna(-1), "id", "k", "v")
+
+
+def test_lists_of_a_document_are_collected_by_bytes(spark, monkeypatch, settings):
+    """Twice the documents give twice the partitions in which their entries are collected, and the same entries."""
+    docs = spark.range(600).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("common"), F.concat(F.lit("word"), (F.col("id") % 7).cast("string"))).alias("text"), F.lit("nl").alias("lang")
+    )
+    corpus = ft.corpus_terms(docs)
+    rows = docs.select(F.lit(0).alias("run_id"), "doc_id", (F.col("doc_id") % 2).cast("double").alias("label"), F.lit(1).cast("long").alias("copies"))
+    members = ft.unfold_runs(ft.assign_runs(corpus, rows))
+    vocab = ft.fit_vectorizer(ft.unfold_terms(corpus), docs, 5).withColumn("run_id", F.lit(0)).cache()
+    whole = pairs(md._weighted_entries(members, vocab, F.lit(1.0)), "doc_id", "entries")
+    with settings(spark__sql__shuffle__partitions="4", spark__sql__adaptive__enabled="false"):
+        monkeypatch.setattr(ft, "DOCUMENT_PARTITION_BYTES", 1200)
+        half, every = (md._weighted_entries(members.where(f"doc_id < {n}"), vocab, F.lit(1.0)) for n in (300, 600))
+        assert (half.rdd.getNumPartitions(), every.rdd.getNumPartitions()) == (6, 12)
+        assert pairs(every, "doc_id", "entries") == whole
+        again = ft.unfold_runs(ft.assign_runs(corpus, rows))
+        assert again.exceptAll(members).count() == 0 and members.exceptAll(again).count() == 0
