@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharewise.operators.metrics import SCORERS, Scorer, score_by
-from sharewise.plans import lookup
+from sharewise.plans import lookup, spread_rows, store
 
 #: Metric columns that are averaged over machines.
 METRICS = ("tp", "pos_est", "bias", "spcc", "acc", "ba", "mcc", "auroc")
 
+#: Members that one number holds as bits.
+MASK_BITS = 32
+
 
 def bagged_vote(
     preds: DataFrame, keys: Sequence[str], pred: str = "pred", threshold: float | None = None
@@ -76,14 +79,19 @@ def feature_intersection(
 ) -> DataFrame:
     """(ids, member, shared): size of the intersection of two feature sets.
 
-    ``member_terms`` comes from :func:`members_by_term`, so the join does not multiply rows.
+    ``member_terms`` comes from :func:`members_by_term`, so the join does not multiply rows.  Neither does the
+    counting: a term carries its members as bits, each of which is added up by document.
     """
-    hit = lookup(doc_terms, member_terms, [*keys, "term"])
-    return (
-        hit.select(*ids, F.explode("members").alias(member))
-        .groupBy(*ids, member)
-        .agg(F.count(F.lit(1)).alias("shared"))
-    )
+    each = member_terms.select(F.explode("members").alias(member))
+    kind = each.schema[member].dataType
+    # One row per member of the ensemble; without any, a null stands for none.
+    known = sorted(r[0] for r in each.where(F.col(member).isNotNull()).distinct().collect()) or [None]
+    bit = [F.when(F.array_contains("members", F.lit(m).cast(kind)), F.lit(1 << i % MASK_BITS)).otherwise(0) for i, m in enumerate(known)]
+    masks = [sum(bit[i : i + MASK_BITS], F.lit(0).cast("long")).alias(f"_mask{i // MASK_BITS}") for i in range(0, len(bit), MASK_BITS)]
+    hit = lookup(doc_terms, store(member_terms.select(*keys, "term", *masks), "members"), [*keys, "term"])
+    ones = [F.sum(F.shiftrightunsigned(f"_mask{i // MASK_BITS}", i % MASK_BITS).bitwiseAND(F.lit(1).cast("long"))) for i in range(len(known))]
+    counts = [F.struct(F.lit(m).cast(kind).alias(member), n.alias("shared")) for m, n in zip(known, ones, strict=True)]
+    return hit.groupBy(*ids).agg(F.array(*counts).alias("_all")).select(*ids, F.inline("_all")).where("shared > 0")
 
 
 def overlap_weights(
@@ -93,19 +101,21 @@ def overlap_weights(
     ids: Sequence[str] = ("doc_id",),
     member: str = "member_id",
     keys: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
     """(ids, member, w): share of the document's features that the member knows.
 
     ``pairs`` lists the (ids, member) to weigh, one row each.  A document without features
-    has weight 0 for every member.
+    has weight 0 for every member.  ``rows``, the number of pairs, keeps the partitions of the joins bounded.
     """
     ids = list(ids)
+    dealt = lambda df, *on: spread_rows(df, rows, on)
     shared = feature_intersection(doc_terms, member_terms, ids, member, keys)
     sizes = doc_terms.groupBy(*ids).agg(F.count(F.lit(1)).alias("_size"))
+    met = dealt(pairs.select(*ids, member), *ids, member).join(dealt(shared, *ids, member), [*ids, member], "left")
     return (
-        pairs.select(*ids, member)
-        .join(shared, [*ids, member], "left")
-        .join(sizes, ids, "left")
+        dealt(met, *ids)
+        .join(dealt(sizes, *ids), ids, "left")
         .select(
             *ids,
             member,
@@ -144,8 +154,13 @@ def weighted_vote(
     member: str = "member_id",
     pred: str = "pred",
     threshold: float | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Sum over members of weight times prediction; with a threshold, its label."""
+    """Sum over members of weight times prediction; with a threshold, its label.
+
+    ``rows``, the number of weights, keeps the partitions of the join bounded.
+    """
+    weights, preds = (spread_rows(df, rows, [*keys, member]) for df in (weights, preds))
     total = F.sum(F.col("w") * F.col(pred).cast("double"))
     return (
         weights.join(preds, [*keys, member])

@@ -12,7 +12,6 @@ from sharewise.plans import materialize
 from sharewise.suite.common import (
     BASE_LANG, MINDF, NUDGE, R, SCORED_SQL, TOKENS_SQL, documents, query, r6, scored, table, unit_sql,
 )
-from sharewise.suite.features import corpus_tf
 from sharewise.suite.metrics import bundle_sql
 
 # Replicates: the lines of an order are the replicate predictions of that order.
@@ -128,18 +127,22 @@ acc AS (SELECT source AS member_id, avg(CAST(quality AS DOUBLE)) AS accuracy FRO
 
 def _member_parts(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    tf = corpus_tf(spark, sf_dir)
-    own = tf.join(docs.select("doc_id", F.col("source").alias("member_id")), "doc_id")
+    corpus = ft.corpus_terms(docs)
+    tf = ft.unfold_terms(corpus)
+    # Larger partitions than those of texts combine more of the counts below.
+    own = ft.apart(tf, ft.term_bytes(corpus) // 4).join(docs.select("doc_id", F.col("source").alias("member_id")), "doc_id")
     features = own.groupBy("member_id", "term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= MINDF)
     doc_terms = ft.doc_feature_sets(tf, docs, 1, BASE_LANG)
     return docs, doc_terms, materialize(vt.members_by_term(features))
 
 
 def _overlap(spark, sf_dir):
+    """The weights and their number."""
     docs, doc_terms, member_terms = _member_parts(spark, sf_dir)
     members = docs.agg(F.array_sort(F.collect_set("source")).alias("all"))
     pairs = docs.select("doc_id", F.explode(members.scalar()).alias("member_id"))
-    return vt.overlap_weights(doc_terms, member_terms, pairs)
+    rows = pairs.count()
+    return vt.overlap_weights(doc_terms, member_terms, pairs, rows=rows), rows
 
 
 def _accuracies(spark, sf_dir):
@@ -158,7 +161,7 @@ def feature_intersection(spark, sf_dir):
 
 @query("overlap_weights", f"WITH {_MEMBERS} SELECT doc_id, member_id, {R('w', NUDGE)} AS w FROM overlap")
 def overlap_weights(spark, sf_dir):
-    return r6(_overlap(spark, sf_dir), NUDGE)
+    return r6(_overlap(spark, sf_dir)[0], NUDGE)
 
 
 _AFTER = f"""{_MEMBERS},
@@ -168,7 +171,7 @@ norm AS (SELECT doc_id, member_id, coalesce(w * accuracy / nullif(sum(w * accura
 
 @query("normalize_weights", f"WITH {_AFTER} SELECT doc_id, member_id, {R('w', NUDGE)} AS w FROM norm")
 def normalize_weights(spark, sf_dir):
-    return r6(vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "after"), NUDGE)
+    return r6(vt.normalize_weights(_overlap(spark, sf_dir)[0], _accuracies(spark, sf_dir), "after"), NUDGE)
 
 
 _BEFORE = f"""{_MEMBERS},
@@ -178,7 +181,7 @@ norm AS (SELECT doc_id, member_id, coalesce(w / nullif(sum(w) OVER (PARTITION BY
 
 @query("normalize_weights_before", f"WITH {_BEFORE} SELECT doc_id, member_id, {R('w', NUDGE)} AS w FROM norm")
 def normalize_weights_before(spark, sf_dir):
-    return r6(vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "before"), NUDGE)
+    return r6(vt.normalize_weights(_overlap(spark, sf_dir)[0], _accuracies(spark, sf_dir), "before"), NUDGE)
 
 
 _PRED = unit_sql("member", "doc_id || '|' || member_id")
@@ -189,7 +192,8 @@ _PRED = unit_sql("member", "doc_id || '|' || member_id")
     f"WITH {_BEFORE} SELECT doc_id, {R(f'sum(w * {_PRED})')} AS proba_vote, sum(w * {_PRED}) >= 0.25 AS label_vote FROM norm GROUP BY 1",
 )
 def weighted_vote(spark, sf_dir):
-    weights = vt.normalize_weights(_overlap(spark, sf_dir), _accuracies(spark, sf_dir), "before")
+    overlap, rows = _overlap(spark, sf_dir)
+    weights = vt.normalize_weights(overlap, _accuracies(spark, sf_dir), "before")
     preds = weights.select("doc_id", "member_id", unit_hash("member", "doc_id", "member_id").alias("pred"))
-    vote = vt.weighted_vote(weights, preds)
+    vote = vt.weighted_vote(weights, preds, rows=rows)
     return r6(vote.select("doc_id", F.col("pred").alias("proba_vote"), (F.col("pred") >= 0.25).alias("label_vote")))

@@ -10,6 +10,7 @@ from sharewise.operators import experiments as ex
 from sharewise.operators import features as ft
 from sharewise.operators import joint
 from sharewise.operators import models as md
+from sharewise.operators import votes as vt
 from sharewise.plans import by_rows, state, store
 from sharewise.sources import sinks
 from sharewise.suite import models as suite
@@ -186,3 +187,37 @@ def test_lists_of_a_document_are_collected_by_bytes(spark, monkeypatch, settings
         assert pairs(every, "doc_id", "entries") == whole
         again = ft.unfold_runs(ft.assign_runs(corpus, rows))
         assert again.exceptAll(members).count() == 0 and members.exceptAll(again).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 70])
+def test_members_are_counted_without_a_row_each(spark, n):
+    """A term of many members is one row of the count; more members than one number has bits, unknown terms, no members."""
+    terms = spark.range(400).select((F.col("id") % 20).cast("int").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 90).cast("string")).alias("term"))
+    known = spark.range(80 * n).select((F.col("id") % n).cast("int").alias("member_id"), F.floor(F.col("id") / n).alias("t")).where("(t + member_id) % 3 > 0")
+    known = known.select("member_id", F.concat(F.lit("t"), F.col("t").cast("string")).alias("term"))
+    table = store(vt.members_by_term(known))
+    got = vt.feature_intersection(terms, table)
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = terms.join(known, "term").groupBy("doc_id", "member_id").agg(F.count(F.lit(1)).alias("shared"))
+    assert got.schema["shared"].dataType == want.schema["shared"].dataType and got.columns == want.columns
+    assert pairs(got, *want.columns) == pairs(want, *want.columns)
+    assert vt.feature_intersection(terms, table.where("false")).count() == 0
+
+
+def test_votes_are_dealt_by_their_rows(spark, monkeypatch, settings):
+    """More pairs than the session's partitions hold give more partitions, and the same weights and votes."""
+    terms = spark.range(600).select((F.col("id") % 60).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 70).cast("string")).alias("term"))
+    known = spark.range(200).select((F.col("id") % 3).alias("member_id"), F.concat(F.lit("t"), (F.col("id") % 50).cast("string")).alias("term")).distinct()
+    every = spark.range(186).select((F.col("id") % 62).alias("doc_id"), F.floor(F.col("id") / 62).alias("member_id"))
+    table = store(vt.members_by_term(known))
+
+    def votes(**rows):
+        weights = vt.overlap_weights(terms, table, every, **rows)
+        return vt.weighted_vote(weights, weights.select("doc_id", "member_id", (F.col("member_id") + F.col("w")).alias("pred")), **rows)
+
+    want = votes()
+    with settings(spark__sql__shuffle__partitions="4", spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
+        monkeypatch.setattr(state, "PARTITION_ROWS", 20)
+        plan = votes(rows=186)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") >= 6 and ", 10)" in plan
+        assert [(d, round(p, 9)) for d, p in pairs(votes(rows=186), "doc_id", "pred")] == [(d, round(p, 9)) for d, p in pairs(want, "doc_id", "pred")]
