@@ -5,6 +5,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_models import newton
@@ -119,3 +120,20 @@ def test_runs_leave_no_entries(spark):
     left = kinds(n for n in tables(spark) - folders if not re.fullmatch(r"[0-9a-f-]{36}", n))
     assert "entries" not in left and "assigned" not in left
     assert fitted.pair.count() > 0 and md.score_runs(corpus, rows, fitted).count() == 160
+
+
+def test_term_rows_reach_the_tiles_packed(spark, monkeypatch):
+    """A group's term rows are a few compressed lists: what is shuffled is a fraction of a row each, and every row arrives."""
+    monkeypatch.setattr(ft, "VECTOR_TILE_BYTES", 2000)
+    tf = store(spark.range(20000).select(F.floor(F.col("id") / 40).alias("doc_id"), F.concat(F.lit("word"), F.col("id") * 7 % 211).alias("term"), (F.col("id") % 3 + 1).alias("tf")))
+    vectors = store(spark.range(150).select(F.concat(F.lit("word"), "id").alias("term"), F.array(*[((F.col("id") * k) % 17).cast("float") for k in (2, 3)]).alias("vec")))
+    want = {r[0]: [r[1], r[2]] for r in tf.join(vectors, "term").groupBy("doc_id").agg(*[F.sum(F.col("tf") * F.col("vec")[k]) / F.sum("tf") for k in (0, 1)]).collect()}
+    means = ft.mean_embedding(tf, spark.range(500).select(F.col("id").alias("doc_id")), vectors)
+    got = {r["doc_id"]: r["embedding"] for r in means.collect()}
+    assert len(got) == 500 and all(got[d] == pytest.approx(want[d]) for d in want)
+    batch = pa.RecordBatch.from_pydict({"_group": [k % 3 for k in range(9000)], "_id": [k // 90 for k in range(9000)], "term": [f"word{k % 70}" for k in range(9000)], "_w": [1.0] * 9000})
+    parts = list(ft._packed_groups(iter([batch, batch])))
+    assert [p["_group"][0].as_py() for p in parts] == [0, 1, 2] and sum(p.nbytes for p in parts) < 18000 * 8
+    rows = [pa.ipc.open_stream(p["rows"][0].as_py()).read_all() for p in parts]
+    assert sum(r.num_rows for r in rows) == 18000 and rows[1]["_id"].to_pylist() == [k // 90 for k in range(9000) if k % 3 == 1] * 2
+    assert list(ft._packed_groups(iter([]))) == []
